@@ -1,0 +1 @@
+"""operators of the imaging-run analytics library."""

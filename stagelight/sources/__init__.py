@@ -1,0 +1 @@
+"""sources of the imaging-run analytics library."""

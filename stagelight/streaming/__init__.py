@@ -1,0 +1 @@
+"""streaming of the imaging-run analytics library."""
