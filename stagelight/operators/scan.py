@@ -23,9 +23,16 @@ def equal_width_bucket(value: Column, lo: Column, hi: Column, n: int) -> Column:
     )
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A number or timestamp column as a double (timestamps without zone are read in the session zone)."""
+    kind = dict(df.dtypes)[column]
+    c = F.col(column)
+    return (c.cast("timestamp") if kind == "timestamp_ntz" else c).cast("double")
+
+
 def with_order_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
     """Add the bucket of ``order_col`` (number or timestamp, not NULL) over the range found in the table."""
-    num = F.col(order_col).cast("double")
+    num = as_number(df, order_col)
     span = df.agg(F.struct(F.min(num).alias("lo"), F.max(num).alias("hi")).alias("s")).scalar()
     return (
         df.withColumn("_span", span)

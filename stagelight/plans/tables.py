@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One given table; timestamps without zone become timestamps of the (UTC) session."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    plain = [c for c, t in df.dtypes if t == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
 def r6(c: Column | str) -> Column:
