@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stagelight.operators.quantile import exact_quantiles
 from stagelight.operators.spatial import cell, explode_cells
+from stagelight.session import cut_lineage
 
 
 def nearest_other_distance(points: DataFrame, radius: float, doublings: int = 3) -> DataFrame:
@@ -38,6 +39,6 @@ def median_nn_distance(points: DataFrame, radius: float, doublings: int = 1) ->
 
     With a stage grid one ring of a few steps is enough; give more ``doublings`` for scattered points.
     """
-    d = nearest_other_distance(points, radius, doublings)
+    d = cut_lineage(nearest_other_distance(points, radius, doublings))
     q = exact_quantiles(d, [], "dist", {"median_nn": 0.5}, weight="_n")
     return q.agg(F.max("median_nn").alias("median_nn"))

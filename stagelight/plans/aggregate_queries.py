@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("A29_drift_summary", f"""WITH {DR}, q AS (SELECT quantile_cont(distance, 0.5) AS median, quantile_cont(distance, 0.99) AS hi FROM dd),
   s AS (SELECT quantile_cont(a, 0.99) AS s FROM (SELECT abs(x_drift) AS a FROM dd UNION ALL SELECT abs(y_drift) FROM dd)),
-  c AS (SELECT count(*) FILTER (WHERE abs(x_drift) > 100 OR abs(y_drift) > 100) AS n_off, count(*) FILTER (WHERE distance > 100) AS n_over FROM dd)
+  c AS (SELECT count(*) FILTER (WHERE abs(x_drift) > 100 OR abs(y_drift) > 100) AS n_off, count(*) FILTER (WHERE distance > 100) AS n_over FROM dd),
   n AS (SELECT k, hi, pow(10e0, floor(log10(hi))) AS m FROM (SELECT 's' AS k, s AS hi FROM s UNION ALL SELECT 'd', hi FROM q)),
   li AS (SELECT k, CASE WHEN hi <= m THEN m WHEN hi <= 2 * m THEN 2 * m WHEN hi <= 5 * m THEN 5 * m ELSE 10 * m END AS lim FROM n)
   SELECT round(median, 6) AS median, n_off, n_over, (SELECT lim FROM li WHERE k = 's') AS auto_scatter, (SELECT lim FROM li WHERE k = 'd') AS auto_distance FROM q, c""")
