@@ -374,3 +374,10 @@ def overlap_correlation(pairs: DataFrame, px: DataFrame, a: str, b: str, frame:
     j = pairs.select(a, b).join(left, a).join(right, [b, "r", "c"])
     flat = (F.min("_va") == F.max("_va")) | (F.min("_vb") == F.max("_vb"))
     return j.groupBy(a, b).agg(F.when(flat, F.lit(0.0)).otherwise(F.corr("_va", "_vb")).alias("r"))
+
+
+def explode_pixels_of(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Long pixels of binary frames (see the raw frame source)."""
+    from stagelight.sources.raw_frames import explode_pixels
+
+    return explode_pixels(frames, keys)

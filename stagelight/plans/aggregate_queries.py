@@ -17,7 +17,8 @@ from stagelight.plans.tables import (
 
 
 def rounded(df, cols):
-    return df.select(*[r6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    q = lambda c: F.col(f"`{c}`")
+    return df.select(*[r6(q(c)).alias(c) if c in cols else q(c) for c in df.columns])
 
 
 @query("A14_flat_field_sampling", f"""WITH {PX}, s AS (SELECT fov_id, avg(value) AS mean, stddev_pop(value) AS std FROM px WHERE frame = 2 AND color = 405 GROUP BY fov_id)
