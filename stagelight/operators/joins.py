@@ -22,17 +22,12 @@ def name_parts(df: DataFrame, name: Column) -> DataFrame:
     A series pattern then matches by equality of prefix and suffix, so classifying files needs no regular-expression
     join. The placeholder of a pattern must not touch another digit.
     """
-    runs = F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1))
-    gaps = F.split(name, r"\d+")
-    n = F.size(runs)
-    glue = lambda lo, hi: F.aggregate(
-        F.sequence(lo, hi), F.lit(""), lambda acc, i: F.concat(acc, F.element_at(gaps, i), F.coalesce(F.try_element_at(runs, i), F.lit(""))))
-    at = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))
-    out = df.withColumn("_name", name).withColumn("_at", at)
-    prefix = F.concat(F.when(F.col("_at") > 1, glue(F.lit(1), F.col("_at") - 1)).otherwise(F.lit("")), F.element_at(gaps, F.col("_at")))
+    tokens = F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
+    out = df.withColumn("_t", tokens).select("*", F.posexplode("_t").alias("_at", "_n")).where(F.col("_n").rlike(r"^\d+$"))
     return (
-        out.withColumn("_prefix", prefix).withColumn("_fov", F.expr("try_cast(element_at(regexp_extract_all(_name, '(\\\\d+)', 1), _at) as bigint)"))
-        .withColumn("_suffix", glue(F.col("_at") + 1, n + 1)).drop("_name", "_at")
+        out.withColumn("_prefix", F.array_join(F.slice("_t", F.lit(1), F.col("_at")), ""))
+        .withColumn("_fov", F.col("_n").try_cast("long"))
+        .withColumn("_suffix", F.array_join(F.slice("_t", F.col("_at") + 2, F.size("_t")), "")).drop("_t", "_at", "_n")
     )
 
 

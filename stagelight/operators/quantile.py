@@ -25,7 +25,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column per probability; ``linear`` interpolates, ``discrete`` does not.
 
-    NULL values are ignored; groups without any value give no row. ``weight`` is an integer repeat count.
+    NULL values are ignored; groups without any value give no row (without keys: one row of NULLs). ``weight`` is an integer repeat count.
     """
     if method not in ("linear", "discrete"):
         raise ValueError(f"unknown quantile method: {method}")

@@ -121,17 +121,42 @@ def read_frames(spark: SparkSession, path: str, **options) -> DataFrame:
     return r.load()
 
 
+def in_chunks(batches, keys: list[str], one, limit: int = 1_000_000):
+    """Column arrays of many frames as few output batches of about ``limit`` rows: small frames share one, large ones do not."""
+    import numpy as np
+    import pandas as pd
+
+    parts, rows = [], 0
+
+    def flush():
+        cols = {k: np.repeat([p[0][i] for p in parts], [p[1] for p in parts]) for i, k in enumerate(keys)}
+        cols |= {c: np.concatenate([p[2][c] for p in parts]) for c in parts[0][2]}
+        return pd.DataFrame(cols)
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            arrays = one(row)
+            size = len(next(iter(arrays.values())))
+            parts.append((tuple(getattr(row, k) for k in keys), size, arrays))
+            rows += size
+            if rows >= limit:
+                yield flush()
+                parts, rows = [], 0
+    if parts:
+        yield flush()
+
+
 def explode_pixels(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Long pixels (keys, r, c, v) of binary frames, decoded inside tasks."""
     import numpy as np
-    import pandas as pd
 
     def decode(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                v = np.frombuffer(row.pixels, dtype="<u2").astype(np.int32)
-                r, c = np.divmod(np.arange(v.size, dtype=np.int32), row.w)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "r": r, "c": c, "v": v})
+        def one(row):
+            v = np.frombuffer(row.pixels, dtype="<u2").astype(np.int32)
+            r, c = np.divmod(np.arange(v.size, dtype=np.int32), row.w)
+            return {"r": r, "c": c, "v": v}
+
+        yield from in_chunks(batches, keys, one)
 
     kept = frames.select(*keys, "w", "pixels")
     fields = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
@@ -141,13 +166,13 @@ def explode_pixels(frames: DataFrame, keys: list[str]) -> DataFrame:
 def frame_counters(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Exact counters straight from binary frames: each frame is reduced to distinct values before any shuffle."""
     import numpy as np
-    import pandas as pd
 
     def count(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                values, n = np.unique(np.frombuffer(row.pixels, dtype="<u2"), return_counts=True)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "value": values.astype(np.int32), "count": n.astype(np.int64)})
+        def one(row):
+            values, n = np.unique(np.frombuffer(row.pixels, dtype="<u2"), return_counts=True)
+            return {"value": values.astype(np.int32), "count": n.astype(np.int64)}
+
+        yield from in_chunks(batches, keys, one)
 
     kept = frames.select(*keys, "pixels")
     fields = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
