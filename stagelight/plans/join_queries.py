@@ -12,7 +12,7 @@ from stagelight.operators.spatial import contact_edges, mutual_nearest
 from stagelight.operators.spatial_stats import median_nn_distance
 from stagelight.plans.aggregate_queries import RS, round_stats, rounded
 from stagelight.plans.registry import query
-from stagelight.plans.tables import CLOUD, FT, LOG, PCLOUD, PS, PX, cloud, focus_log, frame_table, pixels, positions, r6, table
+from stagelight.plans.tables import CLOUD, LOG, PCLOUD, PS, cloud, color_of, focus_log, pixels, positions, r6, table
 
 
 def rounds(spark, d):
@@ -63,22 +63,29 @@ def _(spark, d):
     return a.select("round_id", "fov_id", "frame", r6("mean").alias("mean"), "x", "y", "color", "z", "segment", "sample")
 
 
-@query("J4_build_channel_table", f"""WITH {FT}, l AS (SELECT color, list(CAST(frame AS INTEGER) ORDER BY frame, z) AS frame, list(z ORDER BY frame, z) AS z_pos FROM ft GROUP BY color),
-  b AS (SELECT p_partkey AS bit, CASE p_partkey % 3 WHEN 0 THEN 405e0 WHEN 1 THEN 560e0 ELSE 650e0 END AS color FROM part)
+RF = """rf AS (SELECT DISTINCT l_orderkey % 5 AS round_id, CAST(l_linenumber AS INTEGER) AS frame, CASE l_returnflag WHEN 'A' THEN 405e0 WHEN 'N' THEN 560e0 ELSE 650e0 END AS color, l_linenumber * 0.5e0 AS z FROM lineitem)"""
+
+
+@query("J4_build_channel_table", f"""WITH {RF}, l AS (SELECT round_id, color, list(frame ORDER BY frame, z) AS frame, list(z ORDER BY frame, z) AS z_pos FROM rf GROUP BY round_id, color),
+  b AS (SELECT p_partkey AS bit, p_partkey % 5 AS round_id, CASE p_partkey % 3 WHEN 0 THEN 405e0 WHEN 1 THEN 560e0 ELSE 650e0 END AS color FROM part)
   SELECT CASE WHEN bit % 5 = 0 THEN 'gene' || bit ELSE 'bit' || repeat('0', greatest(2 - length(CAST(bit AS VARCHAR)), 0)) || bit END AS channel_name,
-  CASE WHEN bit % 4 = 0 THEN 'own' || bit ELSE 'probe' || bit END AS readout_name, bit AS bit_number, color, frame, z_pos, 'hal' AS image_type, 1 AS fiducial_frame FROM b JOIN l USING (color)""")
+  CASE WHEN bit % 4 = 0 THEN 'own' || bit ELSE 'probe' || bit END AS readout_name, bit AS bit_number, round_id AS imaging_round, color, frame, z_pos, r_name AS image_type, CAST(round_id + 1 AS BIGINT) AS fiducial_frame
+  FROM b JOIN l USING (round_id, color) JOIN region ON r_regionkey = round_id""")
 def _(spark, d):
     k = F.col("p_partkey")
     p = table(spark, d, "part")
-    bits = p.select(F.lit(1).alias("round_id"), k.alias("bit"), F.when(k % 3 == 0, 405.0).when(k % 3 == 1, 560.0).otherwise(650.0).alias("color"))
+    bits = p.select((k % 5).alias("round_id"), k.alias("bit"), F.when(k % 3 == 0, 405.0).when(k % 3 == 1, 560.0).otherwise(650.0).alias("color"))
     cat = p.select(k.alias("bit"), F.concat(F.lit("probe"), k).alias("probe"))
     own = p.where("p_partkey % 4 = 0").select(k.alias("bit"), F.concat(F.lit("own"), k).alias("probe"))
     genes = p.where("p_partkey % 5 = 0").select(k.alias("bit"), F.concat(F.lit("gene"), k).alias("gene"))
-    rnd = table(spark, d, "region").where("r_regionkey = 0").select(
-        F.lit(1).alias("round_id"), F.lit("hal").alias("image_type"), F.lit("x").alias("name_regexp"), F.lit("s").alias("series"))
-    fid = rnd.select("round_id", F.lit(1).alias("fiducial_frame"), F.lit(0.0).alias("fiducial_z"))
-    t = J.build_channel_table(frame_table(spark, d).withColumn("round_id", F.lit(1)), bits, cat, own, genes, rnd, fid)
-    return t.select("channel_name", "readout_name", "bit_number", "color", "frame", "z_pos", "image_type", "fiducial_frame")
+    rid = F.col("r_regionkey").cast("long")
+    reg = table(spark, d, "region")
+    rnd = reg.select(rid.alias("round_id"), F.col("r_name").alias("image_type"), F.lit("x").alias("name_regexp"), F.lit("s").alias("series"))
+    fid = reg.select(rid.alias("round_id"), (rid + 1).alias("fiducial_frame"), F.lit(0.0).alias("fiducial_z"))
+    frames = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 5).alias("round_id"), F.col("l_linenumber").alias("frame"), color_of().alias("color"), (F.col("l_linenumber") * 0.5).alias("z")).distinct()
+    t = J.build_channel_table(frames, bits, cat, own, genes, rnd, fid)
+    return t.select("channel_name", "readout_name", "bit_number", "imaging_round", "color", "frame", "z_pos", "image_type", "fiducial_frame")
 
 
 @query("J5_unknown_reference_check", """SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier) AND l_partkey NOT IN (SELECT c_custkey FROM customer)""")

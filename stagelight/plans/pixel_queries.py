@@ -26,8 +26,7 @@ FIELD = """mn AS (SELECT r, c, avg(v) AS v FROM img GROUP BY r, c),
 
 
 def field(spark, d):
-    img = images(spark, d).withColumn("k", F.lit(0))
-    return X.flat_field(img, ["k"], sigma=0).drop("n_samples", "k")
+    return X.flat_field(images(spark, d), [], sigma=0).drop("n_samples")
 
 
 @query("P13_apply_flat_field", f"WITH {IMG}, {FIELD} SELECT frame, r, c, round(greatest(v / f, 0), 6) AS v FROM img JOIN ff USING (r, c)")

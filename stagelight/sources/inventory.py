@@ -17,6 +17,36 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     return r.load(root).select("path", "length", "modificationTime")
 
 
+def walk_files(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """As :func:`list_files` but with the hidden files that Spark's own listing leaves out (store metadata).
+
+    Only the folders down to ``depth`` are listed here; what is below each is walked inside tasks on the mounted folder.
+    """
+    import glob
+    import os
+
+    root = root.removeprefix("file:")
+    tops = glob.glob(os.path.join(glob.escape(root), *["*"] * depth)) + [
+        p for k in range(depth) for p in glob.glob(os.path.join(glob.escape(root), *["*"] * k, ".*"))]
+    upper = [p for k in range(1, depth) for p in glob.glob(os.path.join(glob.escape(root), *["*"] * k)) if os.path.isfile(p)]
+    n = max(1, min(len(tops) + len(upper), 4 * spark.sparkContext.defaultParallelism))
+    heads = spark.createDataFrame([(p,) for p in tops + upper], "top STRING").repartition(n)
+
+    def walk(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for top in pdf["top"]:
+                paths = [os.path.join(d, f) for d, _, fs in os.walk(top) for f in fs] if os.path.isdir(top) else [top]
+                for p in paths:
+                    st = os.stat(p)
+                    rows.append(("file:" + p, st.st_size, pd.Timestamp(st.st_mtime_ns // 1000, unit="us")))
+            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime"])
+
+    return heads.mapInPandas(walk, "path STRING, length LONG, modificationTime TIMESTAMP")
+
+
 def file_inventory(files: DataFrame, suffix: str = ".zarr", directory_store: bool = True) -> DataFrame:
     """Entries with a suffix. A folder with the suffix is one entry: its size is the sum, its time the latest, of its files."""
     s = suffix.replace(".", r"\.")

@@ -1,0 +1,25 @@
+"""Physical plans: no nested-loop or product joins, pruned scans, pushed filters."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+FOLDER = "/root/testdata/sf0.001"
+STREAM_OR_FILE = ("X", "S", "K10")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if n.startswith(("A", "J", "P", "T", "U", "W"))])
+def test_no_product_joins(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_scan_is_pruned_and_filtered(spark):
+    text = plan(entry.queries()["J30_left_antijoin_pending"](spark, FOLDER))
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in text and "o_totalprice" not in text
+    text = plan(entry.queries()["A1_frame_stats"](spark, FOLDER))
+    assert "ReadSchema: struct<l_suppkey:bigint,l_linenumber:int,l_quantity:double,l_returnflag:string>" in text
