@@ -17,17 +17,18 @@ PLACEHOLDER = r"\{fov[^}]*\}"
 
 
 def name_parts(df: DataFrame, name: Column) -> DataFrame:
-    """Every reading of a file name as (_prefix, _fov, _suffix), one per run of digits.
+    """Every reading of a file name as (_prefix, _fov, _suffix), one per run of digits (one of NULLs without digits).
 
     A series pattern then matches by equality of prefix and suffix, so classifying files needs no regular-expression
     join. The placeholder of a pattern must not touch another digit.
     """
-    tokens = F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
-    out = df.withColumn("_t", tokens).select("*", F.posexplode("_t").alias("_at", "_n")).where(F.col("_n").rlike(r"^\d+$"))
+    out = df.withColumn("_t", F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)"))
+    digits = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).rlike(r"^\d+$"))
     return (
-        out.withColumn("_prefix", F.array_join(F.slice("_t", F.lit(1), F.col("_at")), ""))
-        .withColumn("_fov", F.col("_n").try_cast("long"))
-        .withColumn("_suffix", F.array_join(F.slice("_t", F.col("_at") + 2, F.size("_t")), "")).drop("_t", "_at", "_n")
+        out.select("*", F.explode_outer(digits).alias("_at"))
+        .withColumn("_prefix", F.array_join(F.slice("_t", F.lit(1), F.col("_at")), ""))
+        .withColumn("_fov", F.get("_t", F.col("_at")).try_cast("long"))
+        .withColumn("_suffix", F.array_join(F.slice("_t", F.col("_at") + 2, F.size("_t")), "")).drop("_t", "_at")
     )
 
 
@@ -39,9 +40,9 @@ def pattern_parts(df: DataFrame, pattern: str) -> DataFrame:
 def classify_files(files: DataFrame, series: DataFrame, path: str = "path") -> DataFrame:
     """Round, series and FOV of each file by the first matching pattern (column ``ord``); NULL when none matches."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
-    hits = name_parts(files.select(path), stem).join(pattern_parts(series, "series"), ["_prefix", "_suffix"])
-    best = hits.groupBy(path).agg(F.min_by(F.struct("round_id", "series", F.col("_fov").alias("fov_id")), "ord").alias("_b"))
-    return files.join(best, path, "left").select(*files.columns, "_b.round_id", "_b.series", "_b.fov_id")
+    hits = name_parts(files, stem).join(pattern_parts(series, "series"), ["_prefix", "_suffix"], "left")
+    best = F.min_by(F.struct("round_id", "series", F.col("_fov").alias("fov_id")), "ord").alias("_b")
+    return hits.groupBy(*files.columns).agg(best).select(*files.columns, "_b.round_id", "_b.series", "_b.fov_id")
 
 
 def resolve_expected_files(rounds: DataFrame, positions: DataFrame, inventory: DataFrame, suffix: str = ".dax") -> DataFrame:

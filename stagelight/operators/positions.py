@@ -16,7 +16,7 @@ DIAGONALS = {"up_right": (1, 1), "down_right": (1, -1), "up_left": (-1, 1), "dow
 
 def nearest_position(points: DataFrame, positions: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """FOV nearest to each point within the tolerance; farther gives NULL (count those to decide on an error)."""
-    hit = nearest_within(points, positions, tolerance, rid="fov_id")
+    hit = nearest_within(points, positions, tolerance, rid="fov_id", spread_ref=True)
     return points.join(hit, ["x", "y"], "left")
 
 

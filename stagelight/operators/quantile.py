@@ -1,8 +1,8 @@
 """Exact quantiles of unbounded groups.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer: right for pixels (at most 65,536
-values) but not for doubles. ``exact_quantiles`` counts distinct values first, histograms each group into
-equal-width bins, finds the bins holding the wanted ranks from the bin totals, and sorts only those bins.
+values) but not for doubles. ``exact_quantiles`` counts distinct values first, histograms each group into bins of about
+equal size, finds the bins holding the wanted ranks from the bin totals, and sorts only those bins.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagelight.operators.scan import equal_width_bucket
+from stagelight.operators.scan import bucket_by_splits, default_buckets, split_points
 
 
 def exact_quantiles(
@@ -21,7 +21,7 @@ def exact_quantiles(
     *,
     weight: str | None = None,
     method: str = "linear",
-    n_bins: int = 1024,
+    n_bins: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per probability; ``linear`` interpolates, ``discrete`` does not.
 
@@ -30,19 +30,16 @@ def exact_quantiles(
     if method not in ("linear", "discrete"):
         raise ValueError(f"unknown quantile method: {method}")
     c = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    given = df.where(F.col(value).isNotNull())
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        given.groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(c.cast("long").alias("_c"))
         .where("_c > 0")
     )
-    span = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")]
-    if keys:
-        binned = counted.join(counted.groupBy(*keys).agg(*span), keys)
-    else:
-        whole = counted.agg(*span).select(F.struct("_lo", "_hi", "_n").alias("s")).scalar()
-        binned = counted.withColumn("_s", whole).select("_v", "_c", "_s.*")
-    binned = binned.withColumn("_b", equal_width_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), n_bins))
+    bins_n = n_bins or default_buckets(df)
+    binned = bucket_by_splits(counted, F.col("_v"), split_points(given, F.col(value).cast("double"), bins_n), "_b")
+    by_group = Window.partitionBy(*(keys or [F.lit(0)]))
+    hist = binned.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).withColumn("_n", F.sum("_bc").over(by_group))
 
     def position(p: float) -> Column:
         if method == "linear":
@@ -53,10 +50,9 @@ def exact_quantiles(
     for i, p in enumerate(probs.values()):
         for j, r in ((0, F.floor(position(p))), (1, F.ceil(position(p)))):
             slots.append(F.struct(F.lit(2 * i + j).alias("slot"), r.cast("long").alias("r")))
-    by_bin = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b")
+    by_bin = by_group.orderBy("_b")
     bins = (
-        binned.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
+        hist
         .withColumn("_end", F.sum("_bc").over(by_bin))
         .withColumn("_start", F.col("_end") - F.col("_bc"))
         .withColumn(
@@ -64,11 +60,11 @@ def exact_quantiles(
             F.filter(F.array(*slots), lambda s: (s["r"] >= F.col("_start")) & (s["r"] < F.col("_end"))),
         )
         .where(F.size("_want") > 0)
-        .select(*keys, "_b", "_start", "_want")
+        .select(*keys, "_b", "_start", "_n", "_want")
     )
     in_bin = Window.partitionBy(*keys, "_b").orderBy("_v")
     hits = (
-        binned.select(*keys, "_b", "_v", "_c", "_n")
+        binned.select(*keys, "_b", "_v", "_c")
         .join(bins, [*keys, "_b"])
         .withColumn("_end", F.col("_start") + F.sum("_c").over(in_bin))
         .withColumn("_beg", F.col("_end") - F.col("_c"))

@@ -1,26 +1,46 @@
 """Ordered scans (lag, lead, running sums, forward fill, ranks) that do not need a whole group in one task.
 
 A plain window sorts each group in one task, so a group holding a third of the rows would run alone. Here the
-order axis is cut into equal-width buckets; windows run per (group, bucket), and one summary row per
-(group, bucket) carries the state across buckets. The summary table has at most ``n_buckets`` rows per group.
+order axis is cut into buckets of about equal row counts; windows run per (group, bucket), and one summary row per
+(group, bucket) carries the state across buckets. A group has at most as many summary rows as there are buckets.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_ob"
 
 
-def equal_width_bucket(value: Column, lo: Column, hi: Column, n: int) -> Column:
-    """Monotone bucket number in 0..n-1 of a numeric value inside [lo, hi]."""
-    return (
-        F.when(hi > lo, F.least(F.lit(n - 1), F.floor((value - lo) / (hi - lo) * n).cast("int")))
-        .otherwise(F.lit(0))
-    )
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz")
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Some buckets per shuffle partition, so that the largest group spreads over the whole cluster."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def split_points(df: DataFrame, value: Column, n: int) -> list[float]:
+    """Approximate n-quantiles (with repeats for frequent values): at most n - 1 numbers come to the driver.
+
+    They only decide how rows are spread; every result is exact whatever they are.
+    """
+    return sorted(df.select(value.alias("_x")).approxQuantile("_x", [i / n for i in range(1, n)], 1 / (2 * n)))
+
+
+def bucket_by_splits(df: DataFrame, value: Column, splits: list[float], out: str) -> DataFrame:
+    """Number of split points at or below the value, by the binary search of Spark's Bucketizer."""
+    cuts = sorted(set(splits))
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_split_in", outputCol="_split_out")
+    return b.transform(df.withColumn("_split_in", value)).withColumn(out, F.col("_split_out").cast("int")).drop("_split_in", "_split_out")
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -30,15 +50,22 @@ def as_number(df: DataFrame, column: str) -> Column:
     return (c.cast("timestamp") if kind == "timestamp_ntz" else c).cast("double")
 
 
-def with_order_bucket(df: DataFrame, order_col: str, n_buckets: int) -> DataFrame:
-    """Add the bucket of ``order_col`` (number or timestamp, not NULL) over the range found in the table."""
-    num = as_number(df, order_col)
-    span = df.agg(F.struct(F.min(num).alias("lo"), F.max(num).alias("hi")).alias("s")).scalar()
-    return (
-        df.withColumn("_span", span)
-        .withColumn(BUCKET, equal_width_bucket(num, F.col("_span.lo"), F.col("_span.hi"), n_buckets))
-        .drop("_span")
-    )
+def with_order_bucket(df: DataFrame, order: list[str], n_buckets: int) -> DataFrame:
+    """Add a bucket number that rises with ``order``; ``order[0]`` is a number or timestamp and not NULL.
+
+    A value of ``order[0]`` that alone fills several buckets gets its own, cut further by ``order[1]``.
+    """
+    first = as_number(df, order[0])
+    cuts = split_points(df, first, n_buckets)
+    heavy = sorted(v for v, n in Counter(cuts).items() if n >= 3)
+    cuts += [math.nextafter(v, math.inf) for v in heavy]
+    out = bucket_by_splits(df, first, cuts, BUCKET)
+    if heavy and len(order) > 1 and dict(df.dtypes)[order[1]] in NUMERIC:
+        second, same = as_number(df, order[1]), first.isin(heavy)
+        inner = split_points(df.where(same), second, n_buckets)
+        out = bucket_by_splits(out, second, inner, "_ob2").withColumn(
+            BUCKET, F.col(BUCKET).cast("long") * (n_buckets + 1) + F.when(same, F.col("_ob2")).otherwise(0)).drop("_ob2")
+    return out
 
 
 def ordered_scan(
@@ -51,7 +78,7 @@ def ordered_scan(
     running_sum: dict[str, str] | None = None,
     forward_fill: dict[str, str] | None = None,
     row_number: str | None = None,
-    n_buckets: int = 256,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Add lag/lead (one row), inclusive running sums, last non-NULL value and 1-based row numbers.
 
@@ -60,7 +87,7 @@ def ordered_scan(
     """
     lag, lead = lag or {}, lead or {}
     running_sum, forward_fill = running_sum or {}, forward_fill or {}
-    rows = with_order_bucket(df, order[0], n_buckets)
+    rows = with_order_bucket(df, order, n_buckets or default_buckets(df))
     part = [*keys, BUCKET]
     pos = F.struct(*[F.col(c) for c in order])
 
@@ -114,11 +141,11 @@ def ordered_scan(
     return joined.select(*out)
 
 
-def dense_index(df: DataFrame, value: str, out: str, keys: list[str] | None = None, n_buckets: int = 256) -> DataFrame:
+def dense_index(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """0-based dense rank of a numeric column: the distinct values are ranked by an ordered scan and joined back."""
     keys = keys or []
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    ranked = ordered_scan(distinct, keys, [value], row_number="_dr", n_buckets=n_buckets)
+    ranked = ordered_scan(distinct, keys, [value], row_number="_dr")
     return df.join(
         ranked.select(*keys, value, (F.col("_dr") - 1).alias(out)), [*keys, value], "left"
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagelight.session import cut_lineage
+
 NEIGHBOURS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 HALF_NEIGHBOURS = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -32,35 +34,40 @@ def nearest_within(
     query: DataFrame, ref: DataFrame, radius: float, *,
     q: tuple[str, str] = ("x", "y"), r: tuple[str, str] = ("x", "y"),
     rid: str = "ref_id", strict: bool = False, levels: int = 1, group: list[str] | None = None,
+    spread_ref: bool = False,
 ) -> DataFrame:
     """Nearest reference point of each distinct query coordinate within ``radius`` (ties: lowest ``rid``).
 
     Result: group columns, query coordinates, ``rid``, ``dist``. Copies of one coordinate are merged on both sides
     first. With ``levels`` > 1 the search starts at ``radius / 2**(levels-1)`` and only points without a match go
-    on to the next size, so a dense cluster never meets a wide cell; the answer is the same.
+    on to the next size, so a dense cluster never meets a wide cell; the answer is the same. ``spread_ref`` repeats the
+    reference over its neighbour cells instead of the query: right when the reference is the smaller side.
     """
     group = group or []
     pts = query.select(*group, F.col(q[0]).cast("double").alias("_qx"), F.col(q[1]).cast("double").alias("_qy")).distinct()
     refs = ref.groupBy(*group, F.col(r[0]).cast("double").alias("_rx"), F.col(r[1]).cast("double").alias("_ry")).agg(
         F.min(rid).alias("_rid")
     )
+    if levels > 1:
+        pts, refs = cut_lineage(pts), cut_lineage(refs)
     found = None
     for level in range(levels):
         size = float(radius) / 2 ** (levels - 1 - level)
         d = F.hypot(F.col("_qx") - F.col("_rx"), F.col("_qy") - F.col("_ry"))
         last = level == levels - 1
         keep = d < size if (strict and last) else d <= size
+        own = lambda df, x, y: df.withColumn("_cx", cell(x, size)).withColumn("_cy", cell(y, size))
+        wide = lambda df, x, y: explode_cells(df, x, y, size)
+        ql, rl = (own, wide) if spread_ref else (wide, own)
         hit = (
-            explode_cells(pts, "_qx", "_qy", size)
-            .join(
-                refs.withColumn("_cx", cell("_rx", size)).withColumn("_cy", cell("_ry", size)),
-                [*group, "_cx", "_cy"],
-            )
+            ql(pts, "_qx", "_qy").join(rl(refs, "_rx", "_ry"), [*group, "_cx", "_cy"])
             .where(keep)
             .groupBy(*group, "_qx", "_qy")
             .agg(F.min(F.struct(d.alias("dist"), F.col("_rid").alias(rid))).alias("_m"))
             .select(*group, "_qx", "_qy", F.col(f"_m.{rid}").alias(rid), F.col("_m.dist").alias("dist"))
         )
+        if not last:
+            hit = cut_lineage(hit)
         found = hit if found is None else found.unionByName(hit)
         if not last:
             pts = pts.join(hit.select(*group, "_qx", "_qy"), [*group, "_qx", "_qy"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagelight import schemas
-from stagelight.sources.text import path_exists
+from stagelight.sources.text import path_exists, read_lines, rows_by_header
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -70,17 +70,11 @@ def load_csv_tolerant(spark: SparkSession, path: str, required: list[str]) -> tu
 
     The header decides per file, so files of different column order load together.
     """
-    from stagelight.sources.text import read_lines
-
     lines = read_lines(spark, path)
-    head = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("_h"), F.min(F.struct("block", "at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    head = head.withColumn("_h", F.transform(F.split("_h", ","), lambda s: F.trim(s)))
     need = F.array(*[F.lit(c) for c in required])
-    head = head.withColumn("loaded", (F.col("_n") > 1) & (F.size(F.array_except(need, F.col("_h"))) == 0))
-    cells = F.split("value", ",", -1)
-    rows = lines.join(head.where("loaded"), "file").where(F.struct("block", "at") != F.col("_first")).select(
-        "file", *[F.nullif(F.trim(F.get(cells, (F.array_position("_h", F.lit(c)) - 1).cast("int"))), F.lit("")).alias(c) for c in required])
-    return rows, head.select("file", "loaded")
+    rows = rows_by_header(lines, required).where(F.size(F.array_except(need, F.col("header"))) == 0).drop("header")
+    return rows, lines.select("file").distinct().join(rows.select("file").distinct().withColumn("loaded", F.lit(True)), "file", "left").select(
+        "file", F.coalesce("loaded", F.lit(False)).alias("loaded"))
 
 
 def load_drift(spark: SparkSession, folder: str) -> DataFrame:

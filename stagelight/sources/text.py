@@ -85,31 +85,28 @@ def read_focus_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_focus_logs(read_lines(spark, path))
 
 
-def read_frame_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Frame tables of several layouts as one table with the file name; the first column is the frame number.
+def rows_by_header(lines: DataFrame, columns: list[str], first: str | None = None) -> DataFrame:
+    """Cells of CSV lines by the header of their own file: (file, header, columns...), NULL where a file lacks a column.
 
-    Files are grouped by their header line, so each layout is one read.
+    ``first`` names the first column of every file, whatever its header says. No quoting.
     """
-    lines = read_lines(spark, path)
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("header"))
-    layouts = [r["header"] for r in first.select("header").distinct().collect()]  # a handful of header lines
-    out = None
-    for header in layouts:
-        cols = [c.strip() for c in header.split(",")]
-        files = [r["file"] for r in first.where(F.col("header") == header).select("file").collect()]
-        df = spark.read.option("header", "true").schema(", ".join(
-            f"`{'frame' if i == 0 else c}` STRING" for i, c in enumerate(cols))).csv(files)
-        df = df.select("*", F.col("_metadata.file_path").alias("file"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        return spark.createDataFrame([], "file STRING, " + schemas.FRAME_TABLE)
-    for c in ("channel", "segment"):
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    seg = F.when(F.trim("segment") != "", F.trim("segment"))
+    head = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("header"), F.min(F.struct("block", "at")).alias("_first"))
+    names = F.transform(F.split("header", ","), lambda s: F.trim(s))
+    if first:
+        names = F.concat(F.array(F.lit(first)), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))))
+    head = head.withColumn("header", names)
+    cells = F.split("value", ",", -1)
+    cell = lambda c: F.nullif(F.trim(F.get(cells, F.nullif(F.array_position("header", F.lit(c)), F.lit(0)).cast("int") - 1)), F.lit(""))
+    return lines.join(head, "file").where((F.struct("block", "at") != F.col("_first")) & (F.trim("value") != "")).select(
+        "file", "header", *[cell(c).alias(c) for c in columns])
+
+
+def read_frame_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Frame tables of several layouts as one table with the file name; the first column is the frame number."""
+    out = rows_by_header(read_lines(spark, path), ["frame", "color", "channel", "z", "segment"], first="frame")
     return out.select(
         "file", number(F.col("frame")).cast("int").alias("frame"), number(F.col("color")).alias("color"),
-        number(F.col("channel")).cast("int").alias("channel"), number(F.col("z")).alias("z"), seg.alias("segment"))
+        number(F.col("channel")).cast("int").alias("channel"), number(F.col("z")).alias("z"), "segment")
 
 
 def parse_codebooks(lines: DataFrame) -> DataFrame:

@@ -31,8 +31,7 @@ def rows_of(cols, rows):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, name, fn, sql, folder):
-    df = fn(spark, folder)
+def compare(df, sql, folder):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return f"rows {len(got)}"
@@ -66,7 +65,8 @@ if __name__ == "__main__":
             continue
         t = time.time()
         try:
-            res = compare(spark, n, fn, sqls.get(n), f"/root/testdata/sf{sf}")
+            folder = f"/root/testdata/sf{sf}"
+            res = compare(fn(spark, folder), sqls.get(n), folder)
         except Exception as ex:
             res = "ERROR " + str(ex)[:600]
         print(f"{n:40s} {time.time() - t:6.2f}s {res}", flush=True)
