@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses
+from stagelight.sources.scratch import scratch_dir
+
+from . import chat, decontamination, licenses, media, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_toxicity")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op6_media_columns")
+def op6(spark, folder):
+    return media.media_columns(table(spark, folder, "documents"))
+
+
 @query("op7_license_scan")
 def op7(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
@@ -48,3 +61,26 @@ FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)
 """)
 def op8(spark, folder):
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CONTROL_SQL = "[" + ", ".join(f"'{c}'" for c in chat.CONTROL) + "]"
+
+
+@query("op9_chat_formatting", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+    + list_sum(list_transform({CONTROL_SQL}, lambda c: (length(text) - length(replace(text, c, ''))) // length(c))) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + length(role) + {len(chat.BEGIN) + 1 + len(chat.END)})::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op9(spark, folder):
+    rows = chat.turn_records(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    told = "</s>[INST] ok [/INST]"
+    extra = chat.turn_records(spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string"))
+    folder = f"{scratch_dir(spark)}/turns"
+    chat.format_records(rows.unionByName(extra)).write.parquet(folder)
+    return chat.read_back(spark.read.parquet(folder))
