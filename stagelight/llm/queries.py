@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, decontamination, licenses, media, toxicity
+from . import chat, decontamination, langid, licenses, media, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Vocabulary of the piece operators; a file of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op2_sentencepiece")
+def op2(spark, folder):
+    return pieces.encode(table(spark, folder, "documents"), PIECES)
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.train(docs, PIECES))
+
+
 @query("op4_toxicity")
 def op4(spark, folder):
     docs = table(spark, folder, "documents")
