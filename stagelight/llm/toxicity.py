@@ -1,6 +1,6 @@
 """Toxicity by compression distance: windows of a text are compressed with an ordinary and with a toxic zstandard dictionary.
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic one is the same content followed by the fragments
+The ordinary dictionary is trained on windows of ordinary text. The toxic one has the same content after the fragments
 that toxic text has far oftener than ordinary text, so both compress ordinary words alike and the difference in length
 is what toxic fragments save. A logistic fit over the counts of windows above several differences calibrates the score.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .text import picked, record_batch, remainder
 
 #: Savings in bytes from which a window counts; each gives one feature.
-SAVINGS = (2, 3, 4, 5, 6, 8)
+SAVINGS = (1, 2, 3, 4, 5, 6)
 GAP = re.compile(rb"[\x00-\x20]+")
 
 
@@ -104,7 +104,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]], window: int = 64, ordinary_size: int = 32768, toxic_size: int = 2048) -> Model:
+def fit(rows: list[tuple[str, int]], window: int = 48, ordinary_size: int = 32768, toxic_size: int = 2048) -> Model:
     """Dictionaries from half of the distinct texts, weights from the other half; without both labels every score is the toxic share."""
     rows = list(dict.fromkeys(rows))
     texts = [[normal(t) for t, y in rows if y == label] for label in (0, 1)]
@@ -119,7 +119,7 @@ def fit(rows: list[tuple[str, int]], window: int = 64, ordinary_size: int = 3276
         ordinary = zstandard.train_dictionary(ordinary_size, samples[::step], k=64, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text for training: the text itself
         ordinary = b"".join(samples)[:ordinary_size]
-    toxic = ordinary + toxic_fragments(build[1], build[0], toxic_size)
+    toxic = toxic_fragments(build[1], build[0], toxic_size) + ordinary  # what both share lies equally near to a window
     a, b = compressor(ordinary), compressor(toxic)
     x = np.array([features(t, a, b, window) for label in (0, 1) for t in calibrate[label]])
     y = np.array([label for label in (0, 1) for _ in calibrate[label]], float)
