@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, decontamination, langid, licenses, media, pieces, toxicity
+from . import chat, decontamination, langid, licenses, media, ngrams, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op4(spark, folder):
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+@query("op5_lm_scoring")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return ngrams.score(docs, ngrams.train(docs))
+
+
 @query("op6_media_columns")
 def op6(spark, folder):
     return media.media_columns(table(spark, folder, "documents"))
