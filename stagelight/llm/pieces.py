@@ -214,7 +214,7 @@ def viterbi(chars: np.ndarray, found: list[tuple[int, np.ndarray]], unknown: np.
         rows.append(live)
         starts.append(pos[live].copy())
         piece = k.copy()
-        for size in np.unique(k[k > 0]):
+        for size in np.flatnonzero(np.bincount(k[k > 0])):
             m = k == size
             piece[m] = by_length[int(size)][live[m], pos[live[m]]]
         ids.append(piece)

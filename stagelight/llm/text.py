@@ -104,6 +104,12 @@ class Words:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def word_hash(word: bytes) -> int:
     """Hash of one word, equal to that of Words."""
     return int(Words([word], bytes(range(256))).hash[0])
