@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, decontamination, langid, licenses, media, ngrams, pieces, toxicity
+from . import chat, decontamination, langid, licenses, lines, media, ngrams, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_line_dedup", """
+WITH l AS (SELECT doc_id, no - 1 AS no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w, line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
+u AS (SELECT doc_id, no, doc_id * 1000000 + no AS place, w, len(w) AS n, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
+d AS (SELECT s, min(place) AS e, any_value(w) AS w, any_value(n) AS n FROM u GROUP BY s),
+k AS (SELECT s, e, array_to_string(w[1 : i - 1], ' ') || '|' || array_to_string(w[i + 1 : n], ' ') AS g, true AS cut FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 10)
+  UNION ALL SELECT s, e, array_to_string(w[1 : i - 1], ' ') || '|' || array_to_string(w[i : n], ' ') AS g, false AS cut FROM (SELECT *, unnest(range(1, n + 2)) AS i FROM d WHERE n >= 10)),
+m AS (SELECT g, min(e) FILTER (cut) AS c, min(e) FILTER (NOT cut) AS p FROM k GROUP BY g HAVING count(DISTINCT s) > 1),
+nr AS (SELECT s, min(least(c, CASE WHEN cut THEN p END)) AS f FROM k JOIN m USING (g) GROUP BY s, e HAVING min(least(c, CASE WHEN cut THEN p END)) < e),
+x AS (SELECT u.doc_id, u.no, nr.s IS NOT NULL AS near FROM u JOIN d USING (s) LEFT JOIN nr ON nr.s = u.s WHERE nr.s IS NOT NULL OR u.place > d.e),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(x.no) AS n_dropped, coalesce(sum(x.near::INT), 0)::BIGINT AS n_near, string_agg(line, chr(10) ORDER BY l.no) FILTER (x.no IS NULL) AS text
+  FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.no = l.no GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(n_near, 0)::BIGINT AS n_near
+FROM documents d LEFT JOIN t USING (doc_id)
+""")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, counts=True)
+
+
 #: Vocabulary of the piece operators; a file of a public tokenizer.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
