@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, decontamination, langid, licenses, lines, media, ngrams, pieces, toxicity
+from . import chat, darts, decontamination, langid, licenses, lines, media, ngrams, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ def op9(spark, folder):
     folder = f"{scratch_dir(spark)}/turns"
     chat.format_records(rows.unionByName(extra)).write.parquet(folder)
     return chat.read_back(spark.read.parquet(folder))
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, folder):
+    return darts.near_groups(table(spark, folder, "documents"))
