@@ -192,14 +192,14 @@ def dropped_lines(docs: DataFrame, min_words: int, near_words: int, folder: str)
     return late.select("mine.doc_id", "mine.number", "near")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folder: str | None = None, counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folder: str | None = None, counts: bool = False, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, texts without the lines that an earlier line repeats.
 
     Words are runs of non-blank bytes, A-Z lower-cased; lines end at line feeds. A line of min_words words or more is dropped
     if a line with the same words stands earlier, in order of id (NULL first) and line; one of near_words or more also if an
     earlier line of near_words or more is within one word, whether or not that one is kept itself. Shorter and blank lines
     stay. Rows that share an id share its places: equal lines at the same place stay in all of them. NULL stays NULL; a text
-    whose lines all go is ''. With counts, columns n_lines, n_dropped and n_near follow; other columns may have any name.
+    whose lines all go is ''; with drop_emptied, rows that lose lines and have no word left go. With counts, columns n_lines, n_dropped and n_near follow; other columns may have any name.
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark)
@@ -216,7 +216,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folde
         out["n_lines"] = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
         out["n_dropped"] = F.coalesce(F.when(text.isNotNull(), F.size("_gone").cast("long")), F.lit(0).cast("long"))
         out["n_near"] = F.coalesce("_near", F.lit(0).cast("long"))
-    return joined.select(*[c.alias(k) for k, c in out.items()])
+    out = joined.select(*[c.alias(k) for k, c in out.items()], F.col("_gone").isNotNull().alias("_changed"))
+    if drop_emptied:
+        out = out.where(~(F.col("_changed") & (F.length(F.regexp_replace(F.coalesce(out[text_col], F.lit("x")), "[\\x09-\\x0D ]+", "")) == 0)))
+    return out.drop("_changed")
 
 
 @F.pandas_udf(StringType())
