@@ -216,10 +216,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folde
         out["n_lines"] = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
         out["n_dropped"] = F.coalesce(F.when(text.isNotNull(), F.size("_gone").cast("long")), F.lit(0).cast("long"))
         out["n_near"] = F.coalesce("_near", F.lit(0).cast("long"))
-    out = joined.select(*[c.alias(k) for k, c in out.items()], F.col("_gone").isNotNull().alias("_changed"))
     if drop_emptied:
-        out = out.where(~(F.col("_changed") & (F.length(F.regexp_replace(F.coalesce(out[text_col], F.lit("x")), "[\\x09-\\x0D ]+", "")) == 0)))
-    return out.drop("_changed")
+        blank = F.length(F.regexp_replace(F.coalesce(out[text_col], F.lit("x")), "[\\x09-\\x0D ]+", "")) == 0
+        joined = joined.where(F.col("_gone").isNull() | ~blank)
+    return joined.select(*[c.alias(k) for k, c in out.items()])
 
 
 @F.pandas_udf(StringType())
