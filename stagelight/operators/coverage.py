@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelight.operators.graph import connected_components
-from stagelight.operators.kernels import disk_offsets
 from stagelight.operators.pixels import gaussian_kernel, otsu_threshold
 from stagelight.session import cut_lineage
 
 Ring = list[tuple[float, float]]
 
 
+def disk_offsets(radius: int) -> list[tuple[int, int]]:
+    """Steps (row, column) to all pixels within the radius."""
+    side = range(-radius, radius + 1)
+    return [(a, b) for a in side for b in side if a * a + b * b <= radius * radius]
+
+
 def square_areas(ring: np.ndarray, x: np.ndarray, y: np.ndarray, half: float) -> np.ndarray:
     """Area of a polygon inside each square, exactly: the polygon boundary is integrated with x and y clipped.
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stagelight.functions.scalar import expected_name, pad_number, round_even
 from stagelight.operators.quantile import attach, exact_quantiles
@@ -195,35 +191,17 @@ def nearest_1d(targets: DataFrame, rows: DataFrame, keys: list[str], t: str, z:
 
 
 def reference_consistency(steps: DataFrame, commands: DataFrame) -> DataFrame:
-    """Step names without an exact command of their kind, with the closest one: kind, name, protocols, n, suggestion, score.
+    """Step names without an exact command of their kind: kind, name, protocol, pos (first), n, suggestion, normalized_match.
 
-    steps: kind, name, protocol, pos; commands: kind, name, pos. The commands of one kind are a configuration list; each
-    unknown name is scored against that list inside a task, so no pairs are made.
+    steps: kind, name, protocol, pos; commands: kind, name, pos. The suggestion is the first command of the kind that
+    is the same but for case and outer blanks, NULL without one. One row per unknown name and protocol; equi joins only.
     """
+    fold = lambda c: F.lower(F.trim(c)).alias("_f")
     unknown = steps.join(commands.select("kind", "name").distinct(), ["kind", "name"], "left_anti")
-    firsts = unknown.groupBy("kind", "name", "protocol").agg(F.min("pos").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    grouped = firsts.groupBy("kind", "name").agg(
-        F.sort_array(F.collect_list(F.struct("_p", "protocol")))["protocol"].alias("protocols"), F.sum("_n").alias("n"))
-    lists = commands.groupBy("kind", "name").agg(F.min("pos").alias("_p")).groupBy("kind").agg(
-        F.sort_array(F.collect_list(F.struct("_p", "name")))["name"].alias("_c"))
-
-    @F.pandas_udf(T.StructType([T.StructField("suggestion", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def closest(name: pd.Series, options: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, opts in zip(name, options):
-            best, score = None, 0.0
-            m = SequenceMatcher(None, n.strip().casefold(), "")
-            for o in (opts if opts is not None else []):
-                m.set_seq2(o.strip().casefold())
-                r = m.ratio()
-                if r > score:
-                    best, score = o, r
-            out.append((best, score))
-        return pd.DataFrame(out, columns=["suggestion", "score"])
-
-    s = grouped.join(lists, "kind", "left").withColumn("_s", closest("name", "_c"))
-    same = F.coalesce(F.lower(F.trim("name")) == F.lower(F.trim("_s.suggestion")), F.lit(False))
-    return s.select("kind", "name", "protocols", "n", "_s.suggestion", "_s.score", same.alias("normalized_match")).orderBy("kind", "name")
+    found = unknown.groupBy("kind", "name", "protocol").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("_f", fold("name"))
+    close = commands.groupBy("kind", fold("name")).agg(F.min(F.struct("pos", "name"))["name"].alias("suggestion"))
+    return found.join(close, ["kind", "_f"], "left").select(
+        "kind", "name", "protocol", "pos", "n", "suggestion", F.col("suggestion").isNotNull().alias("normalized_match"))
 
 
 def last_flowed_valve(steps: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagelight.operators.scan import bucket_by_splits, default_buckets, split_points
+from stagelight.operators.scan import bucket_by_splits, default_buckets, null_safe_join, split_points
 
 
 def exact_quantiles(
@@ -25,7 +25,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column per probability; ``linear`` interpolates, ``discrete`` does not.
 
-    NULL values are ignored; groups without any value give no row (without keys: one row of NULLs). ``weight`` is an integer repeat count.
+    NULL values are ignored; a NULL key is a group like any other; groups without any value give no row (without keys: one row of NULLs). ``weight`` is an integer repeat count.
     """
     if method not in ("linear", "discrete"):
         raise ValueError(f"unknown quantile method: {method}")
@@ -64,8 +64,7 @@ def exact_quantiles(
     )
     in_bin = Window.partitionBy(*keys, "_b").orderBy("_v")
     hits = (
-        binned.select(*keys, "_b", "_v", "_c")
-        .join(bins, [*keys, "_b"])
+        null_safe_join(binned.select(*keys, "_b", "_v", "_c"), bins, [*keys, "_b"], "inner")
         .withColumn("_end", F.col("_start") + F.sum("_c").over(in_bin))
         .withColumn("_beg", F.col("_end") - F.col("_c"))
         .select(
@@ -90,6 +89,6 @@ def exact_quantiles(
 def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Bring per-group (or, without keys, whole-table) one-row statistics to the rows, without a cross join."""
     if keys:
-        return df.join(stats, keys, "left")
+        return null_safe_join(df, stats, keys)
     one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     return df.withColumn("_one", one).select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in stats.columns])

@@ -21,6 +21,14 @@ BUCKET = "_ob"
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys of which NULL equals NULL; an equi join. Columns of the left, then those of the right without the keys."""
+    own = [f"_key{i}_" for i in range(len(keys))]
+    there = right.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
+    return left.join(there, same, how).drop(*own)
+
+
 def default_buckets(df: DataFrame) -> int:
     """Some buckets per shuffle partition, so that the largest group spreads over the whole cluster."""
     return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -83,7 +91,7 @@ def ordered_scan(
     """Add lag/lead (one row), inclusive running sums, last non-NULL value and 1-based row numbers.
 
     ``order[0]`` must be numeric or a timestamp and not NULL; ``order`` as a whole should be unique per group.
-    Keys must not be NULL.
+    Rows with a NULL key are a group like any other.
     """
     lag, lead = lag or {}, lead or {}
     running_sum, forward_fill = running_sum or {}, forward_fill or {}
@@ -127,7 +135,7 @@ def ordered_scan(
     for o, c in forward_fill.items():
         here = here.withColumn(f"_in_{o}", F.last(c, ignorenulls=True).over(upto))
 
-    joined = here.join(carry, part, "left")
+    joined = null_safe_join(here, carry, part)
     out = [F.col(c) for c in df.columns]
     out += [F.when(F.col("_rn") == 1, F.col(f"_tail.{o}")).otherwise(F.col(f"_in_{o}")).alias(o) for o in lag]
     out += [F.when(F.col("_last"), F.col(f"_head.{o}")).otherwise(F.col(f"_in_{o}")).alias(o) for o in lead]
@@ -146,6 +154,4 @@ def dense_index(df: DataFrame, value: str, out: str, keys: list[str] | None = No
     keys = keys or []
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
     ranked = ordered_scan(distinct, keys, [value], row_number="_dr")
-    return df.join(
-        ranked.select(*keys, value, (F.col("_dr") - 1).alias(out)), [*keys, value], "left"
-    )
+    return null_safe_join(df, ranked.select(*keys, value, (F.col("_dr") - 1).alias(out)), [*keys, value])

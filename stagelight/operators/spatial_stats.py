@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +12,21 @@ from stagelight.operators.spatial import cell, explode_cells
 from stagelight.session import cut_lineage
 
 
-def nearest_other_distance(points: DataFrame, radius: float, doublings: int = 3) -> DataFrame:
+def nearest_other_distance(points: DataFrame, radius: float) -> DataFrame:
     """Distance from each distinct coordinate to the nearest other point; copies are at distance 0.
 
-    The search ring doubles for points without a neighbour; after the last ring a point stays NULL.
+    The search ring doubles for the points that have no neighbour yet, until none is left: distances are exact whatever
+    the radius. NULL only where all points share one coordinate.
     """
     pts = points.groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(
         F.count(F.lit(1)).alias("_n"))
     found = pts.where("_n > 1").select("x", "y", "_n", F.lit(0.0).alias("dist"))
     left = pts.where("_n = 1").select("x", "y")
     ref = pts.select(F.col("x").alias("_rx"), F.col("y").alias("_ry"))
+    box = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    widest = 0.0 if box[0] is None else math.hypot(box[1] - box[0], box[3] - box[2])
     size = float(radius)
-    for ring in range(doublings):
+    while True:
         d = F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry"))
         hit = (
             explode_cells(left, "x", "y", size)
@@ -29,16 +34,15 @@ def nearest_other_distance(points: DataFrame, radius: float, doublings: int = 3)
             .where((d > 0) & (d <= size)).groupBy("x", "y").agg(F.min(d).alias("dist"))
         )
         found = found.unionByName(hit.select("x", "y", F.lit(1).cast("long").alias("_n"), "dist"))
-        left = left.join(hit, ["x", "y"], "left_anti")
+        left = cut_lineage(left.join(hit, ["x", "y"], "left_anti"))
+        if size > widest or left.isEmpty():
+            break
         size *= 2
     return found.unionByName(left.select("x", "y", F.lit(1).cast("long").alias("_n"), F.lit(None).cast("double").alias("dist")))
 
 
-def median_nn_distance(points: DataFrame, radius: float, doublings: int = 1) -> DataFrame:
-    """One row: median nearest-neighbour distance over all points (NULL below two points).
-
-    With a stage grid one ring of a few steps is enough; give more ``doublings`` for scattered points.
-    """
-    d = cut_lineage(nearest_other_distance(points, radius, doublings))
+def median_nn_distance(points: DataFrame, radius: float) -> DataFrame:
+    """One row: median nearest-neighbour distance over all points (NULL below two points); ``radius`` is only the first ring."""
+    d = cut_lineage(nearest_other_distance(points, radius))
     q = exact_quantiles(d, [], "dist", {"median_nn": 0.5}, weight="_n")
     return q.agg(F.max("median_nn").alias("median_nn"))

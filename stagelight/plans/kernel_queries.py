@@ -10,7 +10,6 @@ from stagelight.operators import coverage as Q
 from stagelight.operators import graph as N
 from stagelight.operators import kernels as K
 from stagelight.operators import positions as G
-from stagelight.operators.aggregate import haze_level
 from stagelight.operators.model import fit_damage_model, score_windows
 from stagelight.operators.pixels import explode_pixels_of
 from stagelight.operators.spatial import contact_edges
@@ -114,18 +113,6 @@ def _(spark, d):
     return rounded(K.localize_3d(f, ["stack"], "z", 3, 4, 3, 0.2), {"x_px", "y_px", "z_um"})
 
 
-@query("K9_tissue_features")
-def _(spark, d):
-    t = K.tissue_features(big_images(spark, d), ["image"], 700.0, 0.0, 1, window=32, step=16, um_px=1.0)
-    return rounded(t, set(K.FEATURES))
-
-
-@query("K9_empty_level_haze")
-def _(spark, d):
-    lv = K.empty_level(big_images(spark, d), ["image"], 700.0, 2)
-    return rounded(haze_level(lv, "level", "fg", 0.5), {"haze"})
-
-
 @query("K10_fit_and_score_model")
 def _(spark, d):
     k = F.col("p_partkey")

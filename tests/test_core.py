@@ -1,14 +1,16 @@
 """Ordered scans, exact quantiles and spatial joins against brute force, with one group holding most rows."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stagelight.operators.quantile import exact_quantiles
+from stagelight.operators.quantile import attach, exact_quantiles
 from stagelight.operators.scan import dense_index, ordered_scan
 from stagelight.operators.spatial import contact_edges, mutual_nearest, nearest_within
-from stagelight.operators.spatial_stats import nearest_other_distance
+from stagelight.operators.spatial_stats import median_nn_distance, nearest_other_distance
 
 
 def skewed(n=3000, seed=0):
@@ -113,5 +115,23 @@ def test_mutual_nearest_limits(spark):
 def test_nearest_other_distance(spark):
     p = [(0, 0), (0, 0), (10, 0), (13, 0), (500, 500)]
     df = spark.createDataFrame([(float(a), float(b)) for a, b in p], "x double, y double")
-    got = {(r.x, r.y): r.dist for r in nearest_other_distance(df, 4.0, 2).collect()}
-    assert got == {(0, 0): 0.0, (10, 0): 3.0, (13, 0): 3.0, (500, 500): None}
+    got = {(r.x, r.y): r.dist for r in nearest_other_distance(df, 4.0).collect()}
+    assert got == {(0, 0): 0.0, (10, 0): 3.0, (13, 0): 3.0, (500, 500): math.hypot(487, 500)}
+
+
+def test_median_distance_counts_lonely_points(spark):
+    df = spark.createDataFrame([(float(x), 0.0) for x in (0, 1, 100, 200, 300)], "x double, y double")
+    assert median_nn_distance(df, 10.0).first().median_nn == 99.0
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(None, 1.0), (None, 3.0), (None, 8.0), ("a", 5.0), ("a", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 3.0, "a": 6.0}
+    with_m = {(r.g, r.v): r.m for r in attach(df, exact_quantiles(df, ["g"], "v", {"m": 0.5}), ["g"]).collect()}
+    assert with_m[(None, 8.0)] == 3.0 and len(with_m) == 5
+    s = {(r.g, r.v): (r.before, r.total, r.rn) for r in ordered_scan(df, ["g"], ["v"], lag={"before": "v"}, running_sum={"total": "v"}, row_number="rn", n_buckets=3).collect()}
+    assert s[(None, 8.0)] == (3.0, 12.0, 3) and s[(None, 1.0)] == (None, 1.0, 1) and s[("a", 7.0)] == (5.0, 12.0, 2)
+    d = {(r.g, r.v): r.i for r in dense_index(df, "v", "i", ["g"]).collect()}
+    assert d[(None, 3.0)] == 1 and d[("a", 5.0)] == 0

@@ -149,20 +149,6 @@ def test_localize_3d(spark):
     assert got == [pytest.approx((10.4, 12.3, 2.3), abs=0.1), pytest.approx((30.2, 28.6, 2.9), abs=0.1)]
 
 
-def test_tissue_features(spark):
-    rng = np.random.default_rng(11)
-    yy, xx = np.mgrid[:64, :64]
-    img = 100 + rng.normal(0, 3, (64, 64))
-    for r, c in rng.integers(4, 60, (30, 2)):
-        img += 2000 * (np.hypot(yy - r, xx - c) < 5)
-    df = frames(spark, [img.astype(np.uint16), np.full((64, 64), 100, np.uint16)])
-    got = K.tissue_features(df, ["frame"], 90.0, 0.0, 1, window=32, step=16, um_px=1.0).toPandas()
-    assert set(got["frame"]) == {0} and len(got) > 1  # the flat frame has no tissue
-    assert got.filter(like="spec_").sum(axis=1).between(0, 1.0001).all() and got["fg_frac"].between(0.2, 1).all()
-    scaled = K.tissue_features(frames(spark, [(img * 3).astype(np.uint16)]), ["frame"], 270.0, 0.0, 1, window=32, step=16, um_px=1.0).toPandas()
-    assert len(scaled) == len(got) and np.allclose(scaled["log_p50"], got["log_p50"], rtol=0.02)  # gain does not matter
-
-
 def test_peaks_and_valley(spark):
     y = np.array([0, 3, 1, 1, 5, 5, 2, 0.5, 4, 0.0])
     assert K and X.peak_prominences(y) == [(1, 2.0), (4, 5.0), (8, 3.5)]
