@@ -201,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return judged(match_items(docs, benchmark, **options)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def without_spans(text: str | None, spans) -> str | None:
+def without_spans(text, spans):
     """The text without its byte spans; a cut leaves a line break."""
     if not text or spans is None or not len(spans):
         return text
