@@ -27,28 +27,28 @@ def lexicographic_rank(df: DataFrame, metrics: list[str], tie: str) -> DataFrame
     return ordered_scan(df, [], [*metrics, tie], row_number="rank")
 
 
+def seeded_order(id: str, seed: int):
+    """A pseudo-random order of ids that other engines can repeat: md5 of the id and the seed as text."""
+    return F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def near_percentile_sample(df: DataFrame, value: str, id: str, probs: list[float], seed: int, closest: int = 3) -> DataFrame:
     """For each probability a seeded pick among the ``closest`` rows to that percentile: (prob, id, value).
 
-    One aggregate per probability would need a sort; instead each task keeps its nearest rows by top-k.
+    All percentiles come from one pass; then one pass per table ranks the rows of every percentile, and Spark's limit on
+    the rank keeps ``closest`` rows of each in every task before the shuffle.
     """
     q = exact_quantiles(df, [], value, {f"q{i}": p for i, p in enumerate(probs)})
-    picks = []
-    for i, p in enumerate(probs):
-        target = q.select(f"q{i}").scalar()
-        near = (
-            df.select(id, value).withColumn("_t", target)
-            .orderBy(F.abs(F.col(value) - F.col("_t")), id).limit(closest)
-        )
-        picks.append(
-            near.orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(1).select(F.lit(p).alias("prob"), id, value)
-        )
-    return reduce(DataFrame.unionByName, picks)
+    targets = q.select(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(f"q{i}").alias("t")) for i, p in enumerate(probs)]).alias("a")).scalar()
+    wide = df.select(id, value).where(F.col(value).isNotNull()).withColumn("_t", F.explode(targets)).select(F.col("_t.prob").alias("prob"), id, value, F.abs(F.col(value) - F.col("_t.t")).alias("_d"))
+    near = brightest_per_group(wide.withColumn("_d", -F.col("_d")), ["prob"], "_d", [id], closest)
+    return near.groupBy("prob").agg(F.min(F.struct(seeded_order(id, seed).alias("h"), F.col(id).alias("i"), F.col(value).alias("v"))).alias("_m")).select(
+        "prob", F.col("_m.i").alias(id), F.col("_m.v").alias(value))
 
 
 def seeded_sample(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
     """A repeatable sample of ``n`` rows: the first by a seeded hash of the id."""
-    return df.orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(n)
+    return df.orderBy(seeded_order(id, seed), id).limit(n)
 
 
 def outer_union(frames: list[DataFrame]) -> DataFrame:

@@ -249,14 +249,16 @@ def _(spark, d):
     return T.lexicographic_rank(m, ["n_fovs", "waste", "longest"], "fov_id").select("fov_id", "rank")
 
 
-@query("T4_near_percentile_sample")
+@query("T4_near_percentile_sample", """WITH q2 AS (SELECT 0.1e0 AS prob, quantile_cont(o_totalprice, 0.1) AS t FROM orders UNION ALL SELECT 0.5e0, quantile_cont(o_totalprice, 0.5) FROM orders UNION ALL SELECT 0.9e0, quantile_cont(o_totalprice, 0.9) FROM orders),
+  n AS (SELECT prob, o_orderkey, o_totalprice FROM orders, q2 QUALIFY row_number() OVER (PARTITION BY prob ORDER BY abs(o_totalprice - t), o_orderkey) <= 3)
+  SELECT prob, o_orderkey, o_totalprice FROM n QUALIFY row_number() OVER (PARTITION BY prob ORDER BY md5(o_orderkey || '|7'), o_orderkey) = 1""")
 def _(spark, d):
     return T.near_percentile_sample(
         table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", [0.1, 0.5, 0.9], seed=7
     )
 
 
-@query("T5_seeded_anchor_sample")
+@query("T5_seeded_anchor_sample", f"""WITH {PS} SELECT * FROM ps ORDER BY md5(fov_id || '|3'), fov_id LIMIT 10""")
 def _(spark, d):
     return T.seeded_sample(positions(spark, d), "fov_id", 10, seed=3)
 
