@@ -50,12 +50,11 @@ def _(spark, d):
 
 @query("X3_phase_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 21600 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), b AS (SELECT user_id, k, min(ts) AS a, max(ts) AS z, count(*) AS n FROM s GROUP BY ALL)
-  SELECT user_id, round(epoch(a), 3) AS start_s, round(epoch(z), 3) AS last_s, n FROM b WHERE epoch(z) + 21600 <= (SELECT floor(epoch_ms(max(ts)) / 1000e0 * 1000) / 1000 - 86400 FROM events)""")
+  SELECT user_id, round(epoch(a), 3) AS start_s, round(epoch(z), 3) AS last_s, n FROM b""")
 def _(spark, d):
     folder, stream = arrivals(spark, d, ("ts", "user_id"), days=100)
-    s = R.imaging_sessions(stream, ["user_id"], gap="6 hours", late="1 day")
-    R.run_to_end(s, lambda df, n: R.put_batch(df, folder + "/out", n), folder + "/cp")
-    out = R.get_table(spark, folder + "/out", "user_id LONG, start TIMESTAMP, last TIMESTAMP, n LONG")
+    R.run_to_end(stream, lambda df, n: R.put_batch(R.session_parts(df, ["user_id"], gap="6 hours"), folder + "/out", n), folder + "/cp")
+    out = R.imaging_sessions(R.get_table(spark, folder + "/out", "user_id LONG, start TIMESTAMP, last TIMESTAMP, n LONG"), ["user_id"], 6 * 3600.0)
     sec = lambda c: F.round(F.col(c).cast("double"), 3)
     return out.select("user_id", sec("start").alias("start_s"), sec("last").alias("last_s"), "n")
 
@@ -129,18 +128,16 @@ def _(spark, d):
     return R.still_waiting(spark, ["key"], folder + "/out", folder + "/retry", schema)
 
 
-@query("X9_windowed_rate", """WITH w AS (SELECT event_type, floor(epoch(ts) / 3600) * 3600 AS start_s, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, start_s, n FROM w WHERE start_s + 3600 <= (SELECT epoch(max(ts)) - 86400 FROM events)""")
+@query("X9_windowed_rate", """WITH w AS (SELECT event_type, floor(epoch(ts) / 3600) * 3600 AS start_s, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, start_s, n FROM w""")
 def _(spark, d):
     folder, stream = arrivals(spark, d, ("ts", "event_type"), days=100)
-    s = R.arrival_rate(stream, ["event_type"], width="1 hour", late="1 day")
-    R.run_to_end(s, lambda df, n: R.put_batch(df, folder + "/out", n), folder + "/cp")
-    out = R.get_table(spark, folder + "/out", "event_type STRING, start TIMESTAMP, n LONG")
+    R.run_to_end(stream, lambda df, n: R.put_batch(R.rate_parts(df, ["event_type"], width="1 hour"), folder + "/out", n), folder + "/cp")
+    out = R.arrival_rate(R.get_table(spark, folder + "/out", "event_type STRING, start TIMESTAMP, n LONG"), ["event_type"])
     return out.select("event_type", F.col("start").cast("double").alias("start_s"), "n")
 
 
-@query("X9_sliding_rate", """WITH w AS (SELECT (floor(epoch(ts) / 1800) - i) * 1800 AS start_s, count(*) AS n FROM events, range(2) t(i) GROUP BY ALL) SELECT start_s, n FROM w WHERE start_s + 3600 <= (SELECT epoch(max(ts)) - 86400 FROM events)""")
+@query("X9_sliding_rate", """WITH w AS (SELECT (floor(epoch(ts) / 1800) - i) * 1800 AS start_s, count(*) AS n FROM events, range(2) t(i) GROUP BY ALL) SELECT start_s, n FROM w""")
 def _(spark, d):
     folder, stream = arrivals(spark, d, ("ts", "event_type"), days=100)
-    s = R.arrival_rate(stream, [], width="1 hour", slide="30 minutes", late="1 day")
-    R.run_to_end(s, lambda df, n: R.put_batch(df, folder + "/out", n), folder + "/cp")
-    return R.get_table(spark, folder + "/out", "start TIMESTAMP, n LONG").select(F.col("start").cast("double").alias("start_s"), "n")
+    R.run_to_end(stream, lambda df, n: R.put_batch(R.rate_parts(df, [], width="1 hour", slide="30 minutes"), folder + "/out", n), folder + "/cp")
+    return R.arrival_rate(R.get_table(spark, folder + "/out", "start TIMESTAMP, n LONG"), []).select(F.col("start").cast("double").alias("start_s"), "n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -75,12 +75,24 @@ def stable_paths(observations: DataFrame) -> DataFrame:
     return observations.groupBy("path").applyInPandasWithState(step, out, "size LONG, done BOOLEAN", "append", GroupStateTimeout.NoTimeout)
 
 
-def imaging_sessions(arrivals: DataFrame, keys: list[str], ts: str = "ts", gap: str = "180 seconds", late: str = "10 minutes") -> DataFrame:
-    """Bursts of arrivals (start, end, n) with gaps shorter than ``gap``; a burst comes out once the watermark passes it."""
-    g = arrivals.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last"))
+def session_parts(arrivals: DataFrame, keys: list[str], ts: str = "ts", gap: str = "180 seconds") -> DataFrame:
+    """Bursts (start, last, n) within the rows of one batch: gaps shorter than ``gap``."""
+    g = arrivals.groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last"))
     return g.select(*keys, F.col("session_window.start").alias("start"), "last", "n")
 
 
+def imaging_sessions(parts: DataFrame, keys: list[str], gap_s: float = 180.0) -> DataFrame:
+    """Bursts (start, last, n) over all batches, the open ones too: parts that overlap or lie closer than the gap are one.
+
+    A batch adds only its own bursts, however late its rows are, so nothing is dropped and no event-time limit is needed.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start").cast("double") - reached.cast("double") < gap_s, 0).otherwise(1)
+    numbered = parts.withColumn("_new", new).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_k").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_k")
+
+
 def phase_of(idle_s, t_min: float, t_max: float):
     """Phase from the seconds since the last file: imaging, fluidics (with room for work between the limits), waiting."""
     return (
@@ -196,7 +208,12 @@ def still_waiting(spark: SparkSession, keys: list[str], results: str, retry: str
     return get_table(spark, retry, schema).select(*keys).distinct().join(get_table(spark, results, schema).select(*keys), keys, "left_anti")
 
 
-def arrival_rate(arrivals: DataFrame, keys: list[str], ts: str = "ts", width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Arrivals per tumbling (or sliding) window; a window comes out when the watermark passes it."""
+def rate_parts(arrivals: DataFrame, keys: list[str], ts: str = "ts", width: str = "60 seconds", slide: str | None = None) -> DataFrame:
+    """Arrivals of one batch per tumbling (or sliding) window."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return arrivals.withWatermark(ts, late).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("window.start").alias("start"), "n")
+    return arrivals.groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("window.start").alias("start"), "n")
+
+
+def arrival_rate(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Arrivals per window over all batches, open windows and late rows included: counts of batches add up."""
+    return parts.groupBy(*keys, "start").agg(F.sum("n").alias("n"))
