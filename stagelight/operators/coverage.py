@@ -62,15 +62,40 @@ def touches(ring: np.ndarray, x: np.ndarray, y: np.ndarray, half: float) -> np.n
     return hit
 
 
+def disjoint_parts(rings: list[Ring]) -> list[Ring]:
+    """The union of polygons as convex quads that do not overlap: strips between the heights of vertices and crossings."""
+    edges = [(k, *a, *b) for k, r in enumerate(rings) for a, b in zip(r, [*r[1:], r[0]]) if a[1] != b[1]]
+    edges = [(k, *((x0, y0, x1, y1) if y0 < y1 else (x1, y1, x0, y0))) for k, x0, y0, x1, y1 in edges]
+    at = lambda e, y: e[1] + (e[3] - e[1]) * (y - e[2]) / (e[4] - e[2])
+    heights = {y for e in edges for y in (e[2], e[4])}
+    for i, e in enumerate(edges):
+        for f in edges[:i]:
+            lo, hi = max(e[2], f[2]), min(e[4], f[4])
+            if lo < hi and (d := at(e, lo) - at(f, lo)) * (g := at(e, hi) - at(f, hi)) < 0:
+                heights.add(lo + (hi - lo) * d / (d - g))
+    out, ys = [], sorted(heights)
+    for lo, hi in zip(ys, ys[1:]):
+        mid, inside, left = (lo + hi) / 2, set(), None
+        for e in sorted((e for e in edges if e[2] <= lo and e[4] >= hi), key=lambda e: at(e, mid)):
+            before = bool(inside)
+            inside ^= {e[0]}
+            if not before and inside:
+                left = e
+            elif before and not inside:
+                out.append([(at(left, lo), lo), (at(e, lo), lo), (at(e, hi), hi), (at(left, hi), hi)])
+    return out
+
+
 def coverage_filter(fovs: DataFrame, boundary: Ring, holes: list[Ring], fov_size: float, min_fraction: float = 0.0,
                     subsets: list[Ring] | None = None) -> DataFrame:
-    """Keep square FOVs (x, y centre) over tissue; polygons are small and travel with the tasks. Holes must not overlap.
+    """Keep square FOVs (x, y centre) over tissue; polygons are small and travel with the tasks.
 
-    min_fraction 0: the square meets the boundary and no hole contains it. Otherwise: area inside the boundary and
-    outside the holes over the square's area reaches the fraction. With ``subsets`` it must also meet one of them.
+    min_fraction 0: the square meets the boundary and the union of the holes does not cover it. Otherwise: area inside
+    the boundary and outside that union over the square's area reaches the fraction. Holes may overlap or repeat.
+    With ``subsets`` the square must also meet one of them.
     """
     half, full = fov_size / 2.0, fov_size * fov_size
-    outer, inner = np.array(boundary, float), [np.array(h, float) for h in holes]
+    outer, inner = np.array(boundary, float), [np.array(q, float) for q in disjoint_parts(holes)]
     wanted = [np.array(s, float) for s in subsets or []]
 
     @F.pandas_udf("boolean")
@@ -78,8 +103,8 @@ def coverage_filter(fovs: DataFrame, boundary: Ring, holes: list[Ring], fov_size
         x, y = xs.to_numpy(float), ys.to_numpy(float)
         if min_fraction <= 0:
             ok = touches(outer, x, y, half)
-            for h in inner:
-                ok &= square_areas(h, x, y, half) < full * (1 - 1e-12)
+            if inner:
+                ok &= sum(square_areas(h, x, y, half) for h in inner) < full * (1 - 1e-9)
         else:
             area = square_areas(outer, x, y, half)
             for h in inner:

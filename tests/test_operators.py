@@ -224,3 +224,17 @@ def test_series_regex(spark):
     assert re.match(S.series_regex("hal-m.f_{fov:03d}_00"), "hal-mxf_12_00") is None
     df = spark.createDataFrame([("hal-mf3_01_{fov:03d}",), ("hal_cells_{fov:03d}",)], "p string")
     assert [r[0] for r in df.select(S.series_stem("p")).collect()] == ["hal-mf3", "hal_cells"]
+
+
+def test_holes_may_overlap_or_repeat(spark):
+    from stagelight.operators.coverage import coverage_filter, disjoint_parts
+
+    area = lambda q: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(q, [*q[1:], q[0]]))) / 2
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    assert abs(sum(map(area, disjoint_parts([square(0, 0, 10), square(5, 5, 10), square(0, 0, 10), square(2, 2, 3)]))) - 175) < 1e-9
+    assert abs(sum(map(area, disjoint_parts([[(0, 0), (4, 4), (0, 8)], [(4, 0), (4, 8), (0, 4)]]))) - 24) < 1e-9
+    fovs = spark.createDataFrame([(0, 5.0, 5.0), (1, 12.0, 5.0), (2, 50.0, 50.0)], "fov_id int, x double, y double")
+    ring, hole = square(0, 0, 100), square(0, 0, 9)
+    ids = lambda holes, f: sorted(r.fov_id for r in coverage_filter(fovs, ring, holes, 10.0, f).collect())
+    assert ids([hole], 0.15) == ids([hole, hole, hole], 0.15) == [0, 1, 2]
+    assert ids([square(0, 0, 6), square(4, 0, 6), square(0, 4, 6), square(4, 4, 6)], 0.0) == [1, 2]
