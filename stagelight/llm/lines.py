@@ -4,8 +4,9 @@ A line is dropped if an earlier line has the same words, or differs by one inser
 an edit distance of one share a variant: deleting one word of each, or of the longer, leaves the same words. Every variant is
 a hashed key that comes from prefix sums, so all variants of a line cost time in proportion to its length.
 
-Two lines within the bound share their first or their last half, so only lines that share a half with another line emit
-variants; a bit table of their hashes (bounded, false hits only add work) tells the tasks which. In a group of equal
+Two lines within the bound share their first or their last half, so only lines that share a half with another line have
+variants, and only variants that two lines share are joined; bit tables of the shared halves and variants (bounded, false
+hits only add work) tell the tasks which. In a group of equal
 variants all lines are within the bound of its earliest line, so a group needs its minimum, not its pairs.
 """
 
@@ -24,7 +25,7 @@ from stagelight.sources.scratch import scratch_dir
 from .text import BASE, INVERSE, SPACED, Words, mix, picked, powers, prefix, slices
 
 SLICE = 1 << 22
-#: log2 of the bits of the table of lines that emit variants.
+#: log2 of the bits of the tables of shared halves and variants.
 TABLE_BITS = 25
 
 
@@ -49,6 +50,14 @@ class Lines:
         """Hash of the words [a, z)."""
         return sealed((self.prefix[z] - self.prefix[a]) * powers(len(self.prefix), INVERSE)[a], z - a)
 
+    def halves(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the halves of lines, four columns, and which count: a line meets lines of its own length and of one word more."""
+        a, z, n = self.first[use], self.last[use], self.count[use]
+        sizes = (n // 2, (n + 1) // 2)
+        keys = np.stack([self.key(a, a + h) ^ np.uint64(1) for h in sizes] + [self.key(z - h, z) for h in sizes], axis=1)
+        odd = n % 2 == 1
+        return keys, np.stack([np.ones(len(n), bool), odd, np.ones(len(n), bool), odd], axis=1)
+
     def variants(self, i: int) -> np.ndarray:
         """Hashes of line i without its first, second, .. word, equal to those of lines that have these words."""
         a, z = int(self.first[i]), int(self.last[i])
@@ -75,14 +84,9 @@ def line_rows(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
             for first, texts in slices(b.column(1), SLICE):
                 x = Lines(texts)
                 use = np.flatnonzero(x.count >= min_words)
-                a, z, n = x.first[use], x.last[use], x.count[use]
-                # a line meets lines of its own length and of one word more or less: halves of n and of n + 1 words
-                keys = [x.key(a, a + h) ^ np.uint64(1) for h in (n // 2, (n + 1) // 2)] + [x.key(z - h, z) for h in (n // 2, (n + 1) // 2)]
-                near, odd = n >= near_words, n % 2 == 1
-                size = np.where(near, np.where(odd, 4, 2), 0)
-                chosen = np.stack([near, near & odd, near, near & odd], axis=1)
-                flat = np.stack(keys, axis=1)[chosen] if len(use) else np.zeros(0, np.uint64)
-                halves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), longs(flat))
+                keys, chosen = x.halves(use)
+                chosen &= (x.count[use] >= near_words)[:, None]
+                halves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))), pa.int32()), longs(keys[chosen]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)).take(pa.array(x.text[use])), pa.array(x.number[use], pa.int32()), longs(x.hash[use]), halves], names=["doc_id", "number", "h", "halves"])
 
     return docs.mapInArrow(run, "doc_id long, number int, h long, halves array<long>")
@@ -103,8 +107,11 @@ def in_table(table: np.ndarray, keys: np.ndarray, bits: int = TABLE_BITS) -> np.
     return (table[top >> 6] >> (top & 63)) & 1 == 1
 
 
-def variant_rows(docs: DataFrame, table, near_words: int) -> DataFrame:
-    """Variants of the lines in the bit table: key, place of the deleted word (-1: the line itself, with its words), h, doc_id, number."""
+def variant_rows(docs: DataFrame, halves, near_words: int, shared=None) -> DataFrame:
+    """Variants of the lines with a shared half: key, place of the deleted word (-1: the line itself, with its words), h, doc_id, number.
+
+    Without `shared` only key and h, of all variants; with it only the variants in that table, and the lines themselves.
+    """
 
     def run(batches):
         for b in batches:
@@ -112,24 +119,32 @@ def variant_rows(docs: DataFrame, table, near_words: int) -> DataFrame:
             valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, texts in slices(b.column(1), SLICE):
                 x = Lines(texts)
-                use = np.flatnonzero((x.count >= near_words) & in_table(table.value, x.hash))
+                use = np.flatnonzero(x.count >= near_words)
+                keys, chosen = x.halves(use)
+                use = use[(in_table(halves.value, keys) & chosen).any(axis=1)]
                 rank = np.where(valid[first + x.text[use]], ids[first + x.text[use]], np.iinfo(np.int64).min)
                 use = use[np.lexsort((x.number[use], rank, x.hash[use]))]
                 use = use[np.concatenate(([True], x.hash[use][1:] != x.hash[use][:-1]))] if len(use) else use
                 for part in np.array_split(use, max(1, int(x.count[use].sum()) // 200_000)):
                     if not len(part):
                         continue
-                    n = x.count[part]
+                    n = x.count[part] + 1
                     keys = np.concatenate([np.concatenate((x.variants(i), x.hash[i : i + 1])) for i in part])
-                    at = np.concatenate([np.append(np.arange(k), -1) for k in n])
-                    size = np.where(at < 0, np.repeat(n, n + 1), 0)
+                    line = np.repeat(part, n)
+                    if shared is None:
+                        yield pa.RecordBatch.from_arrays([longs(keys), longs(x.hash[line])], names=["key", "h"])
+                        continue
+                    at = np.concatenate([np.append(np.arange(k - 1), -1) for k in n])
+                    keep = np.flatnonzero(in_table(shared.value, keys) | (at < 0))
+                    keys, line, at = keys[keep], line[keep], at[keep]
+                    size = np.where(at < 0, x.count[line], 0)
                     words = np.concatenate([x.words[a:z] for a, z in zip(x.first[part], x.last[part])])
                     seq = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), longs(words))
                     yield pa.RecordBatch.from_arrays([
-                        longs(keys), pa.array(at, pa.int32()), longs(np.repeat(x.hash[part], n + 1)), b.column(0).take(pa.array(np.repeat(first + x.text[part], n + 1))),
-                        pa.array(np.repeat(x.number[part], n + 1), pa.int32()), seq], names=["key", "at", "h", "doc_id", "number", "words"])
+                        longs(keys), pa.array(at, pa.int32()), longs(x.hash[line]), b.column(0).take(pa.array(first + x.text[line])),
+                        pa.array(x.number[line], pa.int32()), seq], names=["key", "at", "h", "doc_id", "number", "words"])
 
-    return docs.mapInArrow(run, "key long, at int, h long, doc_id long, number int, words array<long>")
+    return docs.mapInArrow(run, "key long, h long" if shared is None else "key long, at int, h long, doc_id long, number int, words array<long>")
 
 
 @F.pandas_udf(BooleanType())
@@ -152,10 +167,11 @@ def within_one(a, b):
 def near_earlier(docs: DataFrame, rows: DataFrame, near_words: int, folder: str) -> DataFrame:
     """h of the lines that have an earlier line within one word, and the hash of the earliest such line that was found."""
     spark = docs.sparkSession
-    half = rows.select("h", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("half")
-    table = spark.sparkContext.broadcast(bit_table(half.join(shared, "half", "left_semi").select("h"), "h"))
-    variant_rows(docs, table, near_words).write.parquet(f"{folder}/variants")
+    several = lambda df: df.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key")
+    send = lambda df: spark.sparkContext.broadcast(bit_table(several(df), "key"))
+    halves = send(rows.select("h", F.explode("halves").alias("key")))
+    shared = send(variant_rows(docs, halves, near_words))
+    variant_rows(docs, halves, near_words, shared).write.parquet(f"{folder}/variants")
     v = spark.read.parquet(f"{folder}/variants")
     place = F.struct("doc_id", "number", "h")
     cut, whole = v.where("at >= 0"), v.where("at < 0")
