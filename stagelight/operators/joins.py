@@ -161,30 +161,27 @@ def reimage_folders(folders: DataFrame, declared: DataFrame) -> DataFrame:
     return extra.join(declared.withColumnRenamed("name", "base"), ["parent", "base"])
 
 
-def _asof(targets: DataFrame, rows: DataFrame, keys: list[str], t: str, z: str, payload: str, back: bool) -> DataFrame:
-    """Payload of the nearest row at or below (``back``: at or above) each distinct target, by one ordered scan."""
-    sign = -1.0 if back else 1.0
+def _asof(targets: DataFrame, rows: DataFrame, keys: list[str], t: str, z: str, payload: str, above: bool = False) -> DataFrame:
+    """Payload of the nearest row at or below each distinct target (_lo) and, on demand, above it (_hi), by one ordered scan."""
     r = rows.groupBy(*keys, F.col(z).cast("double").alias("_z")).agg(F.min(payload).alias(payload)).select(
-        *keys, (sign * F.col("_z")).alias("_o"), F.lit(0).alias("_t"), F.struct("_z", payload).alias("_p"))
-    q = targets.select(*keys, (sign * F.col(t).cast("double")).alias("_o")).distinct().select(
+        *keys, F.col("_z").alias("_o"), F.lit(0).alias("_t"), F.struct("_z", payload).alias("_p"))
+    q = targets.select(*keys, F.col(t).cast("double").alias("_o")).distinct().select(
         *keys, "_o", F.lit(1).alias("_t"), F.lit(None).cast(r.schema["_p"].dataType).alias("_p"))
-    s = ordered_scan(r.unionByName(q), keys, ["_o", "_t"], forward_fill={"_hit": "_p"})
-    return s.where("_t = 1").select(*keys, (sign * F.col("_o")).alias(t), "_hit")
+    s = ordered_scan(r.unionByName(q), keys, ["_o", "_t"], forward_fill={"_lo": "_p"}, backward_fill={"_hi": "_p"} if above else None)
+    return s.where("_t = 1").select(*keys, F.col("_o").alias(t), "_lo", *(["_hi"] if above else []))
 
 
 def asof_floor(targets: DataFrame, rows: DataFrame, keys: list[str], t: str, z: str, payload: str) -> DataFrame:
-    """Row with the largest z at or below each target of its group; none below gives the shallowest row."""
-    hit = _asof(targets, rows, keys, t, z, payload, back=False)
+    """Row with the largest z at or below each target of its group; none below gives the shallowest row. A NULL key matches nothing."""
+    hit = _asof(targets, rows, keys, t, z, payload)
     low = rows.groupBy(*keys).agg(F.min_by(F.struct(F.col(z).cast("double").alias("_z"), payload), F.struct(z, payload)).alias("_low"))
-    got = attach(hit, low, keys).withColumn("_r", F.coalesce("_hit", "_low"))
+    got = attach(hit, low, keys).withColumn("_r", F.coalesce("_lo", "_low"))
     return targets.withColumn(t, F.col(t).cast("double")).join(got.select(*keys, t, F.col("_r._z").alias(z), F.col(f"_r.{payload}").alias(payload)), [*keys, t], "left")
 
 
 def nearest_1d(targets: DataFrame, rows: DataFrame, keys: list[str], t: str, z: str, payload: str) -> DataFrame:
-    """Row with the smallest |z - target| in its group, the first payload on ties: a floor and a ceiling scan."""
-    lo = _asof(targets, rows, keys, t, z, payload, back=False).withColumnRenamed("_hit", "_lo")
-    hi = _asof(targets, rows, keys, t, z, payload, back=True).withColumnRenamed("_hit", "_hi")
-    both = lo.join(hi, [*keys, t])
+    """Row with the smallest |z - target| in its group, the first payload on ties, by one scan that looks both ways. A NULL key matches nothing."""
+    both = _asof(targets, rows, keys, t, z, payload, above=True)
     cand = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._z") - F.col(t)).alias("d"), F.col(f"{c}.{payload}").alias("p"), F.col(f"{c}._z").alias("z")))
     best = both.withColumn("_b", F.least(cand("_lo"), cand("_hi")))
     return targets.withColumn(t, F.col(t).cast("double")).join(best.select(*keys, t, F.col("_b.z").alias(z), F.col("_b.p").alias(payload)), [*keys, t], "left")

@@ -85,16 +85,17 @@ def ordered_scan(
     lead: dict[str, str] | None = None,
     running_sum: dict[str, str] | None = None,
     forward_fill: dict[str, str] | None = None,
+    backward_fill: dict[str, str] | None = None,
     row_number: str | None = None,
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Add lag/lead (one row), inclusive running sums, last non-NULL value and 1-based row numbers.
+    """Add lag/lead (one row), inclusive running sums, last and next non-NULL value and 1-based row numbers.
 
     ``order[0]`` must be numeric or a timestamp and not NULL; ``order`` as a whole should be unique per group.
     Rows with a NULL key are a group like any other.
     """
     lag, lead = lag or {}, lead or {}
-    running_sum, forward_fill = running_sum or {}, forward_fill or {}
+    running_sum, forward_fill, backward_fill = running_sum or {}, forward_fill or {}, backward_fill or {}
     rows = with_order_bucket(df, order, n_buckets or default_buckets(df))
     part = [*keys, BUCKET]
     pos = F.struct(*[F.col(c) for c in order])
@@ -108,10 +109,13 @@ def ordered_scan(
         aggs.append(F.sum(c).alias(f"_s_{o}"))
     for o, c in forward_fill.items():
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_f_{o}"))
+    for o, c in backward_fill.items():
+        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_b_{o}"))
     summary = rows.groupBy(*part).agg(*aggs)
 
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
+    after = across.rowsBetween(1, Window.unboundedFollowing)
     carry = summary.select(
         *part,
         *([F.lag("_tail").over(across).alias("_tail")] if lag else []),
@@ -119,6 +123,7 @@ def ordered_scan(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *[F.sum(f"_s_{o}").over(before).alias(f"_s_{o}") for o in running_sum],
         *[F.last(f"_f_{o}", ignorenulls=True).over(before).alias(f"_f_{o}") for o in forward_fill],
+        *[F.first(f"_b_{o}", ignorenulls=True).over(after).alias(f"_b_{o}") for o in backward_fill],
     )
 
     inside = Window.partitionBy(*part).orderBy(*order)
@@ -134,6 +139,8 @@ def ordered_scan(
         here = here.withColumn(f"_in_{o}", F.sum(c).over(upto))
     for o, c in forward_fill.items():
         here = here.withColumn(f"_in_{o}", F.last(c, ignorenulls=True).over(upto))
+    for o, c in backward_fill.items():
+        here = here.withColumn(f"_in_{o}", F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
 
     joined = null_safe_join(here, carry, part)
     out = [F.col(c) for c in df.columns]
@@ -144,6 +151,7 @@ def ordered_scan(
         total = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in both])
         out.append(F.when(F.coalesce(*both).isNotNull(), total).alias(o))
     out += [F.coalesce(F.col(f"_in_{o}"), F.col(f"_f_{o}")).alias(o) for o in forward_fill]
+    out += [F.coalesce(F.col(f"_in_{o}"), F.col(f"_b_{o}")).alias(o) for o in backward_fill]
     if row_number:
         out.append((F.col("_rn") + F.col("_n")).cast("long").alias(row_number))
     return joined.select(*out)

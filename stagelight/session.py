@@ -20,6 +20,7 @@ def build_session(app: str = "stagelight", master: str | None = None, **conf) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
