@@ -1,8 +1,9 @@
 """Toxicity by compression distance: windows of a text are compressed with an ordinary and with a toxic zstandard dictionary.
 
 The ordinary dictionary is trained on windows of ordinary text. The toxic one has the same content after the fragments
-that toxic text has far oftener than ordinary text, so both compress ordinary words alike and the difference in length
-is what toxic fragments save. A logistic fit over the counts of windows above several differences calibrates the score.
+that stand in toxic rows, once or several times, oftener than chance allows, so both compress ordinary words alike and the
+difference in length is what toxic fragments save. A logistic fit over the counts of windows above several differences
+calibrates the score, so a fragment that ordinary rows hold once and toxic rows several times still tells.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .text import picked, record_batch, remainder
 #: Savings in bytes from which a window counts; each gives one feature.
 SAVINGS = (1, 2, 3, 4, 5, 6)
 GAP = re.compile(rb"[\x00-\x20]+")
+#: Ends both dictionaries and every window; without it short windows are stored raw, which hides what is saved.
+TAIL = bytes(range(1, 32))
+#: Numbers of occurrences in a row from which the row counts for a fragment.
+LEVELS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
@@ -58,7 +63,7 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 def features(text: bytes, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, n: int) -> list[float]:
     a, b, parts = ordinary.compress, toxic.compress, windows(text, n)
-    saved = np.fromiter((len(a(w)) - len(b(w)) for w in parts), np.int64, len(parts))
+    saved = np.fromiter((len(a(w + TAIL)) - len(b(w + TAIL)) for w in parts), np.int64, len(parts))
     return [1.0, np.log1p(len(parts)), *(np.log1p((saved >= k).sum()) for k in SAVINGS)]
 
 
@@ -70,27 +75,69 @@ def framed(text: bytes) -> list[bytes]:
     return [b" " + w.strip(b".,;:!?") + b" " for w in text.split()]
 
 
-def toxic_fragments(toxic: list[bytes], ordinary: list[bytes], size: int, k: int = 5, ratio: float = 30, share: float = 0.01) -> bytes:
-    """The commonest fragments of words whose k-byte pieces stand in `ratio` times as large a share of the toxic texts."""
-    df = [Counter(), Counter()]
-    for c, texts in zip(df, (toxic, ordinary)):
-        for t in texts:
-            c.update({p for w in set(framed(t)) for p in pieces_of(w, k)})
-    least = max(3, share * len(toxic))
-    rich = {p for p, n in df[0].items() if n >= least and n * (len(ordinary) + 1) >= ratio * (df[1][p] + 1) * len(toxic)}
+def rows_with(texts: list[bytes], parts) -> list[Counter]:
+    """For each of LEVELS, how many texts hold a part in so many of their words; parts: distinct parts of a word."""
+    out = [Counter() for _ in LEVELS]
+    for t in texts:
+        n = Counter(p for w in framed(t) for p in parts(w))
+        for c, level in zip(out, LEVELS):
+            c.update(p for p, v in n.items() if v >= level)
+    return out
+
+
+def likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+    """Twice the log likelihood ratio of shares a / n and b / m against one common share."""
+    p = (a + b) / (n + m)
+    return 2 * sum(x * np.log(x / q) for x, q in ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p))) if x)
+
+
+def evidence(toxic: list[bytes], ordinary: list[bytes], parts, least: float, ratio: float, sure: float, share: float) -> dict[bytes, float]:
+    """The likelihood ratio of the parts that mark toxic texts, at the level where it is largest.
+
+    A part does at `least` and `ratio` times as large a share of toxic texts, or at `sure` times with `share` of them.
+    """
+    found = rows_with(toxic, parts)
+    names = {p for p, v in found[0].items() if v >= 3}
+    other = rows_with(ordinary, lambda w: [p for p in parts(w) if p in names])
+    n, m, out = len(toxic), len(ordinary), {}
+    for k, (x, y) in enumerate(zip(found, other)):
+        for p, a in x.items():
+            times = a * (m + 1) / ((y[p] + 1) * n)
+            if a >= 3 and times >= ratio:
+                g = likelihood_ratio(a, n, y[p], m)
+                if g >= least or (k == 0 and times >= sure and a >= share * n):
+                    out[p] = max(g, out.get(p, 0.0))
+    return out
+
+
+def toxic_fragments(toxic: list[bytes], ordinary: list[bytes], size: int, k: int = 5, least: float = 25, ratio: float = 6, sure: float = 30, share: float = 0.01) -> tuple[bytes, set[bytes]]:
+    """The commonest fragments of words with k-byte pieces that mark toxic texts, and these pieces.
+
+    A fragment spans a word's pieces and goes on as long as what it spans keeps half of its evidence.
+    """
+    rich = evidence(toxic, ordinary, lambda w: set(pieces_of(w, k)), least, ratio, sure, share)
+
+    def spans(w):
+        ok = [i for i, p in enumerate(pieces_of(w, k)) if p in rich]
+        return [w[ok[0] : j] for j in range(ok[-1] + k, len(w) + 1)] if ok else []
+
+    longer = evidence(toxic, ordinary, spans, least, ratio, sure, share)
     found: Counter = Counter()
     for t in toxic:
         for w in framed(t):
-            ok = [i for i, p in enumerate(pieces_of(w, k)) if p in rich]
-            if ok:
-                found[w[ok[0] : ok[-1] + k]] += 1
+            if choice := spans(w):
+                f = choice[0]
+                for x in choice:
+                    if x in longer and longer[x] >= 0.5 * longer.get(f, 0.0):
+                        f = x
+                found[f] += 1
     out = b""
     for f, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         if len(out) + len(f) > size:
             break
         if f not in out:
             out = f + out
-    return out
+    return out, set(rich)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> np.ndarray:
@@ -113,13 +160,16 @@ def fit(rows: list[tuple[str, int]], window: int = 48, ordinary_size: int = 3276
         return Model(b"", b"", window, (float(np.log(p / (1 - p))), 0.0, *[0.0] * len(SAVINGS)))
     build = [t[::2] or t for t in texts]
     calibrate = [t[1::2] or t for t in texts]
+    fragments, rich = toxic_fragments(build[1], build[0], toxic_size)
     samples = [w for t in build[0] for w in windows(t, window)]
+    samples = [w for w in samples if rich.isdisjoint(pieces_of(w, 5))] or samples  # what marks toxic text is no ordinary content
     step = max(1, len(samples) // 60000)
     try:
         ordinary = zstandard.train_dictionary(ordinary_size, samples[::step], k=64, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text for training: the text itself
         ordinary = b"".join(samples)[:ordinary_size]
-    toxic = toxic_fragments(build[1], build[0], toxic_size) + ordinary  # what both share lies equally near to a window
+    ordinary += TAIL
+    toxic = fragments + ordinary  # what both share lies equally near to a window
     a, b = compressor(ordinary), compressor(toxic)
     x = np.array([features(t, a, b, window) for label in (0, 1) for t in calibrate[label]])
     y = np.array([label for label in (0, 1) for _ in calibrate[label]], float)

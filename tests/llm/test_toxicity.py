@@ -24,6 +24,24 @@ def test_planted_words_are_found():
     assert right >= 82
 
 
+def test_words_that_ordinary_rows_hold_too_but_less_often_are_found():
+    """A stem in a tenth of the ordinary rows once, in the toxic rows of one language several times."""
+
+    def rows(n, seed):
+        r, out = random.Random(seed), []
+        for i, t in enumerate(prose(n, 20 + seed, 80)):
+            w = t.split()
+            for _ in range(4 if i % 5 == 0 else i % 10 == 1):
+                w.insert(r.randrange(len(w)), "achlich" + r.choice(w))
+            out.append((" ".join(w), int(i % 5 == 0)))
+        return out
+
+    m = X.fit(rows(800, 0))
+    a, b = X.compressor(m.ordinary), X.compressor(m.toxic)
+    said = [(y, sum(f * w for f, w in zip(X.features(X.normal(t), a, b, m.window), m.weights)) >= 0) for t, y in rows(200, 1)]
+    assert sum(p for y, p in said if y) >= 32 and sum(p for y, p in said if not y) <= 8
+
+
 def test_windows_cover_the_text():
     for t in (b"", b"abc", b"a" * 500, b" some words and then " * 9):
         assert b"".join(X.windows(t, 48)) == t
