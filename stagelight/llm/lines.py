@@ -77,7 +77,7 @@ def longs(x) -> pa.Array:
 
 
 def line_rows(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """doc_id, number, h and halves (keys of halves, none below near_words) of every line of min_words or more."""
+    """doc_id, row, number, h and halves (keys of halves, none below near_words) of every line of min_words or more; docs: (doc_id, text, row)."""
 
     def run(batches):
         for b in batches:
@@ -87,9 +87,10 @@ def line_rows(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 keys, chosen = x.halves(use)
                 chosen &= (x.count[use] >= near_words)[:, None]
                 halves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))), pa.int32()), longs(keys[chosen]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)).take(pa.array(x.text[use])), pa.array(x.number[use], pa.int32()), longs(x.hash[use]), halves], names=["doc_id", "number", "h", "halves"])
+                ids, keys_of_rows = (b.column(k).slice(first, len(texts)).take(pa.array(x.text[use])) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, keys_of_rows, pa.array(x.number[use], pa.int32()), longs(x.hash[use]), halves], names=["doc_id", "row", "number", "h", "halves"])
 
-    return docs.mapInArrow(run, "doc_id long, number int, h long, halves array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, number int, h long, halves array<long>")
 
 
 def bit_table(keys: DataFrame, column: str, bits: int = TABLE_BITS) -> np.ndarray:
@@ -197,15 +198,18 @@ def earlier(a: str, b: str):
 
 
 def dropped_lines(docs: DataFrame, min_words: int, near_words: int, folder: str) -> DataFrame:
-    """doc_id, number and near (false: the same words came before) of every line to drop; docs: (doc_id, text)."""
+    """doc_id, row, number and near (false: the same words came before) of every line to drop; docs: (doc_id, text).
+
+    row is a hash of the text: rows with one id (or none) and different texts are told apart by it.
+    """
     spark = docs.sparkSession
-    line_rows(docs, min_words, near_words).write.parquet(f"{folder}/lines")
+    line_rows(docs.withColumn("row", F.xxhash64("text")), min_words, near_words).write.parquet(f"{folder}/lines")
     rows = spark.read.parquet(f"{folder}/lines")
     near = near_earlier(docs, rows, near_words, folder).select("h", F.lit(True).alias("near"))
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "number")).alias("best"), F.count("*").alias("n"))
     first = first.join(near, "h", "left").where("n > 1 or near").select("h", "best", F.coalesce("near", F.lit(False)).alias("near"))
-    late = rows.select("h", F.struct("doc_id", "number").alias("mine")).join(first, "h").where(F.col("near") | earlier("best", "mine"))
-    return late.select("mine.doc_id", "mine.number", "near")
+    late = rows.select("h", "row", F.struct("doc_id", "number").alias("mine")).join(first, "h").where(F.col("near") | earlier("best", "mine"))
+    return late.select("mine.doc_id", "row", "mine.number", "near")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folder: str | None = None, counts: bool = False, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,17 +218,18 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, folde
     Words are runs of non-blank bytes, A-Z lower-cased; lines end at line feeds. A line of min_words words or more is dropped
     if a line with the same words stands earlier, in order of id (NULL first) and line; one of near_words or more also if an
     earlier line of near_words or more is within one word, whether or not that one is kept itself. Shorter and blank lines
-    stay. Rows that share an id share its places: equal lines at the same place stay in all of them. NULL stays NULL; a text
+    stay. Rows that share an id share its places: equal lines at the same place stay in all of them, and each row
+    loses lines of its own text only. NULL stays NULL; a text
     whose lines all go is ''; with drop_emptied, rows that lose lines and have no word left go. With counts, columns n_lines, n_dropped and n_near follow; other columns may have any name.
     """
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark)
     own = picked(docs, doc_id=docs[id_col].cast("long"), text=text_col)
     gone = dropped_lines(own, min_words, near_words, folder)
-    lists = gone.distinct().groupBy("doc_id").agg(F.collect_list("number").alias("_gone"), F.sum(F.col("near").cast("int")).cast("long").alias("_near")).select(F.col("doc_id").alias("_id"), "_gone", "_near")
+    lists = gone.distinct().groupBy("doc_id", "row").agg(F.collect_list("number").alias("_gone"), F.sum(F.col("near").cast("int")).cast("long").alias("_near")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone", "_near")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[docs[c].alias(k) for c, k in names.items()])
-    joined = plain.join(lists, F.col(names[id_col]).cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = plain.join(lists, F.col(names[id_col]).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(names[text_col]) == F.col("_row")), "left")
     text = F.col(names[text_col])
     out = {c: F.col(k) for c, k in names.items()}
     out[text_col] = F.when(F.col("_gone").isNull(), text).otherwise(without_lines(text, F.col("_gone")))

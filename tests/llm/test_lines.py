@@ -65,3 +65,11 @@ def test_odd_rows(odd, empty):
     assert by[20] == ["same text here for all of us to see"] and by[21] == [""] and len(by[5][0]) > 200_000
     left = dedup_lines(odd, drop_emptied=True).collect()
     assert sum(x.doc_id == 8 for x in left) == 0 and sum(x.doc_id == 1 for x in left) == 1 and not any(x.doc_id == 21 for x in left)
+
+
+def test_rows_with_one_id_or_none_lose_lines_of_their_own_text_only(spark):
+    again, alone = "one two three four five six", ["a b c d e f g", "h i j k l m n"]
+    docs = [(1, again), (2, again), (2, alone[0]), (None, "u v w x y z\n" + alone[1]), (None, "p q r s t u\nu v w x y z")]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(1, again), (2, ""), (2, alone[0]), (None, "u v w x y z\n" + alone[1]), (None, "p q r s t u")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
