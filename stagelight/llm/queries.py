@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, darts, decontamination, langid, licenses, lines, media, ngrams, pieces, toxicity
+from . import chat, darts, decontamination, divergence, langid, licenses, lines, media, ngrams, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,27 @@ def op9(spark, folder):
 @query("op10_minhash_near_dedup")
 def op10(spark, folder):
     return darts.near_groups(table(spark, folder, "documents"))
+
+
+@query("op11_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM t GROUP BY ALL),
+kt AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+kl AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kt GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(kl.n), 0) AS n_lang FROM d LEFT JOIN kl USING (lang) GROUP BY lang, source),
+kc AS (SELECT c.lang, c.source, c.term, c.n, kt.n AS n_lang FROM c JOIN kt USING (lang, term)),
+gn AS (SELECT g.*, coalesce((SELECT sum(kc.n) FROM kc WHERE kc.lang = g.lang AND kc.source = g.source), 0)::BIGINT AS n FROM g),
+a AS (SELECT gn.lang, gn.source, kt.term, (1 + 1000000000::HUGEINT * (coalesce(kc.n, 0) + 5) // (gn.n + 5 * gn.v))::BIGINT AS p, coalesce(kc.n, 0) AS n,
+    (1 + 1000000000::HUGEINT * (kt.n + 5) // (gn.n_lang + 5 * gn.v))::BIGINT AS q
+  FROM gn JOIN kt USING (lang) LEFT JOIN kc ON kc.lang = gn.lang AND kc.source = gn.source AND kc.term = kt.term),
+pv AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pr AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM gn x JOIN gn y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pv ON pv.lang = x.lang AND pv.source = x.source AND pv.item = y.source),
+r AS (SELECT * FROM pr UNION ALL SELECT lang, source, 'term', term, p - q FROM a WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50
+""")
+def op11(spark, folder):
+    return divergence.divergence(table(spark, folder, "documents"))

@@ -33,6 +33,7 @@ def _table(lower: bool, word) -> bytes:
 #: Lower-cases A-Z and blanks what is no word byte. Bytes from 128 on belong to characters outside ASCII.
 ALNUM = _table(True, lambda c: 48 <= c <= 57 or 97 <= c <= 122 or c >= 128)
 SPACED = _table(True, lambda c: c != 32 and not 9 <= c <= 13)
+LETTERS = _table(True, lambda c: 97 <= c <= 122 or c >= 128)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,6 +105,14 @@ class Words:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """The bytes of each span as a string."""
+    length = end - start
+    offset = np.concatenate(([0], np.cumsum(length)))
+    at = np.arange(offset[-1]) + np.repeat(start - offset[:-1], length)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(buf[at]))
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values, by sorting."""
     x = np.sort(x)
