@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stagelight.sources.scratch import scratch_dir
 
-from . import chat, darts, decontamination, divergence, langid, licenses, lines, media, ngrams, pieces, toxicity
+from . import chat, darts, decontamination, divergence, fim, langid, licenses, lines, media, ngrams, pieces, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,32 @@ QUALIFY part = 'pair' OR rank <= 50
 """)
 def op11(spark, folder):
     return divergence.divergence(table(spark, folder, "documents"))
+
+
+BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+
+@query("op12_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS k,
+  first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS best FROM pages)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr({BASE32}, (((('0x' || substr(sha1(t), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN best END AS refers_to
+FROM p
+""")
+def op12(spark, folder):
+    return warc.archived_pages(table(spark, folder, "pages"))
+
+
+@query("op13_fill_in_middle", """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+    WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT doc_id, text, n, form, array_to_string(u[1 : least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1 : n], '') AS s FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+""")
+def op13(spark, folder):
+    return fim.fill_in_middle_texts(table(spark, folder, "documents"), texts=False)
