@@ -103,14 +103,14 @@ class Archive:
         return name, self.records, self.size
 
 
-def repeats_marked(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """rows(key, page_id, digest, salt, n_bytes, ...) with `best` (page_id, key of the newest page of equal payload); NULL where nothing is repeated.
+def repeats(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """(digest, salt, best) of the payloads that occur more than once in rows(key, page_id, digest, salt, n_bytes); best is the newest page (page_id, key).
 
     Equal payloads meet per (digest, salt) first, so no task sees all copies of one payload.
     """
     salted = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "salt").agg(F.max(F.struct("page_id", "key")).alias("best"), F.count("*").alias("n"))
     best = salted.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n")).where("n > 1").select("digest", "best")
-    return rows.join(salted.select("digest", "salt").join(best, "digest"), ["digest", "salt"], "left")
+    return salted.select("digest", "salt").join(best, "digest")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", text_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -125,8 +125,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     url = pages[url_col].cast("string") if url_col else F.lit(None).cast("string")
     rows = picked(pages, page_id=id_col, url=url, payload=payload).withColumn("key", F.monotonically_increasing_id())
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    rows.select("*", F.sha2("payload", 256).alias("digest"), salt.alias("salt"), F.octet_length("payload").alias("n_bytes")).write.parquet(f"{folder}/pages")
-    marked = repeats_marked(spark.read.parquet(f"{folder}/pages"), min_bytes)
+    rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("digest"), salt.alias("salt"), F.octet_length("payload").alias("n_bytes"))
+    rows.write.option("compression", "zstd").parquet(f"{folder}/pages")
+    rows = spark.read.parquet(f"{folder}/pages")
+    repeats(rows, min_bytes).write.parquet(f"{folder}/repeats")  # a written table has a size, so a small one is broadcast and payloads stay where they are
+    marked = rows.join(spark.read.parquet(f"{folder}/repeats"), ["digest", "salt"], "left")
     plan = marked.select(F.col("page_id").cast("string"), "key", "url", "payload", F.col("best.page_id").cast("string").alias("to_id"), F.when(F.col("best.key") != F.col("key"), F.col("best.key")).alias("to_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
