@@ -28,6 +28,8 @@ from .text import picked
 
 #: Bytes of text in a frame.
 FRAME = 1 << 14
+#: Compression level; a text of some kilobytes is one small frame, which gains from a thorough search.
+LEVEL = 12
 #: Compressed bytes after which a shard is closed.
 SHARD = 16 << 20
 #: Bytes read ahead of a wanted frame.
@@ -57,7 +59,7 @@ class Shards:
     def __init__(self, folder: str):
         self.store, self.path = fs.FileSystem.from_uri(uri_of(folder))
         self.store.create_dir(self.path, recursive=True)
-        self.press = zstandard.ZstdCompressor(level=3)
+        self.press = zstandard.ZstdCompressor(level=LEVEL)
         self.buffer, self.rows = bytearray(), []
 
     def put(self, pieces: Iterable[bytes]) -> tuple[list[int], list[int]]:
@@ -208,6 +210,8 @@ def by_shard(rows: DataFrame) -> DataFrame:
 def fill_in_middle(index: DataFrame, folder: str, salt: str = "1", plain_from: int = 90, spm_below: int = 20) -> DataFrame:
     """Outputs of all indexed texts as frames below `folder`; one row per index row with form, cuts and the output's frames. Materialise once.
 
+    A plain output is its text and keeps the text's frames.
+
     h1 to h4 are the first 8-digit groups of the hex sha256 of salt:id. Texts that are empty, hold a mark or have h3 % 100 >=
     plain_from stay plain; of the others those with h4 % 100 < spm_below are suffix first. Equal rows give equal outputs; a NULL id is cut like an empty one.
     """
@@ -215,6 +219,7 @@ def fill_in_middle(index: DataFrame, folder: str, salt: str = "1", plain_from: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, frames = Shards(folder), Frames(folder)
         for b in batches:
+            plain = []
             for row in b.to_pylist():
                 h1, h2, h3, h4 = draws(row["doc_id"], salt)
                 n, end = row["n_units"], row["n_bytes"]
@@ -224,16 +229,17 @@ def fill_in_middle(index: DataFrame, folder: str, salt: str = "1", plain_from: i
                     return frames.span(row["shard"], row["offset"], row["size"], low, high)
 
                 if n == 0 or row["marked"] or h3 % 100 >= plain_from:
-                    form, parts, cuts = "plain", [span(0, end)], (None, None)
-                else:
-                    (a, a_chars), (z, z_chars) = cut_place(frames, row, first), cut_place(frames, row, last)
-                    prefix, suffix = [[PREFIX], span(0, a)], [[SUFFIX], span(z, end)]
-                    form, start = ("spm", suffix + prefix) if h4 % 100 < spm_below else ("psm", prefix + suffix)
-                    parts, cuts = [*start, [MIDDLE], span(a, z)], (a_chars, z_chars - a_chars)
-                place = shards.put(reframed(p for part in parts for p in part))
-                shards.rows.append((row["doc_id"], *place, end if form == "plain" else end + len(PREFIX + SUFFIX + MIDDLE), n, form, *cuts))
+                    plain.append((row["shard"], row["doc_id"], row["offset"], row["size"], end, n, "plain", None, None))
+                    continue
+                (a, a_chars), (z, z_chars) = cut_place(frames, row, first), cut_place(frames, row, last)
+                prefix, suffix = [[PREFIX], span(0, a)], [[SUFFIX], span(z, end)]
+                form, start = ("spm", suffix + prefix) if h4 % 100 < spm_below else ("psm", prefix + suffix)
+                place = shards.put(reframed(p for part in [*start, [MIDDLE], span(a, z)] for p in part))
+                shards.rows.append((row["doc_id"], *place, end + len(PREFIX + SUFFIX + MIDDLE), n, form, a_chars, z_chars - a_chars))
                 if shards.full:
                     yield from shards.close(_OUTPUT)
+            if plain:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*plain), _OUTPUT)], schema=_OUTPUT)
         yield from shards.close(_OUTPUT)
         frames.close()
 
