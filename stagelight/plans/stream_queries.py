@@ -71,7 +71,7 @@ def _(spark, d):
     folder, stream = arrivals(spark, d)
     expected = table(spark, d, "events").select(F.col("user_id").alias("round_id")).distinct().withColumn("n_expected", 30 + F.col("round_id") % 7)
     s = stream.select(F.col("user_id").alias("round_id"), (F.col("event_id") % 40).alias("fov_id"))
-    R.round_trigger(s, expected, folder + "/state", folder + "/fired", folder + "/cp")
+    R.round_trigger(s, expected, folder + "/fired", folder + "/cp")
     return R.get_table(spark, folder + "/fired", R.FIRED).select("round_id")
 
 
@@ -82,7 +82,7 @@ def _(spark, d):
     s = stream.select(F.col("user_id").alias("fov_id"), F.floor((F.col("ts").cast("double") - 1704067200) / 86400).alias("series"), F.col("event_id").alias("frame"), F.col("value").alias("stage_z"))
     schema = "fov_id LONG, series LONG, first_stage_z DOUBLE, min_stage_z DOUBLE, max_stage_z DOUBLE, all_same BOOLEAN"
     for _ in range(2):  # the second run finds nothing new
-        R.summary_cache(s, ["fov_id", "series"], lambda df: stage_z_summary(df, ["fov_id", "series"]), folder + "/out", schema, folder + "/cp")
+        R.summary_cache(s, ["fov_id", "series"], lambda df: stage_z_summary(df, ["fov_id", "series"]), folder + "/out", folder + "/cp")
     return R.get_table(spark, folder + "/out", schema).drop("batch_id")
 
 
@@ -92,7 +92,7 @@ def _(spark, d):
     s = stream.select("user_id", "value")
     compute = lambda df: df.groupBy("user_id").agg(F.avg("value").alias("field"), F.count(F.lit(1)).alias("n_samples"))
     out_schema = "user_id LONG, field DOUBLE, n_samples LONG"
-    R.compute_once(s, "user_id", 60, compute, folder + "/samples", "user_id LONG, value DOUBLE", folder + "/out", out_schema, folder + "/cp")
+    R.compute_once(s, "user_id", 60, compute, folder + "/out", folder + "/cp")
     return R.get_table(spark, folder + "/out", out_schema).select("user_id", (F.col("n_samples") >= 60).alias("enough"))
 
 
@@ -101,7 +101,7 @@ def _(spark, d):
     folder, stream = arrivals(spark, d)
     s = stream.select("user_id", F.col("event_id").alias("tile_id"), F.col("value").alias("v"))
     schema = "user_id LONG, tile_id LONG, v DOUBLE"
-    R.live_tiles(s, "user_id", 65, folder + "/tiles", schema, folder + "/ranges", folder + "/cp")
+    R.live_tiles(s, "user_id", 65, folder + "/tiles", folder + "/ranges", folder + "/cp")
     return R.render_tiles(spark, "user_id", folder + "/tiles", schema, folder + "/ranges").drop("v8")
 
 
@@ -112,7 +112,7 @@ def late_tables(spark, d):
     folder, stream = arrivals(spark, d)
     s = stream.select((F.col("event_id") % 3000).alias("key"), "event_type")
     schema = "key LONG, event_type STRING"
-    R.take_late_and_partial(s, ["key"], F.col("event_type") != "error", folder + "/out", folder + "/retry", schema, folder + "/cp")
+    R.take_late_and_partial(s, ["key"], F.col("event_type") != "error", folder + "/out", folder + "/retry", folder + "/cp")
     return folder, schema
 
 

@@ -1,20 +1,21 @@
 """Incremental operators: the stream checkpoint replaces marker files, result tables are written per batch.
 
 Every ``foreachBatch`` sink writes its rows under a ``batch_id`` partition that a repeated batch overwrites, so a restart
-never doubles rows.
+never doubles rows. What earlier batches left is kept per key in the state store (``state.py``): no batch reads a result
+table, so its work follows its own rows and not the length of the run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from stagelight.operators.windows import first_per_key
 from stagelight.sources.text import path_exists
+from stagelight.streaming.state import CountUp, EnoughRows, FixedRange, StableSize, keyed_state, plainly_named, unfinished_rows
 
 
 def read_arrivals(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -40,15 +41,18 @@ def get_table(spark: SparkSession, path: str, schema: str, before: int | None =
     return df if before is None else df.where(F.col("batch_id") < before)
 
 
-def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Take everything that is there now in batches, then stop; running again continues where it stopped."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Take everything that is there now in batches, then stop; running again continues where it stopped. Returns the ended query."""
+    with keyed_state(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
-def start_polling(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60):
+def start_polling(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60) -> StreamingQuery:
     """Keep polling; the returned query is stopped by the caller."""
-    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    with keyed_state(stream.sparkSession):
+        return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def analyse_arrivals(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], results: str, checkpoint: str) -> None:
@@ -56,23 +60,14 @@ def analyse_arrivals(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame
     run_to_end(stream, lambda df, n: put_batch(analyse(df), results, n), checkpoint)
 
 
-def stable_paths(observations: DataFrame) -> DataFrame:
-    """Paths whose size was equal and not zero in two successive observations (path, tick, size); each comes out once."""
-    out = "path STRING, size LONG, tick LONG"
+def stable_paths(observations: DataFrame, keep_hours: float | None = None) -> DataFrame:
+    """Paths whose size was equal and not zero in two successive observations (path, tick, size); each comes out once.
 
-    def step(key, batches, state: GroupState):
-        last, done = state.get if state.exists else (-1, False)
-        rows = pd.concat(list(batches)).sort_values("tick")
-        emit = None
-        for size, tick in zip(rows["size"], rows["tick"]):
-            if not done and size == last and size > 0:
-                emit, done = (size, tick), True
-            last = size
-        state.update((int(last), done))
-        if emit:
-            yield pd.DataFrame({"path": [key[0]], "size": [emit[0]], "tick": [emit[1]]})
-
-    return observations.groupBy("path").applyInPandasWithState(step, out, "size LONG, done BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+    State is the last size of a path. With ``keep_hours`` a path that was not seen for so long is forgotten; seen again, it starts anew.
+    """
+    ttl = None if keep_hours is None else int(keep_hours * 3_600_000)
+    return observations.select("path", "tick", "size").groupBy("path").transformWithStateInPandas(
+        StableSize(ttl), "path STRING, size LONG, tick LONG", "append", "none" if ttl is None else "processingTime")
 
 
 def session_parts(arrivals: DataFrame, keys: list[str], ts: str = "ts", gap: str = "180 seconds") -> DataFrame:
@@ -105,69 +100,51 @@ def live_phase(last_file: DataFrame, now, t_min: float = 180.0, t_max: float = 6
     return last_file.withColumn("idle_s", idle).withColumn("phase", phase_of(F.col("idle_s"), t_min, t_max))
 
 
-DONE, FIRED = "round_id LONG, fov_id LONG", "round_id LONG"
-
-
-def round_trigger(stream: DataFrame, expected: DataFrame, state: str, fired: str, checkpoint: str) -> None:
-    """Fire each round once, when all its expected FOVs (round_id, n_expected) have arrived; repeats of a FOV count once."""
-    spark = stream.sparkSession
+FIRED = "round_id LONG"
 
-    def on_batch(df: DataFrame, n: int) -> None:
-        new = df.select("round_id", "fov_id").distinct().join(get_table(spark, state, DONE, n).select("round_id", "fov_id"), ["round_id", "fov_id"], "left_anti")
-        put_batch(new, state, n)
-        now = get_table(spark, state, DONE, n + 1).groupBy("round_id").agg(F.count(F.lit(1)).alias("n"))
-        full = now.join(expected, "round_id").where("n >= n_expected").select("round_id")
-        put_batch(full.join(get_table(spark, fired, FIRED, n).select("round_id"), "round_id", "left_anti"), fired, n)
-
-    run_to_end(stream, on_batch, checkpoint)
 
+def round_trigger(stream: DataFrame, expected: DataFrame, fired: str, checkpoint: str) -> StreamingQuery:
+    """Fire each round once, when all its expected FOVs (round_id, n_expected) have arrived; repeats of a FOV count once.
 
-def summary_cache(stream: DataFrame, keys: list[str], summarise: Callable[[DataFrame], DataFrame], cache: str, schema: str, checkpoint: str) -> None:
-    """Append the summary of keys not in the cache yet; a negative FOV id of old caches counts as 0."""
-    spark = stream.sparkSession
-
-    def on_batch(df: DataFrame, n: int) -> None:
-        old = get_table(spark, cache, schema, n)
-        for k in ("fov_id",):
-            if k in keys:
-                old = old.withColumn(k, F.when(F.col(k) == -1, 0).otherwise(F.col(k)))
-        put_batch(summarise(df.join(old.select(*keys), keys, "left_anti")), cache, n)
+    Repeats are dropped by (round, FOV), which spreads a large round; a round's own state is one number.
+    """
+    new = stream.select("round_id", "fov_id").dropDuplicates(["round_id", "fov_id"])
+    counted = new.join(expected.select("round_id", F.col("n_expected").cast("long").alias("n_expected")), "round_id").select("round_id", "n_expected")
+    full = counted.groupBy("round_id").transformWithStateInPandas(CountUp("round_id", "n_expected"), FIRED, "append", "none")
+    return run_to_end(full, lambda df, n: put_batch(df, fired, n), checkpoint)
 
-    run_to_end(stream, on_batch, checkpoint)
 
+def summary_cache(stream: DataFrame, keys: list[str], summarise: Callable[[DataFrame], DataFrame], cache: str, checkpoint: str, old: DataFrame | None = None) -> StreamingQuery:
+    """Append the summary of keys not in the cache yet. ``old`` has keys of an earlier cache; a negative FOV id there counts as 0."""
+    if old is not None and "fov_id" in keys:
+        old = old.withColumn("fov_id", F.when(F.col("fov_id") == -1, 0).otherwise(F.col("fov_id")))
+    return run_to_end(unfinished_rows(stream, keys, F.lit(True), old).drop("_done"), lambda df, n: put_batch(summarise(df), cache, n), checkpoint)
 
-def compute_once(stream: DataFrame, key: str, min_samples: int, compute: Callable[[DataFrame], DataFrame], samples: str, sample_schema: str,
-                 out: str, out_schema: str, checkpoint: str) -> None:
-    """Compute a key's result once, in the first batch after which it has enough samples; later samples change nothing."""
-    spark = stream.sparkSession
 
-    def on_batch(df: DataFrame, n: int) -> None:
-        put_batch(df, samples, n)
-        have = get_table(spark, samples, sample_schema, n + 1)
-        ready = have.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_samples).select(key)
-        todo = ready.join(get_table(spark, out, out_schema, n).select(key).distinct(), key, "left_anti")
-        put_batch(compute(have.drop("batch_id").join(todo, key, "left_semi")), out, n)
+def compute_once(stream: DataFrame, key: str, min_samples: int, compute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Compute a key's result once, in the first batch after which it has enough samples; later samples change nothing.
 
-    run_to_end(stream, on_batch, checkpoint)
+    Samples wait in the key's state, which is emptied when the result is computed.
+    """
+    plain, back = plainly_named(stream)
+    own = f"c{stream.columns.index(key)}"
+    kept = [c for c in plain.columns if c != own]
+    waiting = plain.groupBy(own).transformWithStateInPandas(EnoughRows(own, kept, plain.select(*kept).schema, min_samples), plain.schema, "append", "none")
+    return run_to_end(waiting.select(*back), lambda df, n: put_batch(compute(df), out, n), checkpoint)
 
 
-def live_tiles(stream: DataFrame, group: str, min_tiles: int, tiles: str, tile_schema: str, ranges: str, checkpoint: str) -> None:
+def live_tiles(stream: DataFrame, group: str, min_tiles: int, tiles: str, ranges: str, checkpoint: str) -> tuple[StreamingQuery, StreamingQuery]:
     """Collect tiles (group, tile_id, v) and fix one contrast range per group once it has ``min_tiles`` tiles.
 
-    Read the mosaic with :func:`render_tiles`: tiles without a shared range are provisional until one exists, then all of
-    the group render with it; no tile is written twice.
+    Two streams over the same source: one appends the tiles, one keeps a group's range and fewer than ``min_tiles`` tile ids until
+    the range is fixed. Read the mosaic with :func:`render_tiles`: tiles without a shared range are provisional until one
+    exists, then all of the group render with it; no tile is written twice.
     """
-    spark = stream.sparkSession
-    range_schema = f"{group} {dict_of(tile_schema)[group]}, lo DOUBLE, hi DOUBLE"
-
-    def on_batch(df: DataFrame, n: int) -> None:
-        put_batch(df, tiles, n)
-        have = get_table(spark, tiles, tile_schema, n + 1)
-        todo = have.join(get_table(spark, ranges, range_schema, n).select(group), group, "left_anti")
-        new = todo.groupBy(group).agg(F.count_distinct("tile_id").alias("_n"), F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
-        put_batch(new.where(F.col("_n") >= min_tiles).select(group, "lo", "hi"), ranges, n)
-
-    run_to_end(stream, on_batch, checkpoint)
+    written = run_to_end(stream, lambda df, n: put_batch(df, tiles, n), f"{checkpoint}/tiles")
+    kind = stream.schema[group].dataType
+    named = stream.select(F.col(group).cast("string").alias(group), F.col("tile_id").cast("string").alias("tile_id"), F.col("v").cast("double").alias("v"))
+    fixed = named.groupBy(group).transformWithStateInPandas(FixedRange(group, min_tiles), f"{group} STRING, lo DOUBLE, hi DOUBLE", "append", "none")
+    return written, run_to_end(fixed.withColumn(group, F.col(group).cast(kind)), lambda df, n: put_batch(df, ranges, n), f"{checkpoint}/ranges")
 
 
 def dict_of(schema: str) -> dict[str, str]:
@@ -186,21 +163,21 @@ def render_tiles(spark: SparkSession, group: str, tiles: str, tile_schema: str,
         F.when(F.col("lo").isNull(), F.lit(0)).otherwise(contrast_stretch("v", F.col("lo"), F.col("hi"))).alias("v8"))
 
 
-def take_late_and_partial(stream: DataFrame, keys: list[str], is_complete, results: str, retry: str, schema: str, checkpoint: str) -> None:
+def take_late_and_partial(stream: DataFrame, keys: list[str], is_complete: Column, results: str, retry: str, checkpoint: str) -> StreamingQuery:
     """Accept complete rows whenever they come (no cut-off in event time); incomplete ones wait in a retry table.
 
     A key that was incomplete before and arrives complete later is accepted then; accepted keys are never taken again.
     """
-    spark = stream.sparkSession
 
     def on_batch(df: DataFrame, n: int) -> None:
-        done = get_table(spark, results, schema, n).select(*keys)
-        new = df.join(done, keys, "left_anti")
-        good = first_per_key(new.where(is_complete), keys, [c for c in df.columns if c not in keys])
-        put_batch(good.select(*df.columns), results, n)
-        put_batch(new.where(~is_complete).join(good.select(*keys), keys, "left_anti").select(*df.columns), retry, n)
-
-    run_to_end(stream, on_batch, checkpoint)
+        df = df.persist()
+        rows = [c for c in df.columns if c != "_done"]
+        good = first_per_key(df.where("_done").select(*rows), keys, [c for c in rows if c not in keys])
+        put_batch(good.select(*rows), results, n)
+        put_batch(df.where("NOT _done").select(*rows).join(good.select(*keys), keys, "left_anti").select(*rows), retry, n)
+        df.unpersist()
+
+    return run_to_end(unfinished_rows(stream, keys, is_complete), on_batch, checkpoint)
 
 
 def still_waiting(spark: SparkSession, keys: list[str], results: str, retry: str, schema: str) -> DataFrame:
