@@ -13,7 +13,7 @@ from stagelight.sources import inventory as V
 from stagelight.sources import raw_frames as R
 from stagelight.sources import text as X
 from stagelight.sources import xml as M
-from stagelight.sources.scratch import scratch_dir
+from stagelight.sources.scratch import open_path, scratch_dir
 
 
 def write_docs(df, column: str, folder: str, by: str) -> str:
@@ -104,18 +104,17 @@ def _(spark, d):
 
 def write_stacks(spark, d) -> str:
     """64 frames per raw stack, with a sidecar; each task writes whole files under their final name."""
-    import os
-
     folder = scratch_dir(spark)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder.removeprefix("file:"), exist_ok=True)
+        store, place = open_path(folder)
+        store.create_dir(place, recursive=True)
         pdf = pdf.sort_values("frame")
-        stem = f"{folder.removeprefix('file:')}/hal_{int(pdf['stack'].iloc[0])}"
-        np.stack(pdf["px"].to_numpy()).astype("<u2").tofile(stem + ".part")
-        with open(stem + ".inf", "w") as fh:
-            fh.write(f"frame dimensions = 8 x 8 ; size\nnumber of frames = {len(pdf)}\nbinning = 1 x 1\n")
-        os.replace(stem + ".part", stem + ".dax")
+        name = f"{place}/hal_{int(pdf['stack'].iloc[0])}"
+        for part, end, data in (("-side", ".inf", f"frame dimensions = 8 x 8 ; size\nnumber of frames = {len(pdf)}\nbinning = 1 x 1\n".encode()), ("-part", ".dax", np.stack(pdf["px"].to_numpy()).astype("<u2").tobytes())):
+            with store.open_output_stream(name + part) as out:
+                out.write(data)
+            store.move(name + part, name + end)
         return pd.DataFrame({"stack": pdf["stack"].iloc[:1], "n": [len(pdf)]})
 
     f = frames(spark, d).select(F.floor(F.col("frame") / 64).alias("stack"), "frame", "px")

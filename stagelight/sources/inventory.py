@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagelight import schemas
+from stagelight.sources.scratch import open_path
 from stagelight.sources.text import path_exists, read_lines, rows_by_header
 
 
@@ -20,31 +23,30 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
 def walk_files(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """As :func:`list_files` but with the hidden files that Spark's own listing leaves out (store metadata).
 
-    Only the folders down to ``depth`` are listed here; what is below each is walked inside tasks on the mounted folder.
+    The driver lists only the folders down to ``depth``, one call each; what is below is walked inside tasks, on any file system that Arrow opens.
     """
-    import glob
-    import os
-
-    root = root.removeprefix("file:")
-    tops = glob.glob(os.path.join(glob.escape(root), *["*"] * depth)) + [
-        p for k in range(depth) for p in glob.glob(os.path.join(glob.escape(root), *["*"] * k, ".*"))]
-    upper = [p for k in range(1, depth) for p in glob.glob(os.path.join(glob.escape(root), *["*"] * k)) if os.path.isfile(p)]
-    n = max(1, min(len(tops) + len(upper), 4 * spark.sparkContext.defaultParallelism))
-    heads = spark.createDataFrame([(p,) for p in tops + upper], "top STRING").repartition(n)
+    store, top = open_path(root)
+    prefix = root[: len(root) - len(top)] if root.endswith(top) else ""
+    entries, level = [], [top]
+    for _ in range(depth):
+        found = [i for folder in level for i in store.get_file_info(fs.FileSelector(folder))]
+        entries += [i.path for i in found if i.type == fs.FileType.File]
+        level = [i.path for i in found if i.type == fs.FileType.Directory]
+    n = max(1, min(len(level) + len(entries), 4 * spark.sparkContext.defaultParallelism))
+    heads = spark.createDataFrame([(prefix + p,) for p in level + entries], "top STRING").repartition(n)
 
     def walk(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for top in pdf["top"]:
-                paths = [os.path.join(d, f) for d, _, fs in os.walk(top) for f in fs] if os.path.isdir(top) else [top]
-                for p in paths:
-                    st = os.stat(p)
-                    rows.append(("file:" + p, st.st_size, pd.Timestamp(st.st_mtime_ns // 1000, unit="us")))
-            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime"])
+        for b in batches:
+            for head in b.column(0).to_pylist():
+                store, top = open_path(head)
+                found = [store.get_file_info(top)]
+                if found[0].type == fs.FileType.Directory:
+                    found = [i for i in store.get_file_info(fs.FileSelector(top, recursive=True)) if i.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(prefix or "file:") + i.path for i in found], pa.string()), pa.array([i.size for i in found], pa.int64()), pa.array([(i.mtime_ns or 0) // 1000 for i in found], pa.timestamp("us", "UTC"))],
+                    names=["path", "length", "modificationTime"])
 
-    return heads.mapInPandas(walk, "path STRING, length LONG, modificationTime TIMESTAMP")
+    return heads.mapInArrow(walk, "path STRING, length LONG, modificationTime TIMESTAMP")
 
 
 def file_inventory(files: DataFrame, suffix: str = ".zarr", directory_store: bool = True) -> DataFrame:
@@ -126,7 +128,7 @@ def write_once(df: DataFrame, path: str, keys: list[str], signature: dict[str, o
 def chunk_headers(spark: SparkSession, root: str) -> DataFrame:
     """(path, chunk, size, declared_size) of every chunk file below stores: only 16 bytes of each are read.
 
-    The listing is a Spark scan; tasks open the files on the shared file system and read the header.
+    The listing is a Spark scan; tasks open the files on any file system that Arrow opens and read the header.
     """
     files = list_files(spark, root).where(F.col("path").rlike(r"\.zarr/.*\d+$"))
     store = F.regexp_extract("path", r"(?i)^(.*?\.zarr)/(.*)$", 1)
@@ -134,14 +136,13 @@ def chunk_headers(spark: SparkSession, root: str) -> DataFrame:
                           F.col("length").alias("size"), F.col("path").alias("_file"))
 
     def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
+        for b in batches:
             sizes = []
-            for f in pdf["_file"]:
-                with open(f.removeprefix("file:"), "rb") as fh:
-                    head = fh.read(16)
+            for name in b.column("_file").to_pylist():
+                store, place = open_path(name)
+                with store.open_input_file(place) as f:
+                    head = f.read(16)
                 sizes.append(int.from_bytes(head[12:16], "little") if len(head) == 16 else None)
-            yield pd.DataFrame({"path": pdf["path"], "chunk": pdf["chunk"], "size": pdf["size"], "declared_size": pd.array(sizes, dtype="Int64")})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "chunk", "size")), pa.array(sizes, pa.int64())], names=["path", "chunk", "size", "declared_size"])
 
-    return listed.mapInPandas(read, "path STRING, chunk STRING, size LONG, declared_size LONG")
+    return listed.mapInArrow(read, "path STRING, chunk STRING, size LONG, declared_size LONG")

@@ -1,10 +1,12 @@
-"""A fresh folder for files that a query derives and reads back."""
+"""A fresh folder for files that a query derives and reads back, and files of any file system inside tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,11 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/derived"
+
+
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a path or URI as Spark spells it, and the path in it; a path without a scheme is a mounted one."""
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@=&,;~!$*()')}")

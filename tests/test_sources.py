@@ -69,7 +69,9 @@ def test_raw_frames(spark, tmp_path):
     got = {r.frame: np.frombuffer(r.pixels, "<u2").reshape(r.h, r.w) for r in df.collect()}
     assert len(got) == 7 and all((got[i] == a[i]).all() for i in range(7))
     assert sorted(r.frame for r in df.where(F.col("frame").isin(5, 1)).collect()) == [1, 5]
-    assert df.where("frame = 2").rdd.getNumPartitions() == 1
+    plan = df.where("frame = 2 AND path LIKE '%hal_1%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")  # only wanted frames reach the read
+    assert "read_pixels" not in df.select("path", "frame")._jdf.queryExecution().optimizedPlan().toString()
     assert [r.frame for r in R.read_frames(spark, str(tmp_path / "m"), frames="5,0").collect()] == [5, 0]
     put(tmp_path, "bad/hal_2.dax", a.tobytes()[:-2])
     with pytest.raises(Exception, match="frame 6"):
@@ -78,6 +80,25 @@ def test_raw_frames(spark, tmp_path):
         R.read_frames(spark, str(tmp_path / "bad")).collect()
 
 
+def test_frames_are_planned_by_the_listing(spark, tmp_path):
+    """Odd names, a glob, a stack without frames, and nothing there; small batches inside one task."""
+    a = np.random.default_rng(2).integers(0, 65535, (9, 2, 3)).astype("<u2")
+    for name in ("a b+%41é", "c"):
+        put(tmp_path, f"deep/{name}.dax", a.tobytes())
+        put(tmp_path, f"deep/{name}.inf", "frame dimensions = 3 x 2\n")
+    put(tmp_path, "deep/none.dax", b"")
+    put(tmp_path, "deep/none.inf", "frame dimensions = 3 x 2\n")
+    for path in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/deep/*.dax"):
+        df = R.read_frames(spark, path, frames_per_partition=4)
+        got = {(os.path.basename(r.path), r.frame): bytes(r.pixels) for r in df.collect()}
+        assert got == {(f"{n}.dax", i): a[i].tobytes() for n in ("a b+%41é", "c") for i in range(9)}
+    keep = spark.createDataFrame([(p, f) for p in {r.path for r in df.select("path").distinct().collect()} for f in (7, 1)], "path string, frame int")
+    out = R.extract_frames(df, keep, str(tmp_path / "out"))
+    assert sorted({(r.frame, r.new_frame) for r in out.collect()}) == [(1, 0), (7, 1)]
+    put(tmp_path, "empty/x.txt", "")
+    assert R.read_frames(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_counters_from_frames(spark, tmp_path):
     a = np.random.default_rng(1).integers(0, 9, (3, 8, 8)).astype("<u2")
     put(tmp_path, "x.dax", a.tobytes())
@@ -146,6 +167,91 @@ def test_polygons(spark, tmp_path):
     assert [(r.hole, len(r.ring), len(r.islands)) for r in got] == [("1", 3, 1)]
 
 
+def test_documents_are_streamed(spark, tmp_path):
+    doc = "<cfg><!-- <protocol/> --><valve_cmd name=' a '/><valve_cmd/><pump_cmd name='p'/>" + "".join(
+        f"<protocol name='p{i}'><valve duration='2'> v{i} </valve><!-- no --><pump duration='x'>q</pump><wait/></protocol>" for i in range(3000)) + "<valve_cmd name='b'/></cfg>"
+    put(tmp_path, "d/kilroy.xml", doc)
+    steps = M.read_protocols(spark, str(tmp_path / "d"))
+    rows = [(r.protocol, r.pos, r.kind, r.name, r.duration) for r in steps.collect()]
+    assert sorted(rows) == sorted(t for i in range(3000) for t in ((f"p{i}", 0, "valve", f" v{i} ", "2"), (f"p{i}", 1, "pump", "q", "x"), (f"p{i}", 2, "wait", "", None)))
+    held = M.parse_protocols(spark.createDataFrame([("f", doc)], "file string, content string")).drop("file")
+    assert held.exceptAll(steps.drop("file")).count() == 0 and held.count() == len(rows)
+    commands = M.parse_commands(spark.createDataFrame([("f", doc)], "file string, content string")).collect()
+    assert sorted((r.kind, r.name, r.pos) for r in commands) == [("pump", "p", 0), ("valve", "a", 0), ("valve", "b", 2)]
+
+
+def test_a_document_passes_in_bounded_memory():
+    """The pull parser never holds more than the open elements, however many protocols a document has."""
+    import tracemalloc
+
+    def chunks(n):
+        yield "<cfg>"
+        for i in range(n):
+            yield f"<protocol name='p'><valve duration='{i}'>{'x' * 200}</valve></protocol>"
+        yield "</cfg>"
+
+    peaks = []
+    for n in (2000, 40_000):
+        tracemalloc.start()
+        assert sum(1 for _ in M.protocol_steps(chunks(n))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 100_000
+
+
+def test_batches_cost_their_own_rows(spark, tmp_path, monkeypatch):
+    """50 batches: none reads a result table, and the state written per batch follows the batch, not the run."""
+    src = str(tmp_path / "in")
+    for i in range(50):
+        rows = spark.createDataFrame([(r, 4 * i + f) for r in (i % 5, 7) for f in range(4)], "round_id long, fov_id long").coalesce(1)
+        rows.write.parquet(f"{src}/{i:02d}")
+        if i < 10:
+            rows.write.parquet(f"{src}-few/{i:02d}")
+    reads = []
+    monkeypatch.setattr(S, "path_exists", lambda *a: reads.append(a))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # state in few stores; batches are small
+    monkeypatch.setattr(S, "get_table", lambda *a, **k: reads.append(a))
+    arrivals = lambda folder: S.read_arrivals(spark, folder, "round_id LONG, fov_id LONG", files_per_batch=1)
+    expected = spark.createDataFrame([(i, 30) for i in range(5)] + [(7, 200)], "round_id long, n_expected long")
+    q = S.round_trigger(arrivals(src), expected, str(tmp_path / "fired"), str(tmp_path / "cp1"))
+    late = S.take_late_and_partial(arrivals(src + "-few"), ["round_id", "fov_id"], F.col("fov_id") % 2 == 0, str(tmp_path / "ok"), str(tmp_path / "retry"), str(tmp_path / "cp2"))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    for query, n in ((q, 50), (late, 10)):
+        batches = [p for p in query.recentProgress if p.numInputRows]
+        assert len(batches) == n and all(p.numInputRows == 8 for p in batches)
+        written = [sum(o.numRowsUpdated for o in p.stateOperators) for p in batches]
+        assert max(written) <= 16 and not reads
+    monkeypatch.undo()
+    assert sorted(r.round_id for r in S.get_table(spark, str(tmp_path / "fired"), S.FIRED).collect()) == [0, 1, 2, 3, 4, 7]
+    assert S.get_table(spark, str(tmp_path / "ok"), "round_id LONG, fov_id LONG").count() == 40
+
+
+def test_once_enough_samples_and_fixed_ranges(spark, tmp_path):
+    """Samples wait in state over runs, NULLs and large whole numbers come back as they were, a range is fixed once."""
+    src, big = str(tmp_path / "in"), 2**60 + 1
+    for i, rows in enumerate([[(1, "a", 1.0), (1, "b", None), (2, "a", 5.0)], [(1, "a", 3.0), (None, "z", 2.0)], [(1, "c", 4.0), (1, "d", -7.0), (2, "b", 6.0)], [(1, "e", 99.0)]]):
+        spark.createDataFrame([(k, t, v, big if v else None) for k, t, v in rows], "k long, tile_id string, v double, n long").coalesce(1).write.parquet(f"{src}/{i}")
+        s = lambda: S.read_arrivals(spark, src, "k LONG, tile_id STRING, v DOUBLE, n LONG", files_per_batch=1)
+        S.compute_once(s(), "k", 4, lambda df: df, str(tmp_path / "once"), str(tmp_path / "cp1"))
+        S.live_tiles(s().select("k", "tile_id", "v"), "k", 3, str(tmp_path / "tiles"), str(tmp_path / "ranges"), str(tmp_path / "cp2"))
+    once = S.get_table(spark, str(tmp_path / "once"), "k LONG, tile_id STRING, v DOUBLE, n LONG").collect()
+    assert sorted((r.k, r.tile_id, r.v, r.n) for r in once if r.tile_id != "b") == [(1, "a", 1.0, big), (1, "a", 3.0, big), (1, "c", 4.0, big), (1, "d", -7.0, big)]
+    assert [(r.k, r.v, r.n) for r in once if r.tile_id == "b"] == [(1, None, None)] and {r.batch_id for r in once} == {2}
+    ranges = S.get_table(spark, str(tmp_path / "ranges"), "k LONG, lo DOUBLE, hi DOUBLE").collect()
+    assert [(r.k, r.lo, r.hi) for r in ranges] == [(1, -7.0, 4.0)]
+    shown = S.render_tiles(spark, "k", str(tmp_path / "tiles"), "k LONG, tile_id STRING, v DOUBLE", str(tmp_path / "ranges")).collect()
+    assert {(r.k, r.tile_id, r.provisional) for r in shown} == {(1, t, False) for t in "abcde"} | {(2, "a", True), (2, "b", True), (None, "z", True)}
+
+
+def test_keys_of_an_old_cache_are_known(spark, tmp_path):
+    spark.createDataFrame([(0, 5.0), (3, 6.0)], "fov_id long, stage_z double").coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    s = S.read_arrivals(spark, str(tmp_path / "in"), "fov_id LONG, stage_z DOUBLE")
+    old = spark.createDataFrame([(-1,)], "fov_id int")
+    S.summary_cache(s, ["fov_id"], lambda df: df.groupBy("fov_id").agg(F.max("stage_z").alias("z")), str(tmp_path / "out"), str(tmp_path / "cp"), old)
+    assert [(r.fov_id, r.z) for r in S.get_table(spark, str(tmp_path / "out"), "fov_id LONG, z DOUBLE").collect()] == [(3, 6.0)]
+
+
 def test_stream_restart_and_growth(spark, tmp_path):
     src, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     schema = "fov_id LONG, series LONG, frame LONG, stage_z DOUBLE"
@@ -156,7 +262,7 @@ def test_stream_restart_and_growth(spark, tmp_path):
 
     def run():
         s = S.read_arrivals(spark, src, schema, files_per_batch=1)
-        S.summary_cache(s, ["fov_id", "series"], lambda df: stage_z_summary(df, ["fov_id", "series"]), out, cache, cp)
+        S.summary_cache(s, ["fov_id", "series"], lambda df: stage_z_summary(df, ["fov_id", "series"]), out, cp)
         return sorted((r.fov_id, r.first_stage_z) for r in S.get_table(spark, out, cache).collect())
 
     drop("a", [(1, 0, 0, 5.0), (1, 0, 1, 6.0)])
