@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelight.functions.scalar import nice_limit, round_even
-from stagelight.operators.quantile import attach, exact_quantiles
+from stagelight.operators.quantile import attach, exact_quantiles, median_and_mad, shared
 from stagelight.session import cut_lineage
 
 
@@ -119,11 +119,8 @@ def drift_histogram(drift: DataFrame, dist_max: float, bin_size: float = 5.0) ->
 def mad_outliers(rows: DataFrame, value: str, k: float = 5.0, keys: list[str] | None = None) -> DataFrame:
     """Flag ``kept``: at most median + k * 1.4826 * MAD (the median when MAD is 0); groups under 3 keep all."""
     keys = keys or []
-    med = exact_quantiles(rows, keys, value, {"_med": 0.5})
-    dev = attach(rows, cut_lineage(med), keys).withColumn("_ad", F.abs(F.col(value) - F.col("_med")))
-    mad = cut_lineage(exact_quantiles(dev, keys, "_ad", {"_mad": 0.5}))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    full = attach(attach(dev, mad, keys), n, keys)
+    stats = attach(rows.groupBy(*keys).agg(F.count("*").alias("_n")), median_and_mad(rows, keys, value), keys)
+    full = attach(rows, shared(cut_lineage(stats)), keys)
     limit = F.col("_med") + F.when(F.col("_mad") > 0, k * 1.4826 * F.col("_mad")).otherwise(0.0)
     return full.select(*rows.columns, ((F.col("_n") < 3) | (F.col(value) <= limit)).alias("kept"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.functions.scalar import pad_number, round_even
-from stagelight.operators.quantile import attach, exact_quantiles
+from stagelight.operators.quantile import attach, exact_quantiles, median_and_mad, shared
 from stagelight.operators.scan import dense_index, ordered_scan
 from stagelight.session import cut_lineage
 
@@ -22,9 +22,15 @@ def round_labels(rounds: DataFrame, round_id: str = "round_id", kind: str = "kin
 
 
 def rank_grid(positions: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Grid index of each position: 0-based dense rank of the coordinate rounded to whole µm."""
+    """Grid index of each position: 0-based dense rank of the coordinate rounded to whole µm.
+
+    The different coordinates are numbered by one window: there are no more of them than µm of a stage's travel.
+    """
     p = positions.withColumn("_x", round_even(x)).withColumn("_y", round_even(y))
-    return dense_index(dense_index(p, "_x", "x_idx"), "_y", "y_idx").drop("_x", "_y")
+    for c in ("x", "y"):
+        number = (F.row_number().over(Window.orderBy(f"_{c}")) - 1).cast("long")
+        p = p.join(p.select(f"_{c}").where(F.col(f"_{c}").isNotNull()).distinct().withColumn(f"{c}_idx", number), f"_{c}", "left")
+    return p.select(*positions.columns, "x_idx", "y_idx")
 
 
 def inter_file_time(files: DataFrame, keys: list[str], order: list[str], exposure_s: float, n_frames: int) -> DataFrame:
@@ -56,11 +62,8 @@ def split_on_gap(points: DataFrame, keys: list[str], order: str, min_points: int
     """
     s = ordered_scan(points, keys, [order], lag={"_px": "x", "_py": "y"})
     s = cut_lineage(s.withColumn("_d", F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))))
-    med = cut_lineage(exact_quantiles(s, keys, "_d", {"_med": 0.5}))
-    dev = attach(s, med, keys).withColumn("_ad", F.abs(F.col("_d") - F.col("_med")))
-    mad = cut_lineage(exact_quantiles(dev, keys, "_ad", {"_mad": 0.5}))
     std = s.groupBy(*keys).agg(F.stddev_pop("_d").alias("_std"))
-    full = attach(attach(dev, mad, keys), std, keys)
+    full = attach(s, shared(cut_lineage(attach(std, median_and_mad(s, keys, "_d"), keys))), keys)
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
     scale = F.coalesce(pos("_mad"), pos("_std"), pos("_med"), F.lit(1.0))
     cut = F.coalesce((0.6745 * (F.col("_d") - F.col("_med")) / scale > 3.5).cast("int"), F.lit(0))
