@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stagelight.operators.graph import connected_components
 from stagelight.operators.pixels import gaussian_kernel, otsu_threshold
+from stagelight.operators.scan import ordered_scan
 from stagelight.session import cut_lineage
 
 Ring = list[tuple[float, float]]
@@ -125,34 +126,60 @@ def cells_of_fovs(fovs: DataFrame, fov_size: float, cell_um: float) -> DataFrame
         "fov_id", "r", F.explode("_c").alias("c"))
 
 
-def redundant_fovs(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um: float, max_rounds: int = 200) -> DataFrame:
-    """(fov_id, detected, removed): detected when no tissue cell is covered by the FOV alone; removed in id order.
+#: Cells of the FOVs that are decided together in one task.
+DECIDED_AT_ONCE = 1 << 20
 
-    The sequential rule "remove in id order while still redundant" is run in rounds: a detected FOV is decided once no
-    overlapping detected FOV with a lower id is undecided, so distant FOVs are decided together with the same result.
-    Only cells shared with detected FOVs take part.
+
+def decide_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """(fov_id, removed) of FOVs in id order: removed while every cell of it still has two; `left` is the number before this block."""
+    rows = rows.sort_values("fov_id", kind="stable")
+    cell, _ = pd.factorize(pd.MultiIndex.from_frame(rows[["r", "c"]]))
+    left = np.zeros(cell.max() + 1, np.int64)
+    left[cell] = rows["left"].to_numpy()
+    ids, start = np.unique(rows["fov_id"].to_numpy(), return_index=True)
+    removed = np.zeros(len(ids), bool)
+    for k, own in enumerate(np.split(cell, start[1:])):
+        if (left[own] >= 2).all():
+            left[own] -= 1
+            removed[k] = True
+    return pd.DataFrame({"fov_id": ids, "removed": removed})
+
+
+def redundant_fovs(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um: float, at_once: int | None = None) -> DataFrame:
+    """(fov_id, detected, removed): detected when no tissue cell is covered by the FOV alone; removed in id order while still redundant.
+
+    FOVs without common cells do not meet: a component of overlapping detected FOVs is cut into blocks of ``at_once`` FOVs in id
+    order (so many that their cells fit a task). Round k decides block k of every component, each in one task, from the cell counts that the
+    earlier blocks left, which is the sequential rule at any length; rounds grow with the largest component over the block size.
     """
-    cover = cut_lineage(cells_of_fovs(fovs, fov_size, cell_um).join(tissue.select("r", "c").distinct(), ["r", "c"]))
-    count = cover.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
+    cover = cut_lineage(cells_of_fovs(fovs, fov_size, cell_um).join(tissue.select("r", "c").distinct(), ["r", "c"]).distinct())
+    count = cover.groupBy("r", "c").agg(F.count("*").alias("n"))
     alone = cover.join(count.where("n = 1"), ["r", "c"]).select("fov_id").distinct()
     detected = fovs.select("fov_id").distinct().join(alone, "fov_id", "left_anti")
     live = cut_lineage(cover.join(detected, "fov_id").join(count, ["r", "c"]))
-    state = cut_lineage(detected.withColumn("removed", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
-        if state.where("removed is null").limit(1).count() == 0:
-            break
-        s = live.join(state, "fov_id")
-        per_cell = s.groupBy("r", "c").agg(
-            (F.max("n") - F.count_if("removed")).alias("left"), F.min(F.when(F.col("removed").isNull(), F.col("fov_id"))).alias("first"))
-        view = s.where("removed is null").join(per_cell, ["r", "c"]).groupBy("fov_id").agg(
-            F.bool_and(F.col("first") == F.col("fov_id")).alias("turn"), F.bool_and(F.col("left") >= 2).alias("spare"))
-        # a FOV without any tissue cell is redundant at once
-        state = cut_lineage(state.join(view, "fov_id", "left").select(
-            "fov_id", F.when(F.col("removed").isNotNull(), F.col("removed")).when(F.col("turn").isNull(), True).when(F.col("turn"), F.col("spare")).alias("removed")))
-    else:
-        raise RuntimeError(f"redundancy did not settle in {max_rounds} rounds")
-    return fovs.select("fov_id").distinct().join(state, "fov_id", "left").select(
-        "fov_id", F.col("removed").isNotNull().alias("detected"), F.coalesce("removed", F.lit(False)).alias("removed"))
+    first = live.groupBy("r", "c").agg(F.min("fov_id").alias("first"))
+    parts = connected_components(live.join(first, ["r", "c"]).select("fov_id", "first").distinct(), "fov_id", "first")
+    size = at_once or max(1, int(DECIDED_AT_ONCE // (fov_size / cell_um + 1) ** 2))
+    numbered = ordered_scan(parts.select(F.col("id").alias("fov_id"), "component"), ["component"], ["fov_id"], row_number="_rn")
+    blocks = cut_lineage(numbered.select("fov_id", "component", F.floor((F.col("_rn") - 1) / size).alias("block")))
+    last = blocks.agg(F.max("block")).first()[0]
+    decided = taken = None
+    for k in range(-1 if last is None else last + 1):
+        rows = live.join(blocks.where(F.col("block") == k), "fov_id")
+        if taken is not None:
+            rows = rows.join(taken, ["r", "c"], "left").withColumn("n", F.col("n") - F.coalesce("used", F.lit(0)))
+        kind = fovs.schema["fov_id"].dataType.simpleString()
+        out = cut_lineage(rows.select("component", "fov_id", "r", "c", F.col("n").alias("left")).groupBy("component").applyInPandas(decide_in_order, f"fov_id {kind}, removed boolean"))
+        used = live.join(out.where("removed"), "fov_id").groupBy("r", "c").agg(F.count("*").alias("used"))
+        taken = used if taken is None else taken.unionByName(used).groupBy("r", "c").agg(F.sum("used").alias("used"))
+        if last:
+            taken = cut_lineage(taken)
+        decided = out if decided is None else decided.unionByName(out)
+    every = fovs.select("fov_id").distinct().join(detected.withColumn("detected", F.lit(True)), "fov_id", "left").withColumn("detected", F.coalesce("detected", F.lit(False)))
+    if decided is None:
+        return every.withColumn("removed", F.col("detected"))
+    # a detected FOV without any tissue cell was never in a block; it goes at once
+    return every.join(decided, "fov_id", "left").select("fov_id", "detected", F.coalesce("removed", F.col("detected")).alias("removed"))
 
 
 def uncovered_cells(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um: float) -> DataFrame:

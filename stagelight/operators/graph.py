@@ -1,144 +1,41 @@
-"""Iterative graph work: components, positions from pairwise measurements. Lineage is cut by reliable checkpoints."""
+"""Connected components. Lineage is cut by reliable checkpoints."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stagelight.session import cut_lineage
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges behind a checkpoint, and their number and hash, observed while it is written."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    kept = cut_lineage(watched)
+    got = seen.get
+    return kept, (got["n"], got["h"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): component is the smallest id reachable. Nodes come from the edges; self edges keep lone nodes.
 
     Alternating star contraction: each round points neighbours at the smallest id seen, first upwards, then downwards,
-    so the number of rounds grows with the logarithm of the size, not with the diameter.
+    so the number of rounds grows with the logarithm of the size, not with the diameter. Every round that changes the edges lowers
+    some label, so it ends at any size.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     nodes = start.select(F.col("u").alias("id")).union(start.select("v")).distinct()
-    e = cut_lineage(start.where("u <> v"))
-    last = _fingerprint(e)
-    for _ in range(max_rounds):
+    e, last = _settled(start.where("u <> v"))
+    while True:
         near = e.union(e.select("v", "u").toDF("u", "v"))
         low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         e = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cut_lineage(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = _fingerprint(e)
+        e, now = _settled(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(label.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _solve_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Conjugate gradients on the pairs of one component, its pinned FOV held fixed."""
-    ids, flat = np.unique(np.concatenate([pdf["anchor"], pdf["neighbour"]]), return_inverse=True)
-    a, b = flat[:len(pdf)], flat[len(pdf):]
-    free = ids != pdf["pin"].iloc[0]
-    p = np.zeros((len(ids), 2))
-    p[a] = pdf[["ax", "ay"]]
-    p[b] = pdf[["bx", "by"]]
-
-    def gradient(diff):
-        g = np.stack([np.bincount(b, diff[:, i], len(ids)) - np.bincount(a, diff[:, i], len(ids)) for i in (0, 1)], axis=1)
-        return g * free[:, None]
-
-    s = -gradient(p[b] - p[a] - pdf[["rx", "ry"]].to_numpy())
-    d, ss = s.copy(), (s * s).sum(0)
-    for _ in range(10 * len(ids)):
-        if np.abs(s).max(initial=0.0) <= 1e-10:
-            break
-        q = gradient(d[b] - d[a])
-        dq = (d * q).sum(0)
-        alpha = np.divide(ss, dq, out=np.zeros(2), where=dq > 0)
-        p, s = p + alpha * d, s - alpha * q
-        new = (s * s).sum(0)
-        d = s + np.divide(new, ss, out=np.zeros(2), where=ss > 0) * d
-        ss = new
-    return pd.DataFrame({"fov_id": ids, "component": pdf["component"].iloc[0], "pinned": ~free, "x": p[:, 0], "y": p[:, 1]})
-
-
-def solve_positions(pairs: DataFrame, nominal: DataFrame, *, tol: float = 1e-6, max_rounds: int = 500,
-                    local_limit: int = 20000) -> tuple[DataFrame, DataFrame]:
-    """Positions p minimising sum |(p_b - p_a) - r_ab|^2 with the most used anchor of each component fixed.
-
-    pairs: anchor, neighbour, measured_x, measured_y; nominal: fov_id, x, y. Returns (fov_id, component, pinned, x, y)
-    and one row with residual_rms and n_components. Components of up to ``local_limit`` pairs (a run has a few thousand)
-    are solved side by side, one per task; larger ones by conjugate gradients over the whole cluster.
-    """
-    at = lambda k, x, y: nominal.select(F.col("fov_id").alias(k), F.col("x").alias(x), F.col("y").alias(y))
-    r = pairs.join(at("anchor", "ax", "ay"), "anchor").join(at("neighbour", "bx", "by"), "neighbour").select(
-        "anchor", "neighbour", "ax", "ay", "bx", "by", (F.col("measured_x") - F.col("ax")).alias("rx"), (F.col("measured_y") - F.col("ay")).alias("ry"))
-    comp = connected_components(r, "anchor", "neighbour")
-    r = r.join(comp.withColumnRenamed("id", "anchor"), "anchor")
-    used = r.groupBy("component", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    pick = used.groupBy("component").agg(F.max_by("anchor", F.struct("n", -F.col("anchor"))).alias("pin"), F.sum("n").alias("n_pairs"))
-    r = cut_lineage(r.join(pick, "component"))
-    id_type = dict(nominal.dtypes)["fov_id"]
-    out = f"fov_id {id_type}, component {id_type}, pinned BOOLEAN, x DOUBLE, y DOUBLE"
-    solved = r.where(F.col("n_pairs") <= local_limit).groupBy("component").applyInPandas(_solve_component, out)
-    large = r.where(F.col("n_pairs") > local_limit)
-    if large.limit(1).count():
-        solved = solved.unionByName(_solve_distributed(large, tol, max_rounds))
-    solved = cut_lineage(solved)
-    end = lambda k, x, y: solved.select(F.col("fov_id").alias(k), F.col("x").alias(x), F.col("y").alias(y))
-    ends = r.drop("ax", "ay", "bx", "by").join(end("anchor", "ax", "ay"), "anchor").join(end("neighbour", "bx", "by"), "neighbour")
-    e2 = F.pow(F.col("bx") - F.col("ax") - F.col("rx"), 2) + F.pow(F.col("by") - F.col("ay") - F.col("ry"), 2)
-    summary = ends.agg(F.sqrt(F.coalesce(F.avg(e2), F.lit(0.0))).alias("residual_rms")).withColumn(
-        "n_components", solved.agg(F.count_distinct("component")).scalar())
-    return solved, summary
-
-
-def _solve_distributed(r: DataFrame, tol: float, max_rounds: int) -> DataFrame:
-    """Conjugate gradients on the pair graph: each round is a join of the pairs with the search direction.
-
-    Only a few sums reach the driver; every round is cut by a checkpoint.
-    """
-    side = lambda k, x, y: r.select(F.col(k).alias("id"), "component", (F.col(k) == F.col("pin")).alias("pinned"), F.col(x).alias("x"), F.col(y).alias("y"))
-    start = side("anchor", "ax", "ay").union(side("neighbour", "bx", "by")).distinct()
-    pairs = r.select("anchor", "neighbour", "rx", "ry")
-
-    def gradient(vec: DataFrame, vx: str, vy: str, measured: bool) -> DataFrame:
-        p = pairs.join(vec.select(F.col("id").alias("anchor"), F.col(vx).alias("ax"), F.col(vy).alias("ay")), "anchor").join(
-            vec.select(F.col("id").alias("neighbour"), F.col(vx).alias("bx"), F.col(vy).alias("by")), "neighbour")
-        ex = F.col("bx") - F.col("ax") - (F.col("rx") if measured else 0.0)
-        ey = F.col("by") - F.col("ay") - (F.col("ry") if measured else 0.0)
-        ends = p.select(F.explode(F.array(
-            F.struct(F.col("neighbour").alias("id"), ex.alias("gx"), ey.alias("gy")),
-            F.struct(F.col("anchor").alias("id"), (-ex).alias("gx"), (-ey).alias("gy")))).alias("e"))
-        return ends.groupBy("e.id").agg(F.sum("e.gx").alias("gx"), F.sum("e.gy").alias("gy"))
-
-    free = lambda c: F.when(F.col("pinned"), 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
-    s0 = start.join(gradient(start, "x", "y", True), "id", "left").select(
-        "id", "component", "pinned", "x", "y", (-free("gx")).alias("sx"), (-free("gy")).alias("sy"))
-    state = cut_lineage(s0.withColumn("dx", F.col("sx")).withColumn("dy", F.col("sy")))
-    sums = lambda df: df.agg(F.sum(F.col("sx") * F.col("sx")), F.sum(F.col("sy") * F.col("sy")), F.max(F.greatest(F.abs("sx"), F.abs("sy")))).first()
-    ssx, ssy, worst = sums(state)
-    for _ in range(max_rounds):
-        if worst <= tol:
-            break
-        step = cut_lineage(state.join(gradient(state, "dx", "dy", False), "id", "left").withColumn("gx", free("gx")).withColumn("gy", free("gy")))
-        dqx, dqy = step.agg(F.sum(F.col("dx") * F.col("gx")), F.sum(F.col("dy") * F.col("gy"))).first()
-        ax, ay = (ssx / dqx if dqx else 0.0), (ssy / dqy if dqy else 0.0)
-        moved = step.select(
-            "id", "component", "pinned", (F.col("x") + ax * F.col("dx")).alias("x"), (F.col("y") + ay * F.col("dy")).alias("y"),
-            (F.col("sx") - ax * F.col("gx")).alias("sx"), (F.col("sy") - ay * F.col("gy")).alias("sy"), "dx", "dy")
-        nx, ny, worst = sums(moved)
-        bx, by = (nx / ssx if ssx else 0.0), (ny / ssy if ssy else 0.0)
-        state = moved.withColumn("dx", F.col("sx") + bx * F.col("dx")).withColumn("dy", F.col("sy") + by * F.col("dy"))
-        ssx, ssy = nx, ny
-    else:
-        raise RuntimeError(f"positions did not settle in {max_rounds} rounds")
-    return state.select(F.col("id").alias("fov_id"), "component", "pinned", "x", "y")

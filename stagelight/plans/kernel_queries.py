@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stagelight.operators import coverage as Q
-from stagelight.operators import graph as N
 from stagelight.operators import kernels as K
 from stagelight.operators import positions as G
+from stagelight.operators.clusters import touching_clusters
 from stagelight.operators.model import fit_damage_model, score_windows
 from stagelight.operators.pixels import explode_pixels_of
-from stagelight.operators.spatial import contact_edges
+from stagelight.operators.solve import solve_positions
 from stagelight.plans.aggregate_queries import rounded
 from stagelight.plans.registry import query
-from stagelight.plans.tables import CLOUD, IMG, PS, cloud, frames, images, positions, r6, table
+from stagelight.plans.tables import CLOUD, IMG, PS, blur_sql, cloud, frames, images, mirrored_sql, positions, r6, table
 
 
 def binary_frames(spark, d, spike: bool = False):
@@ -57,12 +57,27 @@ def _(spark, d):
     return K.analyse_frames(big_images(spark, d), ["image"], size=(20, 20)).select("image", F.hex("thumbnail").alias("thumbnail"))
 
 
-@query("K2_detect_spots")
+def spots_sql(src: str, key: str, n: int, reach: int, sigmas: float) -> str:
+    """Spots of n x n images ``src`` (key, r, c, v): tops of windows that reach so far, above the background of the blurred image."""
+    return f"""{blur_sql(src, key, n, 1.5)}, cut AS (SELECT {key}, quantile_cont(v, 0.8) AS top FROM bl GROUP BY ALL),
+  dark AS (SELECT {key}, median(v) FILTER (v < top) AS med, stddev_pop(v) FILTER (v < top) AS std, median(v) AS whole FROM bl JOIN cut USING ({key}) GROUP BY ALL),
+  lvl AS (SELECT {key}, coalesce(med, whole) AS med, coalesce(std, 1) AS std FROM dark),
+  cand AS (SELECT bl.*, med FROM bl JOIN lvl USING ({key}) WHERE v > med + {sigmas}e0 * std),
+  peak AS (SELECT a.{key}, a.r, a.c, any_value(med) AS med FROM cand a CROSS JOIN range({-reach}, {reach + 1}) p(i) CROSS JOIN range({-reach}, {reach + 1}) q(j)
+    JOIN bl b ON b.{key} = a.{key} AND b.r = {mirrored_sql("a.r + i", n)} AND b.c = {mirrored_sql("a.c + j", n)} GROUP BY ALL HAVING max(b.v) <= any_value(a.v))
+  SELECT {key}, CAST(r AS INTEGER) AS row_px, CAST(c AS INTEGER) AS col_px, round(v - med, 6) AS intensity FROM peak JOIN {src} USING ({key}, r, c)"""
+
+
+BIG = f"""{IMG}, tile AS (SELECT frame // 64 AS image, CAST(8 * (frame % 64 // 8) + r AS BIGINT) AS r, CAST(8 * (frame % 8) + c AS BIGINT) AS c, v FROM img),
+  big AS (SELECT image, y.r, x.c, coalesce(v, 1000) AS v FROM (SELECT DISTINCT image FROM tile) CROSS JOIN range(64) y(r) CROSS JOIN range(64) x(c) LEFT JOIN tile USING (image, r, c))"""
+
+
+@query("K2_detect_spots", f"WITH {BIG}, {spots_sql('big', 'image', 64, 2, 1.5)}")
 def _(spark, d):
     return rounded(K.detect_spots(big_images(spark, d), ["image"], 5, 1.5), {"intensity"})
 
 
-@query("K2_detect_spots_projected")
+@query("K2_detect_spots_projected", f"WITH {IMG}, pj AS (SELECT grp, r, c, max(v) AS v FROM img GROUP BY ALL), {spots_sql('pj', 'grp', 8, 1, 0.5)}")
 def _(spark, d):
     p = K.max_project(binary_frames(spark, d), ["grp"])
     return rounded(K.detect_spots(p, ["grp"], 3, 0.5), {"intensity"})
@@ -92,19 +107,39 @@ def _(spark, d):
     return rounded(v, {"dy", "dx", "score", "drift_x_um", "drift_y_um"})
 
 
-@query("K6_laplacian_texture")
+@query("K6_laplacian_texture", f"""WITH {IMG}, {blur_sql('img', 'frame', 8, 1.0)}, la AS (SELECT a.frame, a.r, a.c, sum(b.v) - 4 * any_value(a.v) AS v FROM bl a CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(i, j)
+  JOIN bl b ON b.frame = a.frame AND b.r = {mirrored_sql("a.r + i", 8)} AND b.c = {mirrored_sql("a.c + j", 8)} GROUP BY ALL) SELECT frame, round(var_pop(v), 6) AS texture FROM la GROUP BY frame""")
 def _(spark, d):
     return rounded(K.laplacian_texture(binary_frames(spark, d), ["frame"]), {"texture"})
 
 
-@query("K7_neighbour_registration")
+#: Pixels between neighbours of the test grid, and of a side of its frames: half of each frame is shared.
+PITCH, SIDE = 24, 48
+
+
+def textured_frames(spark, d):
+    """Frames of one fixed world of random pixels; each stands up to two whole pixels off its nominal place."""
+    k, px = F.col("fov_id"), 200.0 / PITCH
+    p = positions(spark, d).select("fov_id", (F.round(F.col("x") / px) + k * 37 % 5 - 2).cast("long").alias("c0"), (F.round(F.col("y") / px) + k * 53 % 5 - 2).cast("long").alias("r0"))
+    level = lambda i: F.pmod(F.xxhash64(F.col("r0") + F.floor(i / SIDE), F.col("c0") + i % SIDE), F.lit(4096))
+    values = p.select(k.alias("frame"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SIDE * SIDE - 1).cast("long")), level).alias("px"))
+
+    @F.pandas_udf("binary")
+    def pack(px: pd.Series) -> pd.Series:
+        return px.map(lambda a: np.asarray(a).astype("<u2").tobytes())
+
+    return values.select("frame", "h", "w", pack("px").alias("pixels"))
+
+
+@query("K7_neighbour_registration", f"""WITH {PS}, j AS (SELECT *, fov_id * 37 % 5 AS jx, fov_id * 53 % 5 AS jy FROM ps)
+  SELECT a.fov_id AS anchor, b.fov_id AS neighbour, CASE WHEN b.x > a.x THEN 'right' WHEN b.x < a.x THEN 'left' WHEN b.y > a.y THEN 'up' ELSE 'down' END AS direction,
+  round(b.x + (b.jx - a.jx) * 200e0 / {PITCH}, 6) AS measured_x, round(b.y + (b.jy - a.jy) * 200e0 / {PITCH}, 6) AS measured_y FROM j a JOIN j b ON abs(a.x - b.x) + abs(a.y - b.y) = 200""")
 def _(spark, d):
     p = positions(spark, d)
     nb = G.grid_neighbours(p, 200).where("neighbour is not null").select(F.col("fov_id").alias("anchor"), "direction", "neighbour")
     b = p.select(F.col("fov_id").alias("neighbour"), F.col("x").alias("bx0"), F.col("y").alias("by0"))
-    pairs = K.pair_frames(nb.join(b, "neighbour"), binary_frames(spark, d), "anchor", "neighbour")
-    m = K.neighbour_registration(pairs, ["anchor", "neighbour", "direction"], 0.5, 0.1)
-    return rounded(m, {"measured_x", "measured_y", "error"})
+    m = K.neighbour_registration(nb.join(b, "neighbour"), textured_frames(spark, d), ["anchor", "neighbour", "direction"], 0.5, 200.0 / PITCH)
+    return rounded(m, {"measured_x", "measured_y"}).drop("error")
 
 
 @query("K8_localize_3d")
@@ -141,17 +176,18 @@ def consistent_pairs(spark, d):
 
 
 @query("K11_solve_positions", f"""WITH {PS}, {PAIRS}, o AS (SELECT x - tx AS ox, y - ty AS oy FROM jt JOIN pn ON pn.anchor = jt.fov_id)
-  SELECT fov_id, (SELECT min(fov_id) FROM jt) AS component, fov_id = (SELECT anchor FROM pn) AS pinned, round(tx + ox, 2) AS x, round(ty + oy, 2) AS y FROM jt, o""")
+  SELECT fov_id, (SELECT min(fov_id) FROM jt) AS component, fov_id = (SELECT anchor FROM pn) AS pinned, round(tx + ox, 6) AS x, round(ty + oy, 6) AS y, 0.0::DOUBLE AS residual_rms FROM jt, o""")
 def _(spark, d):
-    solved, _ = N.solve_positions(consistent_pairs(spark, d), positions(spark, d), tol=1e-5)
-    return solved.select("fov_id", "component", "pinned", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"))
+    solved, summary = solve_positions(consistent_pairs(spark, d), positions(spark, d))
+    at = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return solved.select("fov_id", "component", "pinned", at("x"), at("y")).withColumn("residual_rms", F.round(summary.select("residual_rms").scalar(), 6) + 0.0)
 
 
 @query("K12_connected_components", f"""WITH RECURSIVE {CLOUD}, ed AS (SELECT a.id AS a, b.id AS b FROM cloud a JOIN cloud b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400),
   re AS (SELECT a AS id, a AS node FROM ed UNION SELECT re.id, ed.b FROM re JOIN ed ON ed.a = re.node)
   SELECT id, min(node) AS component FROM re GROUP BY id""")
 def _(spark, d):
-    return N.connected_components(contact_edges(cloud(spark, d), 20))
+    return touching_clusters(cloud(spark, d), 20)
 
 
 def blob(spark, d, turned: bool = False):
@@ -177,7 +213,15 @@ def _(spark, d):
     return Q.segment_tissue(canvas, pixel_um=1.0, smooth_um=2, close_um=2, open_um=2, margin_um=1, min_tissue_um2=200, min_hole_um2=10, near_um=5)
 
 
-@query("K16_coverage_redundancy")
+@query("K16_coverage_redundancy", f"""WITH RECURSIVE {CLOUD}, fv AS (SELECT s_suppkey AS f, 20e0 * (s_suppkey * 37 % 53) AS x, 20e0 * (s_suppkey * 11 % 47) AS y FROM supplier),
+  ce AS (SELECT DISTINCT CAST(floor(y / 10) AS BIGINT) AS r, CAST(floor(x / 10) AS BIGINT) AS c FROM cloud), cv AS (SELECT f, r * 100000 + c AS k FROM fv JOIN ce ON abs((r + 0.5) * 10 - y) <= 60 AND abs((c + 0.5) * 10 - x) <= 60),
+  ct AS (SELECT k, count(*) AS n FROM cv GROUP BY k), al AS (SELECT DISTINCT f FROM cv JOIN ct USING (k) WHERE n = 1), de AS (SELECT f FROM fv ANTI JOIN al USING (f)),
+  ds AS (SELECT f, row_number() OVER (ORDER BY f) AS i, ks, ns FROM de LEFT JOIN (SELECT f, list(k ORDER BY k) AS ks, list(n ORDER BY k) AS ns FROM cv JOIN ct USING (k) GROUP BY f) USING (f)),
+  st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS gone UNION ALL
+    SELECT i, CASE WHEN ok THEN list_concat(used, ks) ELSE used END, CASE WHEN ok THEN list_append(gone, f) ELSE gone END FROM (SELECT ds.i, f, used, gone, coalesce(ks, []) AS ks,
+      coalesce(list_aggregate(list_transform(range(1, len(ks) + 1), lambda j: ns[j] - len(list_filter(used, lambda u: u = ks[j])) >= 2), 'bool_and'), true) AS ok FROM st JOIN ds ON ds.i = st.i + 1)),
+  fin AS (SELECT arg_max(gone, i) AS gone FROM st)
+  SELECT f AS fov_id, de.f IS NOT NULL AS detected, list_contains(gone, fv.f) AS removed FROM fv LEFT JOIN de USING (f), fin""")
 def _(spark, d):
     k = F.col("s_suppkey")
     fovs = table(spark, d, "supplier").select(k.alias("fov_id"), (20.0 * (k * 37 % 53)).alias("x"), (20.0 * (k * 11 % 47)).alias("y"))

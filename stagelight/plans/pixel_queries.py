@@ -8,7 +8,7 @@ from stagelight.operators import pixels as X
 from stagelight.operators import windows as W
 from stagelight.operators.spatial_stats import median_nn_distance
 from stagelight.plans.registry import query
-from stagelight.plans.tables import IMG, PS, images, positions, r6
+from stagelight.plans.tables import IMG, PS, blur_sql, images, positions, r6
 
 
 @query("P12_orient_pixels", f"WITH {IMG} SELECT frame, c AS r, 7 - r AS c, v FROM img")
@@ -56,7 +56,9 @@ def _(spark, d):
     return X.flat_field(images(spark, d), ["grp"], sigma=0).select("grp", "r", "c", r6("v").alias("v"), "n_samples")
 
 
-@query("A13_flat_field_blurred")
+@query("A13_flat_field_blurred", f"""WITH {IMG}, m AS (SELECT grp, r, c, avg(v) AS v, count(*) AS n FROM img GROUP BY ALL), {blur_sql('m', 'grp', 8, 1.5)},
+  t AS (SELECT grp, quantile_cont(bl.v, 0.9999) AS top, max(n) AS n_samples FROM bl JOIN m USING (grp, r, c) GROUP BY grp)
+  SELECT grp, r, c, round(greatest(v / top, 0.1e0), 6) AS v, n_samples FROM bl JOIN t USING (grp)""")
 def _(spark, d):
     return X.flat_field(images(spark, d), ["grp"], sigma=1.5).select("grp", "r", "c", r6("v").alias("v"), "n_samples")
 
@@ -154,10 +156,21 @@ def _(spark, d):
     return b.select("bin", r6("center").alias("center"), r6("density").alias("density"))
 
 
-@query("A21_valley")
+@query("A21_valley", f"""WITH {IMG}, {LD}, hs AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY bin) - 1 AS i, center, density AS y FROM dn),
+  nw AS (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY grp ORDER BY i) THEN 0 ELSE 1 END AS new FROM hs), nr AS (SELECT *, sum(new) OVER (PARTITION BY grp ORDER BY i) AS k FROM nw),
+  ru AS (SELECT grp, k, min(i) AS s, max(i) AS e, any_value(y) AS y FROM nr GROUP BY grp, k), rn AS (SELECT *, lag(y) OVER w AS yl, lead(y) OVER w AS yr FROM ru WINDOW w AS (PARTITION BY grp ORDER BY k)),
+  pk AS (SELECT * FROM rn WHERE y > yl AND y > yr), hi AS (SELECT pk.grp, pk.k, any_value(pk.s) AS s, any_value(pk.e) AS e, any_value(pk.y) AS y,
+    coalesce(max(hs.i) FILTER (hs.i < pk.s AND hs.y > pk.y), -1) AS l, coalesce(min(hs.i) FILTER (hs.i > pk.e AND hs.y > pk.y), 1000000) AS r FROM pk JOIN hs USING (grp) GROUP BY pk.grp, pk.k),
+  pr AS (SELECT hi.grp, hi.k, (any_value(s) + any_value(e)) // 2 AS pos, any_value(hi.y) - greatest(min(hs.y) FILTER (hs.i > l AND hs.i < s), min(hs.y) FILTER (hs.i > e AND hs.i < r)) AS p, max(hs.y) AS top
+    FROM hi JOIN hs USING (grp) GROUP BY hi.grp, hi.k),
+  mx AS (SELECT grp, max(y) AS top FROM hs GROUP BY grp), rk AS (SELECT pr.grp, pos, row_number() OVER (PARTITION BY pr.grp ORDER BY p DESC, pos) AS n FROM pr JOIN mx USING (grp) WHERE p >= 0.05e0 * mx.top),
+  ed AS (SELECT grp, min(pos) AS a, max(pos) AS z, count(*) AS n FROM rk WHERE n <= 2 GROUP BY grp),
+  va AS (SELECT ed.grp, arg_min(center, y * 1000 + i / 1e9) AS x FROM ed JOIN hs ON hs.grp = ed.grp AND i BETWEEN a AND z WHERE n = 2 GROUP BY ed.grp)
+  SELECT g.grp, round(pow(10, x), 6) AS threshold FROM (SELECT DISTINCT grp FROM hs) g LEFT JOIN va USING (grp)""")
 def _(spark, d):
     h = X.log_density(images(spark, d), "grp", 40)
-    return X.valley_threshold(h.select("grp", "bin", "center", "density"), ["grp"])
+    v = X.valley_threshold(h.select("grp", "bin", "center", "density"), ["grp"])
+    return v.select("grp", F.round(F.nanvl("threshold", F.lit(None).cast("double")), 6).alias("threshold"))
 
 
 CAN = """tl AS (SELECT DISTINCT frame, 6e0 * (frame % 20) AS x_um, 6e0 * (frame // 20 % 20) AS y_um, frame * 7 % 31 AS zvalue FROM img),

@@ -126,3 +126,16 @@ def focus_log(spark, folder) -> DataFrame:
 
 
 LOG = """log AS (SELECT user_id AS movie, event_id AS frame, ts, value AS stage_z, event_type <> 'error' AS good FROM events)"""
+
+
+def mirrored_sql(i: str, n: int) -> str:
+    """Index of a half-sample mirrored edge as SQL."""
+    return f"(CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN {2 * n - 1} - ({i}) ELSE {i} END)"
+
+
+def blur_sql(src: str, key: str, n: int, sigma: float, name: str = "bl") -> str:
+    """CTEs ending in ``name`` (key, r, c, v): the Gaussian blur, cut at four sigma, of n x n images ``src`` (key, r, c, v)."""
+    reach, w = int(4 * sigma + 0.5), f"exp(-0.5e0 * pow(k / {sigma}e0, 2))"
+    return f"""{name}_k AS (SELECT k, {w} / (SELECT sum({w}) FROM range({-reach}, {reach + 1}) t(k)) AS w FROM range({-reach}, {reach + 1}) t(k)),
+  {name}_r AS (SELECT a.{key}, a.r, a.c, sum(w * b.v) AS v FROM {src} a CROSS JOIN {name}_k JOIN {src} b ON b.{key} = a.{key} AND b.c = a.c AND b.r = {mirrored_sql("a.r + k", n)} GROUP BY ALL),
+  {name} AS (SELECT a.{key}, a.r, a.c, sum(w * b.v) AS v FROM {name}_r a CROSS JOIN {name}_k JOIN {name}_r b ON b.{key} = a.{key} AND b.r = a.r AND b.c = {mirrored_sql("a.c + k", n)} GROUP BY ALL)"""

@@ -8,6 +8,8 @@ from stagelight.operators import coverage as Q
 from stagelight.operators import graph as N
 from stagelight.operators import kernels as K
 from stagelight.operators import pixels as X
+from stagelight.operators.clusters import touching_clusters
+from stagelight.operators.solve import solve_positions
 
 
 def frames(spark, images, key="frame"):
@@ -112,12 +114,24 @@ def test_laplacian_texture(spark):
     assert K.laplacian_texture(frames(spark, [img]), ["frame"]).first().texture == pytest.approx(want)
 
 
-def test_overlap_strips():
-    a, b = np.arange(20).reshape(4, 5), np.arange(100, 120).reshape(4, 5)
-    s, t = K.overlap_strips(a, b, "right", 0.4)
-    assert (s == a[:, 3:]).all() and (t == b[:, :2]).all()
-    s, t = K.overlap_strips(a, b, "up", 0.25)
-    assert (s == a[3:]).all() and (t == b[:1]).all()
+def test_edge_strips(spark):
+    a = np.arange(20, dtype=np.uint16).reshape(4, 5)
+    got = {r.side: np.frombuffer(r.strip, "<u2").reshape(r.sh, r.sw) for r in K.edge_strips(frames(spark, [a]), "frame", 0.4).collect()}
+    assert (got["right"] == a[:, 3:]).all() and (got["left"] == a[:, :2]).all() and (got["up"] == a[2:]).all() and (got["down"] == a[:2]).all()
+
+
+def test_local_median_and_noise():
+    rng = np.random.default_rng(21)
+    for shape in ((1, 1), (1, 5), (7, 4), (30, 31)):
+        img = rng.integers(0, 50, shape)
+        p = np.pad(img, 1, mode="edge")
+        want = [[np.median(p[r : r + 3, c : c + 3]) for c in range(shape[1])] for r in range(shape[0])]
+        assert (K.local_median(img) == np.array(want)).all()
+        v = rng.integers(-9, 9, rng.integers(1, 40))
+        assert K.counted_noise(*np.unique(v, return_counts=True)) == pytest.approx(1.4826 * np.median(np.abs(v - np.median(v))))
+    for size in (1, 2, 5, 8):
+        at = np.arange(img.size)
+        assert (K.window_tops(img, at, size).reshape(img.shape) == (K.sliding_max(img, size) == img)).all()
 
 
 def test_neighbour_registration(spark):
@@ -125,8 +139,8 @@ def test_neighbour_registration(spark):
     a, b = big[8:72, :100], big[10:74, 63:163][:, :97]
     a, b = a[:, :97], np.pad(b, ((0, 0), (0, 97 - b.shape[1])), mode="edge")
     # true offset of b: 63 columns right and 2 rows up; nominal says 60 and 0
-    pair = K.pair_frames(spark.createDataFrame([(0, 1, "right", 60.0, 0.0)], "anchor int, neighbour int, direction string, bx0 double, by0 double"), frames(spark, [a, b]), "anchor", "neighbour")
-    r = K.neighbour_registration(pair, ["anchor", "neighbour"], 37 / 97, 1.0).first()
+    pair = spark.createDataFrame([(0, 1, "right", 60.0, 0.0)], "anchor int, neighbour int, direction string, bx0 double, by0 double")
+    r = K.neighbour_registration(pair, frames(spark, [a, b]), ["anchor", "neighbour"], 37 / 97, 1.0).first()
     assert (r.measured_x, r.measured_y) == (pytest.approx(60 + 3, abs=0.3), pytest.approx(2, abs=0.3))
 
 
@@ -178,15 +192,15 @@ def test_components(spark):
     assert got == {n: find(n) for n in parent}
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_solve_positions(spark, limit):
+@pytest.mark.parametrize("block", [2048, 2])
+def test_solve_positions(spark, block):
     rng = np.random.default_rng(13)
     nominal = {i: (100.0 * (i % 3), 100.0 * (i // 3)) for i in range(6)} | {10: (0.0, 0.0), 11: (100.0, 0.0)}
     pairs = [(0, 1), (1, 2), (0, 3), (1, 4), (2, 5), (3, 4), (4, 5), (10, 11)]
     meas = [(a, b, *(np.array(nominal[b]) + rng.normal(0, 3, 2))) for a, b in pairs]
     df = spark.createDataFrame([(a, b, float(x), float(y)) for a, b, x, y in meas], "anchor long, neighbour long, measured_x double, measured_y double")
     nom = spark.createDataFrame([(i, *p) for i, p in nominal.items()], "fov_id long, x double, y double")
-    solved, summary = N.solve_positions(df, nom, local_limit=limit, tol=1e-9)
+    solved, summary = solve_positions(df, nom, block=block)
     ids = sorted(nominal)
     pins = [0, 10]
     a = np.zeros((len(pairs) + 2, len(ids)))
@@ -199,7 +213,7 @@ def test_solve_positions(spark, limit):
         rhs[len(pairs) + k] = 1e6 * np.array(nominal[p])
     want = np.linalg.lstsq(a, rhs, rcond=None)[0]
     for r in solved.collect():
-        assert (r.x, r.y) == pytest.approx(tuple(want[ids.index(r.fov_id)]), abs=1e-4) and r.pinned == (r.fov_id in pins)
+        assert (r.x, r.y) == pytest.approx(tuple(want[ids.index(r.fov_id)]), abs=1e-6) and r.pinned == (r.fov_id in pins)
     res = (a @ want - rhs)[:len(pairs)]
     s = summary.first()
     assert s.residual_rms == pytest.approx(np.sqrt((res**2).sum(1).mean()), abs=1e-5) and s.n_components == 2
@@ -217,8 +231,100 @@ def test_redundant_fovs(spark):
     for f in sorted(detected):
         if not alone(f, removed):
             removed.add(f)
-    got = Q.redundant_fovs(spark.createDataFrame(fovs, "fov_id long, x double, y double"), spark.createDataFrame(tissue, "r long, c long"), 40.0, 10.0).collect()
-    assert {r.fov_id for r in got if r.detected} == detected and {r.fov_id for r in got if r.removed} == removed
+    for at_once in (None, 3):
+        got = Q.redundant_fovs(spark.createDataFrame(fovs, "fov_id long, x double, y double"), spark.createDataFrame(tissue, "r long, c long"), 40.0, 10.0, at_once).collect()
+        assert {r.fov_id for r in got if r.detected} == detected and {r.fov_id for r in got if r.removed} == removed
+
+
+def test_a_chain_of_ten_thousand_fovs(spark):
+    """Each FOV overlaps its neighbours by a third or two thirds, so every decision hangs on the one before."""
+    step, n = (1, 2, 2), 10_000
+    x = np.cumsum([step[i % 3] for i in range(n)]) * 10.0
+    fovs = spark.createDataFrame([(i, float(v), 5.0) for i, v in enumerate(x)], "fov_id long, x double, y double")
+    tissue = spark.range(int(x[-1] // 10) + 9).select(F.lit(0).cast("long").alias("r"), F.col("id").alias("c"))
+    cover = [[c for c in range(int(v // 10) - 3, int(v // 10) + 4) if c >= 0 and abs((c + 0.5) * 10 - v) <= 15] for v in x]
+    left = {}
+    for own in cover:
+        for c in own:
+            left[c] = left.get(c, 0) + 1
+    detected = {i for i, own in enumerate(cover) if all(left[c] >= 2 for c in own)}
+    removed = set()
+    for i in sorted(detected):
+        if all(left[c] >= 2 for c in cover[i]):
+            removed.add(i)
+            for c in cover[i]:
+                left[c] -= 1
+    got = Q.redundant_fovs(fovs, tissue, 30.0, 10.0, 4000).collect()
+    assert len(removed) > 2000 and {r.fov_id for r in got if r.removed} == removed and {r.fov_id for r in got if r.detected} == detected
+
+
+def brute_clusters(points, radius):
+    """Components over all pairs within the radius, points without a neighbour left out."""
+    ids, xy = [p[0] for p in points], np.array([p[1:] for p in points], float)
+    label = list(range(len(ids)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    touched = set()
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.hypot(*(xy[i] - xy[:i]).T) <= radius):
+            touched |= {i, int(j)}
+            label[max(find(i), find(int(j)))] = min(find(i), find(int(j)))
+    least = {}
+    for i in touched:
+        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return {(ids[i], least[find(i)]) for i in touched}
+
+
+@pytest.mark.parametrize("radius", [0.5, 3.0])
+def test_touching_clusters(spark, monkeypatch, radius):
+    from stagelight.operators import clusters as C
+
+    monkeypatch.setattr(C, "PAIRS", 16)  # boxes are cut down to few points
+    rng = np.random.default_rng(int(radius * 10))
+    xy = np.concatenate([rng.uniform(0, 30, (250, 2)), rng.normal(5, 0.2, (150, 2)), rng.normal((9, 5), 0.3, (60, 2)), [(5.0, 5.0)] * 30, [(-7, -7), (-7 + radius, -7), (50, 50), (1e6, 1e6)]])
+    points = [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(xy)) + 5, xy)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    assert {tuple(r) for r in touching_clusters(df, radius).select("id", "component").collect()} == brute_clusters(points, radius)
+    assert touching_clusters(df, radius, lone=True).count() == len(points)
+
+
+def test_a_dense_cell_is_linear_work(spark):
+    """10^5 points in two cells that touch through one pair only: no list of pairs, the right components."""
+    rng = np.random.default_rng(4)
+    left = np.stack([rng.uniform(0, 0.5, 50_000), rng.uniform(0, 0.6, 50_000)], axis=1)
+    right = left + (1.6, 0.0)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([left, right, [(0.55, 0.3), (1.55, 0.3), (9, 9), (9.1, 9)]]))]
+    got = touching_clusters(spark.createDataFrame(points, "id long, x double, y double"), 1.0).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, 100_002), (100_002, 2)}
+
+
+def test_positions_of_one_large_component(spark):
+    """A grid of 24,000 pairs: the true positions come back (several blocks are tested above)."""
+    side, rng = 110, np.random.default_rng(6)
+    true = {i: (100.0 * (i % side) + rng.uniform(-4, 4), 100.0 * (i // side) + rng.uniform(-4, 4)) for i in range(side * side)}
+    pairs = [(i, j) for i in true for j in (i + 1, i + side) if j in true and (j != i + 1 or j % side)]
+    nominal = spark.createDataFrame([(i, 100.0 * (i % side), 100.0 * (i // side)) for i in true], "fov_id long, x double, y double")
+    # measured: nominal place of the neighbour as seen from the anchor's nominal place
+    rows = [(a, b, 100.0 * (a % side) + true[b][0] - true[a][0], 100.0 * (a // side) + true[b][1] - true[a][1]) for a, b in pairs]
+    solved, summary = solve_positions(spark.createDataFrame(rows, "anchor long, neighbour long, measured_x double, measured_y double"), nominal, block=1 << 14)
+    got = {r.fov_id: (r.x, r.y) for r in solved.collect()}
+    pin = solved.where("pinned").first()
+    off = np.array([pin.x, pin.y]) - true[pin.fov_id]
+    assert len(pairs) > 20_000 and max(np.abs(np.array(got[i]) - true[i] - off).max() for i in true) < 1e-5 and summary.first().residual_rms < 1e-6
+
+
+def test_positions_that_do_not_settle_are_an_error(spark, monkeypatch):
+    from stagelight.operators import solve as V
+
+    monkeypatch.setattr(V, "solve_block", lambda points, edges: points.assign(zx=0.0, zy=0.0))
+    pairs = spark.createDataFrame([(0, 1, 5.0, 0.0)], "anchor long, neighbour long, measured_x double, measured_y double")
+    monkeypatch.setattr(V, "ROUNDS", (2, 0))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        V.solve_positions(pairs, spark.createDataFrame([(0, 0.0, 0.0), (1, 4.0, 0.0)], "fov_id long, x double, y double"))
 
 
 def test_square_areas_against_sampling():
