@@ -9,35 +9,50 @@ from stagelight.functions.scalar import expected_name, pad_number, round_even
 from stagelight.operators.quantile import attach, exact_quantiles
 from stagelight.operators.scan import ordered_scan
 
-PLACEHOLDER = r"\{fov[^}]*\}"
+PLACEHOLDER = r"\{[^}]*\}"
+#: Stands for a placeholder while a pattern is cut into runs; a character that names do not hold.
+MARK = "\u0001"
 
 
-def name_parts(df: DataFrame, name: Column) -> DataFrame:
-    """Every reading of a file name as (_prefix, _fov, _suffix), one per run of digits (one of NULLs without digits).
+def pattern_keys(df: DataFrame, pattern: str) -> DataFrame:
+    """What file names are matched by: _skeleton, _mask and _fixed (see :func:`matched_names`), _regex and _group, the group of the FOV or NULL.
 
-    A series pattern then matches by equality of prefix and suffix, so classifying files needs no regular-expression
-    join. The placeholder of a pattern must not touch another digit.
+    A pattern is literal text with placeholders ({fov}, {fov:03d}, {any}), each a run of digits. Digits may touch a placeholder.
     """
-    out = df.withColumn("_t", F.split(name, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)"))
-    digits = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).rlike(r"^\d+$"))
-    return (
-        out.select("*", F.explode_outer(digits).alias("_at"))
-        .withColumn("_prefix", F.array_join(F.slice("_t", F.lit(1), F.col("_at")), ""))
-        .withColumn("_fov", F.get("_t", F.col("_at")).try_cast("long"))
-        .withColumn("_suffix", F.array_join(F.slice("_t", F.col("_at") + 2, F.size("_t")), "")).drop("_t", "_at")
-    )
-
-
-def pattern_parts(df: DataFrame, pattern: str) -> DataFrame:
-    return df.withColumn("_prefix", F.regexp_extract(pattern, r"^(.*?)" + PLACEHOLDER, 1)).withColumn(
-        "_suffix", F.regexp_extract(pattern, PLACEHOLDER + r"(.*)$", 1))
+    marked = F.regexp_replace(pattern, PLACEHOLDER, MARK)
+    runs = F.regexp_extract_all(marked, F.lit(f"([0-9{MARK}]+)"), F.lit(1))
+    open_run = lambda r: r.contains(MARK)
+    literal = F.regexp_replace(marked, r"([^A-Za-z0-9_/ -])", r"\\$1")
+    names = F.transform(F.regexp_extract_all(F.col(pattern), F.lit(r"\{([^}:]*)[^}]*\}"), F.lit(1)), lambda n: F.trim(n))
+    return df.withColumns({
+        "_skeleton": F.regexp_replace(marked, f"[0-9{MARK}]+", "#"), "_mask": F.transform(runs, open_run),
+        "_fixed": F.array_join(F.transform(runs, lambda r: F.when(open_run(r), "").otherwise(r)), ","),
+        "_regex": F.concat(F.lit("^"), F.replace(literal, F.lit("\\" + MARK), F.lit("([0-9]+)")), F.lit("$")),
+        "_group": F.nullif(F.array_position(names, "fov"), F.lit(0)).cast("int")})
+
+
+def matched_names(df: DataFrame, stem: Column, patterns: DataFrame) -> DataFrame:
+    """Rows with each pattern that their name matches and the FOV in it (_fov); rows without a match once, with NULLs.
+
+    The skeleton of a name has # for every run of digits. A skeleton's patterns have few masks, which runs are placeholders: for
+    each mask the other runs are fixed text, so names meet patterns by equality of skeleton, mask and fixed runs, and a regular expression only
+    confirms the few that meet.
+    """
+    masks = patterns.select("_skeleton", "_mask").distinct()
+    runs = F.regexp_extract_all("_stem", F.lit("([0-9]+)"), F.lit(1))
+    fixed = F.array_join(F.transform(F.arrays_zip("_mask", "_runs"), lambda z: F.when(z["_mask"], "").otherwise(z["_runs"])), ",")
+    named = df.withColumn("_stem", stem).withColumn("_skeleton", F.regexp_replace("_stem", "[0-9]+", "#")).withColumn("_runs", runs)
+    read = named.join(masks, "_skeleton", "left").withColumn("_fixed", fixed)
+    met = read.join(patterns, ["_skeleton", "_mask", "_fixed"], "left").withColumn("_ok", F.regexp_like("_stem", F.col("_regex")))
+    digits = F.call_function("regexp_extract", F.col("_stem"), F.col("_regex"), F.coalesce("_group", F.lit(0)))
+    return met.withColumn("_fov", F.when(F.col("_ok") & F.col("_group").isNotNull(), digits.try_cast("long")))
 
 
 def classify_files(files: DataFrame, series: DataFrame, path: str = "path") -> DataFrame:
     """Round, series and FOV of each file by the first matching pattern (column ``ord``); NULL when none matches."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
-    hits = name_parts(files, stem).join(pattern_parts(series, "series"), ["_prefix", "_suffix"], "left")
-    best = F.min_by(F.struct("round_id", "series", F.col("_fov").alias("fov_id")), "ord").alias("_b")
+    hits = matched_names(files, stem, pattern_keys(series.select("round_id", "series", "ord"), "series"))
+    best = F.min_by(F.struct("round_id", "series", F.col("_fov").alias("fov_id")), F.when(F.col("_ok"), F.col("ord"))).alias("_b")
     return hits.groupBy(*files.columns).agg(best).select(*files.columns, "_b.round_id", "_b.series", "_b.fov_id")
 
 
@@ -49,11 +64,12 @@ def resolve_expected_files(rounds: DataFrame, positions: DataFrame, inventory: D
     """
     plan = rounds.agg(F.collect_list(F.struct("round_id", "series", "dirs"))).scalar()
     grid = positions.select("fov_id").withColumn("_r", F.explode(plan)).select("fov_id", "_r.*")
-    want = pattern_parts(grid.withColumn("name", F.concat(expected_name("series", "fov_id"), F.lit(suffix))), "series").withColumn(
-        "_suffix", F.concat("_suffix", F.lit(suffix)))
-    cand = want.select("*", F.posexplode("dirs").alias("_d", "dir"))
-    have = name_parts(inventory.select("dir", "name"), F.col("name")).select("dir", F.col("name").alias("_found"), "_prefix", "_suffix", F.col("_fov").alias("fov_id"))
-    j = cand.join(have, ["dir", "_prefix", "_suffix", "fov_id"], "left")
+    cand = grid.withColumn("name", F.concat(expected_name("series", "fov_id"), F.lit(suffix))).select("*", F.posexplode("dirs").alias("_d", "dir"))
+    cand = cand.withColumn("_fov", F.when(F.col("series").rlike(r"\{ *fov[^}]*\}"), F.col("fov_id")).otherwise(-1).cast("long"))
+    there = inventory.where(F.endswith("name", F.lit(suffix))).select("dir", "name")
+    named = matched_names(there, F.substring("name", F.lit(1), F.length("name") - len(suffix)), pattern_keys(rounds.select("series").distinct(), "series")).where("_ok")
+    have = named.select("dir", "series", F.coalesce("_fov", F.lit(-1)).alias("_fov"), F.col("name").alias("_found"))
+    j = cand.join(have, ["dir", "series", "_fov"], "left")
     exact = F.col("_found") == F.col("name")
     rank = F.struct(F.when(exact, 0).when(F.col("_found").isNotNull(), 1).otherwise(2).alias("k"), F.col("_d"), F.col("_found"))
     pick = F.struct(F.concat_ws("/", "dir", F.coalesce("_found", "name")).alias("path"), F.col("_found").isNotNull().alias("exists"))

@@ -46,11 +46,15 @@ def _(spark, d):
     return J.resolve_expected_files(rounds(spark, d), positions(spark, d), files(spark, d))
 
 
-@query("J2_classify_files", f"""WITH {FILES} SELECT dir || '/' || name AS path, CAST(CASE WHEN name LIKE 'hal%' THEN r END AS INTEGER) AS round_id,
-  CASE WHEN name LIKE 'hal%' THEN 'hal_' || r || '_{{fov:04d}}' END AS series, CASE WHEN name LIKE 'hal%' THEN fov END AS fov_id FROM fi""")
+@query("J2_classify_files", f"""WITH {FILES}, m AS (SELECT *, CASE WHEN starts_with(name, 'hal_1_00') THEN 102 WHEN name LIKE 'hal%' THEN r ELSE 101 END AS m FROM fi)
+  SELECT dir || '/' || name AS path, CAST(m AS INTEGER) AS round_id, CASE m WHEN 102 THEN 'hal_1_00{{fov}}' WHEN 101 THEN 'other_{{run}}_{{fov:04d}}' ELSE 'hal_' || r || '_{{fov:04d}}' END AS series,
+  CASE m WHEN 102 THEN CAST(replace(substr(name, 9), '.dax', '') AS BIGINT) ELSE fov END AS fov_id FROM m""")
 def _(spark, d):
     f = files(spark, d).select(F.concat_ws("/", "dir", "name").alias("path"))
-    return J.classify_files(f, rounds(spark, d))
+    # one pattern whose digits touch its placeholder, one with a second placeholder
+    more = spark.createDataFrame([(101, "other_{run}_{fov:04d}", 50), (102, "hal_1_00{fov}", 0)], "round_id int, series string, ord int")
+    series = rounds(spark, d).select(F.col("round_id").cast("int").alias("round_id"), "series", F.col("ord").cast("int").alias("ord"))
+    return J.classify_files(f, series.unionByName(more))
 
 
 @query("J3_annotate_stats", f"""WITH {RS}, {PS} SELECT rs.round_id, rs.fov_id, rs.frame, round(mean, 6) AS mean, x, y, CASE WHEN frame <> 7 THEN 405e0 + rs.round_id END AS color,

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagelight.sources.scratch import open_path
@@ -78,6 +78,11 @@ def list_stacks(spark: SparkSession, path: str, suffix: str = ".dax", frame_heig
     return sized.select("path", "h", "w", F.coalesce("n_frames", F.floor(F.col("length") / (2 * F.col("h") * F.col("w")))).cast("int").alias("n"))
 
 
+def with_pixels(listed: DataFrame) -> DataFrame:
+    """Listed frames (path, frame, h, w) with their bytes, read when the column is used."""
+    return listed.withColumn("pixels", F.arrow_udf(read_pixels, "binary")("path", "frame", "h", "w"))
+
+
 def read_frames(spark: SparkSession, path: str, suffix: str = ".dax", frame_height: int | None = None, frame_width: int | None = None,
                 frames: str | None = None, frames_per_partition: int = 64) -> DataFrame:
     """Frames of all stacks; ``frames="0,5"`` gives only those of each stack, in that order.
@@ -95,7 +100,7 @@ def read_frames(spark: SparkSession, path: str, suffix: str = ".dax", frame_heig
     dealt = ranges.repartition(parts, "path", "first").sortWithinPartitions("path", "first")
     wanted = F.slice(F.array(*[F.lit(i) for i in chosen]), F.col("first") + 1, per) if chosen else F.sequence("first", F.least(F.col("first") + per, "n") - 1)
     listed = dealt.select("path", F.explode(wanted.cast("array<int>")).alias("frame"), "h", "w")
-    return listed.withColumn("pixels", F.arrow_udf(read_pixels, "binary")("path", "frame", "h", "w"))
+    return with_pixels(listed)
 
 
 def in_chunks(batches: Iterator[pa.RecordBatch], keys: list[str], one: Callable[[np.ndarray, dict], dict[str, np.ndarray]], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -145,13 +150,12 @@ def frame_counters(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extract_frames(frames: DataFrame, keep: DataFrame, out: str) -> DataFrame:
-    """Write only the listed frames (path, frame) as a compact table and return the renumbered frame list.
+    """Write only the listed frames (path, frame) of :func:`read_frames` as a compact table and return the renumbered frame list.
 
-    The list is joined and numbered before any pixel is read. A stack has a few hundred frames, so the window per stack is small.
+    The list is joined and numbered first, so no pixels are shuffled. A stack has a few hundred frames, so the window per stack is small.
     """
-    from pyspark.sql import Window
-
+    listed = frames.drop("pixels").join(keep.select("path", "frame").distinct(), ["path", "frame"], "left_semi")
     w = Window.partitionBy("path").orderBy("frame")
-    chosen = frames.join(keep.select("path", "frame").distinct(), ["path", "frame"], "left_semi")
-    chosen.withColumn("new_frame", F.row_number().over(w) - 1).write.mode("overwrite").parquet(out)
+    numbered = listed.withColumn("new_frame", (F.row_number().over(w) - 1).cast("int"))
+    with_pixels(numbered).write.mode("overwrite").parquet(out)
     return frames.sparkSession.read.parquet(out).select("path", "frame", "new_frame")

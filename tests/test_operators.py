@@ -131,6 +131,29 @@ def test_asof_and_nearest(spark):
     assert near == {("a", 0.5): 10, ("a", 2.0): 11, ("a", 3.0): 11, ("a", 99.0): 12, ("b", 1.0): 20, ("c", 1.0): None}
 
 
+def test_any_pattern_meets_its_files(spark):
+    """Digits beside a placeholder, other placeholders, special characters, none at all: as the regular expression says."""
+    import re
+
+    patterns = ["A1{fov}2", "A{fov}", "r{round:02d}_{fov:03d}.x", "{fov}", "h-+({fov})", "plain", "7", "{a}{fov}", "k#{fov}", "{well}-x"]
+    names = ["A112", "A1342", "A12", "A1", "r07_0033.x", "r7_3.x", "r_3.x", "0012", "7", "h-+(5)", "h-+()", "plain", "plain2", "k#4", "k4", "33-x", "", "A1x2", "r07_0033yx"]
+    series = spark.createDataFrame([(i, p, i) for i, p in enumerate(patterns)], "round_id int, series string, ord int")
+    got = {r.path: (r.series, r.fov_id) for r in J.classify_files(spark.createDataFrame([(f"d/{n}.dax",) for n in names], "path string"), series).collect()}
+    for name in names:
+        want = (None, None)
+        for p in patterns:
+            parts = re.split(r"\{([^}:]*)[^}]*\}", p)
+            m = re.fullmatch("".join(f"(?P<{x}>[0-9]+)" if i % 2 else re.escape(x) for i, x in enumerate(parts)), name)
+            if m:
+                want = (p, int(m.groupdict()["fov"]) if "fov" in m.groupdict() else None)
+                break
+        assert got[f"d/{name}.dax"] == want, name
+    rounds = spark.createDataFrame([(1, "A1{fov}2", ["d"]), (2, "whole", ["d"])], "round_id int, series string, dirs array<string>")
+    inv = spark.createDataFrame([("d", "A1052.dax"), ("d", "A132.tif"), ("d", "whole.dax")], "dir string, name string")
+    found = {(r.round_id, r.fov_id): (r.path, r.exists) for r in J.resolve_expected_files(rounds, spark.createDataFrame([(5,), (3,)], "fov_id long"), inv).collect()}
+    assert found == {(1, 5): ("d/A1052.dax", True), (1, 3): ("d/A132.dax", False), (2, 5): ("d/whole.dax", True), (2, 3): ("d/whole.dax", True)}
+
+
 def test_resolve_expected_files(spark):
     rounds = spark.createDataFrame([(1, "h_{fov:03d}", ["d1", "d2"])], "round_id int, series string, dirs array<string>")
     pos = spark.createDataFrame([(0,), (1,), (2,), (3,)], "fov_id long")
