@@ -1,6 +1,7 @@
 """Edge rules of counters, windows, positions, joins and aggregates on literal tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,28 @@ def test_holes_may_overlap_or_repeat(spark):
     ids = lambda holes, f: sorted(r.fov_id for r in coverage_filter(fovs, ring, holes, 10.0, f).collect())
     assert ids([hole], 0.15) == ids([hole, hole, hole], 0.15) == [0, 1, 2]
     assert ids([square(0, 0, 6), square(4, 0, 6), square(0, 4, 6), square(4, 4, 6)], 0.0) == [1, 2]
+
+
+def test_quantiles_and_mad_of_small_and_large_groups(spark):
+    """Ranks from the sketch are exact for every size, with copies, ties, far values and a NULL key; the folded sketch encloses the MAD."""
+    from stagelight.operators.quantile import exact_quantiles, median_and_mad
+
+    rng = np.random.default_rng(31)
+    groups = {k: rng.normal(0, 1, n) for k, n in enumerate((1, 2, 3, 4, 7, 50, 999, 5001, 9001))}
+    groups |= {20: rng.lognormal(0, 3, 40_000), 21: np.repeat([1.0, 2.0, 5.0], (30_000, 3, 9_000)), 22: np.concatenate([rng.integers(0, 9, 20_000) * 1.0, [1e300, -1e300]]), None: rng.uniform(0, 1, 12_345)}
+    rows = pd.DataFrame({"k": np.repeat([-1 if k is None else k for k in groups], [len(v) for v in groups.values()]), "v": np.concatenate(list(groups.values()))})
+    df = spark.createDataFrame(rows).withColumn("k", F.when(F.col("k") >= 0, F.col("k"))).repartition(16)
+    df = df.union(df.limit(1).select(F.lit(77).cast("long"), F.lit(None).cast("double")))
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    low = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, method="discrete").collect()}
+    mad = {r.k: r for r in median_and_mad(df, ["k"], "v").collect()}
+    assert got.keys() == low.keys() == mad.keys() == groups.keys()
+    for k, v in groups.items():
+        assert [got[k][c] for c in probs] == pytest.approx(list(np.quantile(v, list(probs.values()))), rel=1e-12)
+        assert [low[k][c] for c in probs] == list(np.quantile(v, list(probs.values()), method="inverted_cdf"))
+        assert (mad[k]._med, mad[k]._mad) == pytest.approx((np.median(v), np.median(np.abs(v - np.median(v)))), rel=1e-12)
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}).first()
+    every = np.concatenate(list(groups.values()))
+    assert whole.m == pytest.approx(np.median(every)) and median_and_mad(df, [], "v").first()._mad == pytest.approx(np.median(np.abs(every - np.median(every))))
+    assert exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).collect()[0].m is None and exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
