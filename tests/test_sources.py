@@ -170,7 +170,7 @@ def test_polygons(spark, tmp_path):
 def test_documents_are_streamed(spark, tmp_path):
     doc = "<cfg><!-- <protocol/> --><valve_cmd name=' a '/><valve_cmd/><pump_cmd name='p'/>" + "".join(
         f"<protocol name='p{i}'><valve duration='2'> v{i} </valve><!-- no --><pump duration='x'>q</pump><wait/></protocol>" for i in range(3000)) + "<valve_cmd name='b'/></cfg>"
-    put(tmp_path, "d/kilroy.xml", doc)
+    put(tmp_path, "d/config.xml", doc)
     steps = M.read_protocols(spark, str(tmp_path / "d"))
     rows = [(r.protocol, r.pos, r.kind, r.name, r.duration) for r in steps.collect()]
     assert sorted(rows) == sorted(t for i in range(3000) for t in ((f"p{i}", 0, "valve", f" v{i} ", "2"), (f"p{i}", 1, "pump", "q", "x"), (f"p{i}", 2, "wait", "", None)))
