@@ -6,8 +6,9 @@ whatever its size, and goes on until every coordinate is hit; the earliest dart
 texts agree in a coordinate with the probability of their (weighted) Jaccard similarity.
 
 Texts with the same shingles are one node. Nodes that share a band are candidates; exact similarity decides. A bucket's nodes
-are first compared with one of them only, and then only across components that are still apart. Nodes of buckets with many
-nodes and several components get a longer signature with longer bands, which takes such buckets apart.
+are first compared with one of them only, a few times over, and then across components that are still apart: all of them in
+small buckets; in large ones those that share a rare shingle, which loses no pair except where nearly all of both texts'
+shingles are common. Such texts get a longer signature with longer bands.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .text import ALNUM, Words, distinct, mix, picked, prefix, slices, span_hash
 SHINGLE, SIMILAR = 5, 0.8
 #: (bands, coordinates in a band): a pair at 0.8 shares a band of the first with 0.9999, of the second with 0.999.
 BANDS, FINE = (24, 5), (96, 12)
-#: Nodes of a bucket that are compared across components one by one; in larger ones of the long bands, hubs instead.
-BUCKET, HUBS = 40, 8
+#: Nodes of a bucket that are compared across components one by one; the nodes of larger ones meet by shingles that at most so many of them have.
+BUCKET = 40
+#: Turns in which nodes are compared with one node of each of their buckets.
+TURNS = 3
 SLICE = 1 << 20
 #: Darts that are thrown at once, which bounds a task's memory.
 DARTS = 300_000
@@ -214,15 +217,15 @@ def jaccard(a, wa, b, wb):
     return a.__class__([one(*t) for t in zip(a, wa, b, wb)], index=a.index, dtype=float)
 
 
-def stars(members: DataFrame, hubs: int = 1) -> DataFrame:
-    """(a, b): every node of a bucket and each of its hubs, the nodes with the smallest hashes for that bucket."""
-    rank = F.xxhash64("bucket", "node")
-    if hubs == 1:
-        heads = members.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "node"))["node"].alias("b"))
-    else:
-        lowest = members.select("bucket", (F.pmod(F.xxhash64("node", F.lit(5)), F.lit(hubs))).alias("k"), rank.alias("r"), "node")
-        heads = lowest.groupBy("bucket", "k").agg(F.min(F.struct("r", "node"))["node"].alias("b")).select("bucket", "b")
-    return members.join(heads, "bucket").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+def heads(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): of each node the two nodes of other components that it meets in most buckets, looking at one node of each bucket.
+
+    placed: bucket, node, component. A bucket shows its node with the smallest hash, another one at each turn.
+    """
+    head = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "component")).alias("h"))
+    met = placed.join(head, "bucket").where("component <> h.component").groupBy("node", F.col("h.node").alias("hub")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
+    return met.withColumn("r", rank).where("r <= 2").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def across(members: DataFrame, alike=None) -> DataFrame:
@@ -239,29 +242,80 @@ def bits_agree():
     return F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v) <= most
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, folder: str, best: int | None = None) -> DataFrame:
-    """Pairs whose exact similarity is SIMILAR or more. Pairs that agree far too seldom for it (4 deviations) are not fetched.
+def unpacked(hot: DataFrame) -> DataFrame:
+    """node, component, total, token, weight: a row for each shingle of nodes (node, component, shingles, weights)."""
 
-    With best, only each node's most similar candidates are: the others come again if they still matter.
+    def run(batches):
+        for b in batches:
+            node, component = b.column(0), b.column(1)
+            weights = b.column(3).to_pylist()
+            for first, packed in slices(b.column(2), SLICE):
+                sizes = np.array([len(x) // 4 for x in packed])
+                token = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
+                held = weights[first : first + len(packed)]
+                weight = np.ones(len(token), np.int64) if held[0] is None else np.frombuffer(b"".join(held), np.uint32).astype(np.int64)
+                row = np.repeat(np.arange(len(packed)), sizes)
+                total = np.bincount(row, weight, len(packed)).astype(np.int64)
+                at = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([node.take(at), component.take(at), pa.array(total[row]), pa.array(token), pa.array(weight)],
+                                                 names=["node", "component", "total", "token", "weight"])
+
+    return hot.select("node", "component", "shingles", "weights").mapInArrow(run, "node long, component long, total long, token long, weight long")
+
+
+def by_rare_shingles(hot: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b) of different components that can be SIMILAR and share a rare shingle, and the nodes (node, component) that may have partners without one.
+
+    A shingle of more than BUCKET nodes is common. What two nodes share is at most what they share of rare shingles and the lesser of
+    their common weights, so a node whose common weight is below SIMILAR of its whole has no partner without a rare shingle. Rare
+    shingles are joined; a family of texts around one template, however large, meets only in what its texts add.
     """
+    unpacked(hot).write.parquet(f"{folder}/tokens")
+    rows = hot.sparkSession.read.parquet(f"{folder}/tokens")
+    spread = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).where("n > 1 and p <> q").select("token", "n")
+    rows.join(spread, "token").write.parquet(f"{folder}/spread")
+    held = hot.sparkSession.read.parquet(f"{folder}/spread")
+    load = held.where(F.col("n") > BUCKET).groupBy("node").agg(F.sum("weight").alias("common"))
+    whole = rows.groupBy("node", "component").agg(F.first("total").alias("total")).join(load, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    whole.write.parquet(f"{folder}/loads")
+    whole = hot.sparkSession.read.parquet(f"{folder}/loads")
+    rare = held.where(F.col("n") <= BUCKET).select("token", "node", "component", "weight")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")))
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum(F.least("x.weight", "y.weight")).alias("shared"))
+    side = lambda c: whole.select(F.col("node").alias(c), F.col("total").alias(f"t{c}"), F.col("common").alias(f"c{c}"))
+    met = met.join(side("a"), "a").join(side("b"), "b")
+    enough = (F.col("shared") + F.least("ca", "cb")) * (1 + SIMILAR) >= SIMILAR * (F.col("ta") + F.col("tb")) - 1e-6
+    pairs = met.where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, whole.where(F.col("common") >= SIMILAR * F.col("total") - 1e-6).select("node", "component")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Pairs (distinct) whose exact similarity is SIMILAR or more. Pairs that agree far too seldom for it (4 deviations) are not fetched."""
     k = BANDS[0] * BANDS[1]
     least = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / k) ** 0.5
     s = sketches.select("node", "sketch")
-    near = pairs.distinct().join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", agreement("sa", "sb").alias("g")).where(F.col("g") >= least)
-    if best:
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("g"), "b"))).where(F.col("r") <= best)
-    near = near.select("a", "b")
+    near = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", agreement("sa", "sb").alias("g")).where(F.col("g") >= least).select("a", "b")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"), F.col("weights").alias("wa")), "a")
     full = full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"), F.col("weights").alias("wb")), "b")
     full.where(jaccard("xa", "wa", "xb", "wb") >= SIMILAR).select("a", "b").write.parquet(folder)
     return pairs.sparkSession.read.parquet(folder)
 
 
-def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """node, component (the smallest node) of every node of `nodes`."""
-    found = connected_components(edges).toDF("node", "component")
-    nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")).write.parquet(folder)
-    return nodes.sparkSession.read.parquet(folder)
+def merged(groups: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """groups (node, component) with the components that edges link put together."""
+    ends = edges.join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b")
+    found = connected_components(ends).toDF("component", "whole")
+    groups.join(found, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).write.parquet(folder)
+    return groups.sparkSession.read.parquet(folder)
+
+
+def still_apart(members: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+    """members with their component, of the buckets that have several."""
+    placed = members.join(groups, "node")
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
+    placed.join(apart, "bucket", "left_semi").write.parquet(folder)
+    return members.sparkSession.read.parquet(folder)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, folder: str | None = None, by_text: bool = False) -> DataFrame:
@@ -286,30 +340,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = members.select("node").distinct()
     table = spark.sparkContext.broadcast(bit_table(nodes, "node"))
     listed(texts, table, weighted, False).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights")).write.parquet(f"{folder}/sets")
+    table.destroy()
     sets = spark.read.parquet(f"{folder}/sets")
     rows.where("node <> 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")).write.parquet(f"{folder}/sketches")
     sketches = spark.read.parquet(f"{folder}/sketches")
 
-    first = verified(stars(members), sketches, sets, f"{folder}/edges1", best=2)
-    groups = components(first, nodes, f"{folder}/groups1")
-    placed = members.join(groups, "node")
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    placed.join(apart, "bucket", "left_semi").write.parquet(f"{folder}/apart")
-    rest = spark.read.parquet(f"{folder}/apart")
+    members.select("node").distinct().select("node", F.col("node").alias("component")).write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
+    rest = members.withColumn("component", F.col("node"))
+    for turn in range(TURNS):
+        linked = verified(heads(rest, turn), sketches, sets, f"{folder}/edges{turn}")
+        groups = merged(groups, linked, f"{folder}/groups{turn}")
+        rest = still_apart(members, groups, f"{folder}/apart{turn}")
+        if rest.isEmpty():
+            break
     pairs = across(rest.where(F.col("n") <= BUCKET))
-    hot = rest.where(F.col("n") > BUCKET).select("node", "component").distinct()
-    # nodes of large buckets with several components: long bands, compared across components, by hubs where still large
-    table = spark.sparkContext.broadcast(bit_table(hot, "node"))
-    fine = listed(texts, table, weighted, True).join(hot, "node").dropDuplicates(["node"]).select("node", "component", "bits", F.explode("bands").alias("bucket"))
+    large = rest.where(F.col("n") > BUCKET).select("node", "component").distinct().join(sets, "node")
+    rare, common = by_rare_shingles(large, folder)
+    # nodes of common shingles alone: long bands take their buckets apart
+    table = spark.sparkContext.broadcast(bit_table(common, "node"))
+    fine = listed(texts, table, weighted, True).join(common, "node").dropDuplicates(["node"]).select("node", "component", "bits", F.explode("bands").alias("bucket"))
     fine.write.parquet(f"{folder}/fine")
+    table.destroy()
     fine = spark.read.parquet(f"{folder}/fine")
-    sizes = fine.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket", "n")
-    fine = fine.join(sizes, "bucket")
-    pairs = pairs.union(across(fine.where(F.col("n") <= BUCKET), bits_agree())).union(stars(fine.where(F.col("n") > BUCKET), HUBS))
-    second = verified(pairs, sketches, sets, f"{folder}/edges2")
-    ends = second.join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    joined = components(ends, groups.select(F.col("component").alias("node")).distinct(), f"{folder}/groups2")
-    last = groups.join(joined.toDF("component", "whole"), "component").select("node", F.col("whole").alias("component"))
+    apart = fine.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
+    pairs = pairs.union(rare).union(across(fine.join(apart, "bucket"), bits_agree())).distinct()
+    last = merged(groups, verified(pairs, sketches, sets, f"{folder}/edges"), f"{folder}/last")
 
     by_node = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_node = by_node.join(last, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")

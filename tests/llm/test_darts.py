@@ -89,3 +89,38 @@ def test_rows_with_one_id_or_none_go_for_their_own_text_only(spark):
     docs = [(1, same), (2, same), (2, a), (None, same), (None, b), (None, c), (None, None), (None, "")]
     got = D.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, same), *docs[2:3], *docs[4:]], key=str)
+
+
+def family(n, template, own, shared, seed):
+    """n texts around a template of words; texts 2k and 2k + 1 have `shared` of their `own` further words in common."""
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(template)]
+    out = []
+    for _ in range(n // 2):
+        both = [f"b{r.randrange(10**9)}" for _ in range(shared)]
+        out += [" ".join(base + both + [f"o{r.randrange(10**9)}" for _ in range(own - shared)]) for _ in range(2)]
+    return list(enumerate(out))
+
+
+def test_no_pair_of_a_family_just_below_the_threshold_is_lost(spark):
+    # 196 shingles of the template, 28 own ones: 196 / 252 = 0.78; a pair with 4 of them in common has 200 / 248 = 0.81
+    docs = family(1200, 200, 28, 4, 7)
+    got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] == i - i % 2 for i in got) >= 0.995 * len(got) and all(got[i] in (i, i - 1) for i in got)
+
+
+def test_texts_of_common_shingles_only_are_compared(spark):
+    # every passage stands in more than BUCKET texts, so no shingle is rare
+    r = random.Random(8)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(24)]
+    docs = [(i, " ".join(passages[k] for k in sorted(r.sample(range(24), 11)))) for i in range(260)]
+    got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == classes(docs)
+
+
+def test_weighted_classes_equal_all_pairs(spark):
+    r = random.Random(9)
+    base = [f"{a} {' '.join(['again and again the same words'] * r.randint(1, 9))}" for a in prose(8, 10, 60)]
+    docs = list(enumerate([t for b in base for t in copies(b, 6, 3, r)]))
+    got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), weighted=True).collect()}
+    assert got == classes(docs, True)
