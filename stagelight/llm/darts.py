@@ -279,13 +279,12 @@ def by_rare_shingles(hot: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     whole = rows.groupBy("node", "component").agg(F.first("total").alias("total")).join(load, "node", "left").withColumn("common", F.coalesce("common", F.lit(0)))
     whole.write.parquet(f"{folder}/loads")
     whole = hot.sparkSession.read.parquet(f"{folder}/loads")
-    rare = held.where(F.col("n") <= BUCKET).select("token", "node", "component", "weight")
+    rare = held.where(F.col("n") <= BUCKET).select("token", "node", "component", "weight").join(whole.select("node", "total", "common"), "node")
     x, y = rare.alias("x"), rare.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")))
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum(F.least("x.weight", "y.weight")).alias("shared"))
-    side = lambda c: whole.select(F.col("node").alias(c), F.col("total").alias(f"t{c}"), F.col("common").alias(f"c{c}"))
-    met = met.join(side("a"), "a").join(side("b"), "b")
-    enough = (F.col("shared") + F.least("ca", "cb")) * (1 + SIMILAR) >= SIMILAR * (F.col("ta") + F.col("tb")) - 1e-6
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.sum(F.least("x.weight", "y.weight")).alias("shared"), F.first(F.least("x.common", "y.common")).alias("common"), F.first(F.col("x.total") + F.col("y.total")).alias("both"))
+    enough = (F.col("shared") + F.col("common")) * (1 + SIMILAR) >= SIMILAR * F.col("both") - 1e-6
     pairs = met.where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs, whole.where(F.col("common") >= SIMILAR * F.col("total") - 1e-6).select("node", "component")
 
