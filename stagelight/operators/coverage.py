@@ -118,12 +118,20 @@ def coverage_filter(fovs: DataFrame, boundary: Ring, holes: list[Ring], fov_size
     return fovs.where(keep(F.col("x").cast("double"), F.col("y").cast("double")))
 
 
-def cells_of_fovs(fovs: DataFrame, fov_size: float, cell_um: float) -> DataFrame:
-    """(fov_id, r, c): the cells whose centre lies in the square of each FOV; a FOV covers a fixed number of cells."""
+def cell_spans(fov_size: float, cell_um: float) -> list[Column]:
+    """First and last row and column (r0, r1, c0, c1) of the cells whose centre lies in the square of a FOV."""
     first = lambda v: F.ceil((F.col(v) - fov_size / 2) / cell_um - 0.5).cast("long")
     last = lambda v: F.floor((F.col(v) + fov_size / 2) / cell_um - 0.5).cast("long")
-    return fovs.select("fov_id", F.explode(F.sequence(first("y"), last("y"))).alias("r"), F.sequence(first("x"), last("x")).alias("_c")).select(
-        "fov_id", "r", F.explode("_c").alias("c"))
+    return [first("y").alias("r0"), last("y").alias("r1"), first("x").alias("c0"), last("x").alias("c1")]
+
+
+def cells_of_fovs(fovs: DataFrame, fov_size: float, cell_um: float) -> DataFrame:
+    """(fov_id, r, c): the cells whose centre lies in the square of each FOV; a FOV covers a fixed number of cells."""
+    return cells_of_spans(fovs.select("fov_id", *cell_spans(fov_size, cell_um)))
+
+
+def cells_of_spans(spans: DataFrame) -> DataFrame:
+    return spans.select("fov_id", F.explode(F.sequence("r0", "r1")).alias("r"), F.sequence("c0", "c1").alias("_c")).select("fov_id", "r", F.explode("_c").alias("c"))
 
 
 #: Cells of the FOVs that are decided together in one task.
@@ -148,15 +156,21 @@ def decide_in_order(rows: pd.DataFrame) -> pd.DataFrame:
 def redundant_fovs(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um: float, at_once: int | None = None) -> DataFrame:
     """(fov_id, detected, removed): detected when no tissue cell is covered by the FOV alone; removed in id order while still redundant.
 
-    FOVs without common cells do not meet: a component of overlapping detected FOVs is cut into blocks of ``at_once`` FOVs in id
+    FOVs on the same cells are one class: in id order all but the last of them go, since that last one still covers what they cover, so
+    only the last takes part below. Classes without common cells do not meet: a component of overlapping detected FOVs is cut into blocks of ``at_once`` FOVs in id
     order (so many that their cells fit a task). Round k decides block k of every component, each in one task, from the cell counts that the
     earlier blocks left, which is the sequential rule at any length; rounds grow with the largest component over the block size.
     """
-    cover = cut_lineage(cells_of_fovs(fovs, fov_size, cell_um).join(tissue.select("r", "c").distinct(), ["r", "c"]).distinct())
-    count = cover.groupBy("r", "c").agg(F.count("*").alias("n"))
-    alone = cover.join(count.where("n = 1"), ["r", "c"]).select("fov_id").distinct()
-    detected = fovs.select("fov_id").distinct().join(alone, "fov_id", "left_anti")
-    live = cut_lineage(cover.join(detected, "fov_id").join(count, ["r", "c"]))
+    spans = F.sort_array(F.collect_set(F.struct(*cell_spans(fov_size, cell_um)))).alias("spans")
+    own = cut_lineage(fovs.groupBy("fov_id").agg(spans))
+    classes = cut_lineage(own.groupBy("spans").agg(F.max("fov_id").alias("last"), F.count("*").alias("copies")))
+    shapes = classes.select(F.col("last").alias("fov_id"), "copies", F.explode("spans").alias("s"))
+    cover = cells_of_spans(shapes.select("fov_id", "s.*")).join(tissue.select("r", "c").distinct(), ["r", "c"]).distinct()
+    cover = cut_lineage(cover.join(classes.select(F.col("last").alias("fov_id"), "copies"), "fov_id"))
+    count = cover.groupBy("r", "c").agg(F.count("*").alias("n"), F.sum("copies").alias("fovs"))
+    alone = cover.join(count.where("fovs = 1"), ["r", "c"]).select("fov_id").distinct()
+    detected = classes.select(F.col("last").alias("fov_id")).join(alone, "fov_id", "left_anti")
+    live = cut_lineage(cover.drop("copies").join(detected, "fov_id").join(count.drop("fovs"), ["r", "c"]))
     first = live.groupBy("r", "c").agg(F.min("fov_id").alias("first"))
     parts = connected_components(live.join(first, ["r", "c"]).select("fov_id", "first").distinct(), "fov_id", "first")
     size = at_once or max(1, int(DECIDED_AT_ONCE // (fov_size / cell_um + 1) ** 2))
@@ -175,11 +189,15 @@ def redundant_fovs(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um:
         if last:
             taken = cut_lineage(taken)
         decided = out if decided is None else decided.unionByName(out)
-    every = fovs.select("fov_id").distinct().join(detected.withColumn("detected", F.lit(True)), "fov_id", "left").withColumn("detected", F.coalesce("detected", F.lit(False)))
-    if decided is None:
-        return every.withColumn("removed", F.col("detected"))
-    # a detected FOV without any tissue cell was never in a block; it goes at once
-    return every.join(decided, "fov_id", "left").select("fov_id", "detected", F.coalesce("removed", F.col("detected")).alias("removed"))
+    flags = detected.withColumn("detected", F.lit(True))
+    if decided is not None:
+        flags = flags.join(decided, "fov_id", "left")
+    # a detected class without any tissue cell was never in a block; it goes at once
+    gone = F.coalesce("removed", F.lit(True)) if decided is not None else F.lit(True)
+    flags = flags.select(F.col("fov_id").alias("last"), "detected", gone.alias("_gone"))
+    named = own.join(classes, "spans").select("fov_id", "last").join(flags, "last", "left")
+    every = fovs.select("fov_id").distinct().join(named, "fov_id", "left").withColumn("detected", F.coalesce("detected", F.lit(False)))
+    return every.select("fov_id", "detected", (F.col("detected") & (F.col("_gone") | (F.col("fov_id") != F.col("last")))).alias("removed"))
 
 
 def uncovered_cells(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um: float) -> DataFrame:

@@ -236,6 +236,36 @@ def test_redundant_fovs(spark):
         assert {r.fov_id for r in got if r.detected} == detected and {r.fov_id for r in got if r.removed} == removed
 
 
+def test_copies_of_a_fov_are_decided_by_their_last(spark, monkeypatch):
+    """4,000 FOVs on 30 places: the blocks hold places, so one block is enough where FOVs would fill a hundred."""
+    rng = np.random.default_rng(15)
+    places = rng.integers(0, 100, (30, 2))
+    fovs = [(i, *map(float, places[k])) for i, k in enumerate(rng.integers(0, 30, 4000))] + [(5000, 500.0, 500.0), (5001, 93.0, 7.0)]
+    tissue = [(r, c) for r in range(10) for c in range(10) if (r + c) % 7]
+    cover = {f: [(r, c) for r, c in tissue if abs((r + 0.5) * 10 - y) <= 20 and abs((c + 0.5) * 10 - x) <= 20] for f, x, y in fovs}
+    left = {}
+    for own in cover.values():
+        for k in own:
+            left[k] = left.get(k, 0) + 1
+    detected = {f for f, own in cover.items() if all(left[k] >= 2 for k in own)}
+    removed = set()
+    for f in sorted(detected):
+        if all(left[k] >= 2 for k in cover[f]):
+            removed.add(f)
+            for k in cover[f]:
+                left[k] -= 1
+    decide, most = Q.ordered_scan, []
+
+    def watched(df, *args, **kw):
+        most.append(df.count())
+        return decide(df, *args, **kw)
+
+    monkeypatch.setattr(Q, "ordered_scan", watched)
+    got = Q.redundant_fovs(spark.createDataFrame(fovs, "fov_id long, x double, y double"), spark.createDataFrame(tissue, "r long, c long"), 40.0, 10.0).collect()
+    assert {r.fov_id for r in got if r.detected} == detected and {r.fov_id for r in got if r.removed} == removed and len(got) == len(fovs)
+    assert max(most) <= 31
+
+
 def test_a_chain_of_ten_thousand_fovs(spark):
     """Each FOV overlaps its neighbours by a third or two thirds, so every decision hangs on the one before."""
     step, n = (1, 2, 2), 10_000
