@@ -160,13 +160,18 @@ def translation_vote(src: DataFrame, tgt: DataFrame, keys: list[str], max_shift:
 
 
 def window_point_features(points: DataFrame, windows: DataFrame, size: float) -> DataFrame:
-    """Per half-open square window: n, median, q10 and q90 of volume, share below 20 and above 1000; empty gives n = 0."""
-    inside = points_in_squares(points, windows, size)
-    q = exact_quantiles(inside, ["window_id"], "volume", {"vol_med": 0.5, "vol_q10": 0.1, "vol_q90": 0.9})
-    n = inside.groupBy("window_id").agg(
+    """Per half-open square window: n, median, q10 and q90 of volume, share below 20 and above 1000; empty gives n = 0.
+
+    Windows at one place are measured once.
+    """
+    places = cut_lineage(windows.groupBy("x0", "y0").agg(F.min("window_id").alias("place")))
+    inside = points_in_squares(points, places, size)
+    q = exact_quantiles(inside, ["place"], "volume", {"vol_med": 0.5, "vol_q10": 0.1, "vol_q90": 0.9})
+    n = inside.groupBy("place").agg(
         F.count(F.lit(1)).alias("_n"), F.avg((F.col("volume") < 20).cast("double")).alias("frac_small"),
         F.avg((F.col("volume") > 1000).cast("double")).alias("frac_large"))
-    return windows.select("window_id").join(n, "window_id", "left").join(q, "window_id", "left").withColumn(
+    measured = places.join(n, "place").join(q, "place").drop("place")
+    return windows.select("window_id", "x0", "y0").join(measured, ["x0", "y0"], "left").drop("x0", "y0").withColumn(
         "n", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
 

@@ -135,3 +135,17 @@ def test_null_keys_are_a_group(spark):
     assert s[(None, 8.0)] == (3.0, 12.0, 3) and s[(None, 1.0)] == (None, 1.0, 1) and s[("a", 7.0)] == (5.0, 12.0, 2)
     d = {(r.g, r.v): r.i for r in dense_index(df, "v", "i", ["g"]).collect()}
     assert d[(None, 3.0)] == 1 and d[("a", 5.0)] == 0
+
+
+def test_windows_at_one_place_are_measured_once(spark, monkeypatch):
+    from stagelight.operators import positions
+
+    points = spark.createDataFrame([(float(i % 20), float(i // 20), float(i)) for i in range(400)], "x double, y double, volume double")
+    windows = spark.createDataFrame([(k, float(k % 3 * 5), 0.0) for k in range(60)] + [(60, 500.0, 0.0), (61, None, 0.0)], "window_id long, x0 double, y0 double")
+    seen, inside = [], positions.points_in_squares
+    monkeypatch.setattr(positions, "points_in_squares", lambda p, w, size: seen.append(w.count()) or inside(p, w, size))
+    got = {r.window_id: r for r in positions.window_point_features(points, windows, 10.0).collect()}
+    for k in range(60):
+        v = [i for i in range(400) if k % 3 * 5 <= i % 20 < k % 3 * 5 + 10 and i // 20 < 10]
+        assert (got[k].n, got[k].vol_med, got[k].vol_q90) == (len(v), pytest.approx(np.median(v)), pytest.approx(np.quantile(v, 0.9)))
+    assert len(got) == 62 and (got[60].n, got[61].n, got[61].vol_med) == (0, 0, None) and seen == [5]
