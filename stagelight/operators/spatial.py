@@ -6,6 +6,8 @@ side is repeated over its 3x3 neighbour cells, and an equi join on the cell find
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +32,47 @@ def explode_cells(df: DataFrame, x: str, y: str, size: float, offsets=NEIGHBOURS
     )
 
 
+#: Points of the fullest cell of the first search.
+CELL_POINTS = 8
+#: Halvings of a radius at most; what is then still in one cell lies within 1e-12 of it.
+HALVINGS = 40
+
+
+def halvings(points: DataFrame, radius: float, x: str, y: str, group: list[str] | None = None) -> int:
+    """How often ``radius`` must be halved until no cell of that side holds more than `CELL_POINTS` of the distinct points."""
+    k = 0
+    while k < HALVINGS:
+        size = float(radius) / 2**k
+        most = points.groupBy(*(group or []), cell(x, size), cell(y, size)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= CELL_POINTS:
+            break
+        # evenly filled cells would need half as many halvings as the count has bits
+        k = min(HALVINGS, k + max(1, math.floor(math.log2(most / CELL_POINTS) / 2)))
+    return k
+
+
 def nearest_within(
     query: DataFrame, ref: DataFrame, radius: float, *,
     q: tuple[str, str] = ("x", "y"), r: tuple[str, str] = ("x", "y"),
-    rid: str = "ref_id", strict: bool = False, levels: int = 1, group: list[str] | None = None,
+    rid: str = "ref_id", strict: bool = False, levels: int | None = 1, group: list[str] | None = None,
     spread_ref: bool = False,
 ) -> DataFrame:
     """Nearest reference point of each distinct query coordinate within ``radius`` (ties: lowest ``rid``).
 
     Result: group columns, query coordinates, ``rid``, ``dist``. Copies of one coordinate are merged on both sides
     first. With ``levels`` > 1 the search starts at ``radius / 2**(levels-1)`` and only points without a match go
-    on to the next size, so a dense cluster never meets a wide cell; the answer is the same. ``spread_ref`` repeats the
-    reference over its neighbour cells instead of the query: right when the reference is the smaller side.
+    on to the next size, so a dense cluster never meets a wide cell; the answer is the same. None takes as many levels
+    as the fullest cell of the reference needs. ``spread_ref`` repeats the reference over its neighbour cells instead of the query: right when the reference is the smaller side.
     """
     group = group or []
     pts = query.select(*group, F.col(q[0]).cast("double").alias("_qx"), F.col(q[1]).cast("double").alias("_qy")).distinct()
     refs = ref.groupBy(*group, F.col(r[0]).cast("double").alias("_rx"), F.col(r[1]).cast("double").alias("_ry")).agg(
         F.min(rid).alias("_rid")
     )
-    if levels > 1:
+    if levels is None or levels > 1:
         pts, refs = cut_lineage(pts), cut_lineage(refs)
+    if levels is None:
+        levels = 1 + halvings(refs, radius, "_rx", "_ry", group)
     found = None
     for level in range(levels):
         size = float(radius) / 2 ** (levels - 1 - level)
@@ -93,7 +116,7 @@ def contact_edges(df: DataFrame, radius: float, *, id: str = "id", x: str = "x",
 
 
 def mutual_nearest(
-    src: DataFrame, tgt: DataFrame, radius: float, *, sid: str = "src_id", tid: str = "tgt_id", levels: int = 3,
+    src: DataFrame, tgt: DataFrame, radius: float, *, sid: str = "src_id", tid: str = "tgt_id", levels: int | None = None,
 ) -> DataFrame:
     """Pairs that are each other's nearest within ``radius`` (inclusive); points in ``x``, ``y`` on both sides."""
     s = nearest_within(src, tgt, radius, rid=tid, levels=levels)

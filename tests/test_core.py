@@ -137,6 +137,39 @@ def test_null_keys_are_a_group(spark):
     assert d[(None, 3.0)] == 1 and d[("a", 5.0)] == 0
 
 
+def test_search_starts_where_cells_are_few(spark, monkeypatch):
+    """A full cluster and far points: no ring meets more than some points a cell, and distances are those of all pairs."""
+    from stagelight.operators import spatial, spatial_stats
+
+    rng = np.random.default_rng(21)
+    pts = [*{(float(x), float(y)) for x, y in np.round(rng.normal(0, 1, (1500, 2)), 4)}, (900.0, 900.0), (-700.0, 40.0)]
+    df = spark.createDataFrame(pts, "x double, y double")
+    first = []
+    explode = spatial.explode_cells
+    monkeypatch.setattr(spatial_stats, "explode_cells", lambda d, x, y, size, *a: first.append(size) or explode(d, x, y, size, *a))
+    got = {(r.x, r.y): r.dist for r in nearest_other_distance(df, 25.0).collect()}
+    xy = np.array(pts)
+    d = np.hypot(*(xy[:, None] - xy[None]).T)
+    np.fill_diagonal(d, np.inf)
+    assert all(got[p] == pytest.approx(v) for p, v in zip(pts, d.min(0))) and len(got) == len(pts)
+    assert np.unique(np.floor(xy / first[0]), axis=0, return_counts=True)[1].max() <= spatial.CELL_POINTS
+
+
+def test_mutual_nearest_in_a_full_cluster(spark, monkeypatch):
+    """The first level's cells hold few reference points, whatever the radius; pairs are those of all pairs."""
+    from stagelight.operators import spatial
+
+    rng = np.random.default_rng(22)
+    s, t = (np.unique(np.round(rng.normal(0, 1, (700, 2)), 4), axis=0) for _ in range(2))
+    df = lambda a, k: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{k} long, x double, y double")
+    sizes, explode = [], spatial.explode_cells
+    monkeypatch.setattr(spatial, "explode_cells", lambda d, x, y, size, *a: sizes.append(size) or explode(d, x, y, size, *a))
+    got = {(r.src_id, r.tgt_id) for r in mutual_nearest(df(s, "src_id"), df(t, "tgt_id"), 30.0).collect()}
+    d = np.hypot(*(s[:, None] - t[None]).transpose(2, 0, 1))
+    assert got == {(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i}
+    assert max(np.unique(np.floor(a / min(sizes)), axis=0, return_counts=True)[1].max() for a in (s, t)) <= spatial.CELL_POINTS
+
+
 def test_windows_at_one_place_are_measured_once(spark, monkeypatch):
     from stagelight.operators import positions
 
