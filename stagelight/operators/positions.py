@@ -106,7 +106,7 @@ def match_channels(spots: DataFrame, ref_color: int, colors: list[int], tol_px:
     ref = spots.where(F.col("color") == ref_color)
     rest = spots.where(F.col("color") != ref_color)
     near = nearest_within(rest, ref.select(*group, "x_px", "y_px", F.col("spot_id").alias("ref_id")), tol_px,
-                          q=("x_px", "y_px"), r=("x_px", "y_px"), rid="ref_id", strict=True, group=group)
+                          q=("x_px", "y_px"), r=("x_px", "y_px"), rid="ref_id", strict=True, group=group, levels=None)
     found = rest.join(near, [*group, "x_px", "y_px"]).groupBy(*group, "ref_id", "color").agg(
         F.min_by(F.struct("x_px", "y_px", "z_um"), F.struct("dist", "spot_id")).alias("p"))
     own = ref.select(*group, F.col("spot_id").alias("ref_id"), "color", F.struct("x_px", "y_px", "z_um").alias("p"))
