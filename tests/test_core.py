@@ -182,3 +182,15 @@ def test_windows_at_one_place_are_measured_once(spark, monkeypatch):
         v = [i for i in range(400) if k % 3 * 5 <= i % 20 < k % 3 * 5 + 10 and i // 20 < 10]
         assert (got[k].n, got[k].vol_med, got[k].vol_q90) == (len(v), pytest.approx(np.median(v)), pytest.approx(np.quantile(v, 0.9)))
     assert len(got) == 62 and (got[60].n, got[61].n, got[61].vol_med) == (0, 0, None) and seen == [5]
+
+
+def test_channels_are_matched_on_cells_of_few_points(spark, monkeypatch):
+    from stagelight.operators import positions, spatial
+
+    xy = [(i % 30 / 10, i // 30 / 10) for i in range(600)]
+    rows = [(c, i, x + d, y, 0.0) for c, d in ((405, 0.01), (560, 0.0), (650, -0.02)) for i, (x, y) in enumerate(xy)]
+    sizes, explode = [], spatial.explode_cells
+    monkeypatch.setattr(spatial, "explode_cells", lambda d, x, y, size, *a: sizes.append(size) or explode(d, x, y, size, *a))
+    got = positions.match_channels(spark.createDataFrame(rows, "color int, spot_id int, x_px double, y_px double, z_um double"), 560, [405, 560, 650], 6, 1.0).collect()
+    assert len(got) == 600 and all(r["405_x"] == pytest.approx(xy[r.ref_id][0] + 0.01) and r["650_x"] == pytest.approx(xy[r.ref_id][0] - 0.02) for r in got)
+    assert np.unique(np.floor(np.array(xy) / min(sizes)), axis=0, return_counts=True)[1].max() <= spatial.CELL_POINTS
