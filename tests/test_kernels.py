@@ -359,6 +359,32 @@ def test_positions_of_one_large_component(spark):
     assert len(pairs) > 20_000 and max(np.abs(np.array(got[i]) - true[i] - off).max() for i in true) < 1e-5 and summary.first().residual_rms < 1e-6
 
 
+def test_positions_of_a_long_strip_need_no_rounds(spark, monkeypatch):
+    """Noisy pairs of a strip in many blocks, with a second component: the start is the least-squares solution already."""
+    from stagelight.operators import solve as V
+
+    monkeypatch.setattr(V, "ROUNDS", (0, 0))
+    rng, n = np.random.default_rng(8), 3 * 60
+    spot = {i: (100.0 * (i % 3), 100.0 * (i // 3)) for i in range(n)} | {1000: (0.0, 0.0), 1001: (100.0, 0.0)}
+    pairs = [(i, j) for i in range(n) for j in (i + 1, i + 3) if j < n and (j != i + 1 or j % 3)] + [(1000, 1001), (0, 1), (7, 7)]
+    rows = [(a, b, *(float(v) for v in np.array(spot[b]) + rng.normal(0, 3, 2))) for a, b in pairs]
+    solved, _ = V.solve_positions(
+        spark.createDataFrame(rows, "anchor long, neighbour long, measured_x double, measured_y double"),
+        spark.createDataFrame([(i, *p) for i, p in spot.items()], "fov_id long, x double, y double"), block=16)
+    got = {r.fov_id: r for r in solved.collect()}
+    at = {k: j for j, k in enumerate(spot)}
+    pins = [k for k in spot if got[k].pinned]
+    a, rhs = np.zeros((len(rows) + len(pins), len(spot))), np.zeros((len(rows) + len(pins), 2))
+    for k, (p, q, x, y) in enumerate(rows):
+        a[k, at[q]] += 1
+        a[k, at[p]] -= 1
+        rhs[k] = np.array([x, y]) - spot[p]
+    for k, p in enumerate(pins):
+        a[len(rows) + k, at[p]], rhs[len(rows) + k] = 1e6, 1e6 * np.array(spot[p])
+    want = np.linalg.lstsq(a, rhs, rcond=None)[0]
+    assert len(pins) == 2 and max(np.abs(np.array([got[k].x, got[k].y]) - want[j]).max() for k, j in at.items()) < 1e-6
+
+
 def test_positions_that_do_not_settle_are_an_error(spark, monkeypatch):
     from stagelight.operators import solve as V
 
