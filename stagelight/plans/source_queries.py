@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from stagelight.plans.registry import query
@@ -17,8 +20,35 @@ from stagelight.sources.scratch import open_path, scratch_dir
 
 
 def write_docs(df, column: str, folder: str, by: str) -> str:
-    """One text file per value of ``by``: the rows of a value stay together and in order of their line number."""
-    df.repartition(by).sortWithinPartitions(by, "_line").select(by, column).write.mode("overwrite").partitionBy(by).text(folder)
+    """One text file ``by=value.txt`` per value of ``by``, its rows in order of their line number.
+
+    Tasks stream files under a passing name and rename them when they are whole, so neither a commit nor a listing meets one folder per value.
+    """
+    def write(parts):
+        number = TaskContext.get().partitionId()
+        store, place = open_path(f"{folder}/{number:05d}")
+        store.create_dir(place, recursive=True)
+        name, out, n = None, None, 0
+
+        def close():
+            out.close()
+            store.move(f"{place}/_{number}", f"{place}/{by}={quote(str(name), safe='')}.txt")
+
+        for pdf in parts:
+            values = pdf["by"].to_numpy()
+            cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), len(values)]
+            for i, j in zip(cuts, cuts[1:]):
+                if out is None or values[i] != name:
+                    if out is not None:
+                        close()
+                    name, out, n = values[i], store.open_output_stream(f"{place}/_{number}"), n + 1
+                out.write(("\n".join(pdf["value"].iloc[i:j]) + "\n").encode())
+        if out is not None:
+            close()
+        yield pd.DataFrame({"n": [n]})
+
+    rows = df.repartition(by).sortWithinPartitions(by, "_line").select(F.col(by).cast("string").alias("by"), F.coalesce(column, F.lit("")).alias("value"))
+    rows.mapInPandas(write, "n LONG").agg(F.sum("n")).collect()
     return folder
 
 
@@ -243,7 +273,7 @@ def _(spark, d):
     c = table(spark, d, "customer")
     lines = c.select(F.col("c_nationkey").alias("hole"), F.col("c_custkey").alias("_line"), F.concat_ws(",", F.col("c_custkey") % 50, F.col("c_acctbal")).alias("value"))
     rings = X.read_rings(spark, write_docs(lines, "value", scratch_dir(spark), "hole"))
-    rings = rings.withColumn("file", F.regexp_replace("file", r"hole=(\d+)/.*$", "hole$1.txt"))
+    rings = rings.withColumn("file", F.regexp_replace("file", r"hole=(\d+)\.txt$", "hole$1.txt"))
     h = X.hole_polygons(rings)
     sum_x = F.aggregate("ring", F.lit(0.0), lambda a, p: a + p["x"])
     return h.select("hole", F.size("ring").cast("long").alias("n_points"), F.round(sum_x, 4).alias("sum_x"), F.round(F.col("ring")[0]["y"], 4).alias("first_y"), F.round(F.element_at("ring", -1)["y"], 4).alias("last_y"))

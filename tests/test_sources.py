@@ -280,3 +280,16 @@ def test_stability_gate_over_runs(spark, tmp_path):
         S.run_to_end(S.stable_paths(S.read_arrivals(spark, src, schema)), lambda df, n: S.put_batch(df, out, n), cp)
     got = sorted((r.path, r.size, r.tick) for r in S.get_table(spark, out, "path STRING, size LONG, tick LONG").collect())
     assert got == [("a", 4, 3), ("b", 5, 1), ("c", 3, 3)]
+
+
+def test_docs_are_files_of_tasks_not_folders(spark, tmp_path):
+    """Many small documents, one of several Arrow batches: one file each, no folder per value, lines in order."""
+    from stagelight.plans.source_queries import write_docs
+
+    few, long = spark.range(300).selectExpr("id AS doc", "1 AS _line", "concat('a', id) AS value"), spark.range(25_000).selectExpr("7L AS doc", "CAST(id + 2 AS INT) AS _line", "CAST(id AS STRING) AS value")
+    out = write_docs(few.union(few.selectExpr("doc", "0", "concat('b', doc)")).union(long), "value", str(tmp_path / "docs"), "doc")
+    files = [f for f in (tmp_path / "docs").rglob("*") if f.is_file()]
+    assert len(files) == 300 and all(f.name.startswith("doc=") for f in files) and not [f for f in (tmp_path / "docs").rglob("doc=*") if f.is_dir()]
+    texts = {f.name[4:-4]: f.read_text().splitlines() for f in files}
+    assert texts["12"] == ["b12", "a12"] and texts["7"] == ["b7", "a7", *map(str, range(25_000))]
+    assert spark.read.option("recursiveFileLookup", "true").text(out).count() == 25_600
