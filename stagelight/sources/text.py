@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stagelight import schemas
 from stagelight.operators.scan import ordered_scan
+from stagelight.session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -63,7 +64,8 @@ FOCUS_COLUMNS = ["frame", "offset", "power", "stage-z", "good-offset"]
 def parse_focus_logs(lines: DataFrame) -> DataFrame:
     """Focus logs from (file, block, at, value): a file contributes rows only when every line of it is complete."""
     tokens = F.split(F.trim("value"), r"\s+")
-    body = lines.where(F.trim("value") != "").select("file", "block", "at", tokens.alias("_t"))
+    # many small files are slow to open: they are read once, for the header, the rows and the check alike
+    body = cut_lineage(lines.where(F.trim("value") != "").select("file", "block", "at", tokens.alias("_t")))
     head = body.groupBy("file").agg(
         F.min_by("_t", F.struct("block", "at")).alias("_h"), F.min(F.struct("block", "at")).alias("_first"))
     rows = body.join(head, "file").where(F.struct("block", "at") != F.col("_first"))

@@ -293,3 +293,12 @@ def test_docs_are_files_of_tasks_not_folders(spark, tmp_path):
     texts = {f.name[4:-4]: f.read_text().splitlines() for f in files}
     assert texts["12"] == ["b12", "a12"] and texts["7"] == ["b7", "a7", *map(str, range(25_000))]
     assert spark.read.option("recursiveFileLookup", "true").text(out).count() == 25_600
+
+
+def test_focus_logs_are_read_once(spark, tmp_path):
+    """Header, rows and check come from one read of the files."""
+    (tmp_path / "a.off").write_text("frame offset power stage-z good-offset\n1 0.1 200 3.5 1\n2 0.1 200 4.5 0\n")
+    (tmp_path / "b.off").write_text("frame offset power stage-z good-offset\n1 0.1 200\n")
+    logs = X.read_focus_logs(spark, str(tmp_path))
+    assert "FileScan" not in logs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.frame, r.stage_z, r.good) for r in logs.collect()) == [(1, 3.5, True), (2, 4.5, False)]
