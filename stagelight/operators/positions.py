@@ -95,6 +95,29 @@ def graph_consistency(pairs: DataFrame, src_edges: DataFrame, tgt_edges: DataFra
     return pairs.join(share, [sid, tid], "left").where(F.col("_share").isNull() | (F.col("_share") >= min_fraction)).select(*pairs.columns)
 
 
+def consistent_within(pairs: DataFrame, src: DataFrame, tgt: DataFrame, radius: float, min_fraction: float = 0.5,
+                      sid: str = "src_id", tid: str = "tgt_id") -> DataFrame:
+    """`graph_consistency` on the contact graphs of ``radius`` without listing their edges.
+
+    Copies of a point are one place with a count, and pairs are measured against places and pairs of near cells, so work follows
+    the distinct places and not the copies. A pair's own source isn't its neighbour; its copies are.
+    """
+    at = lambda df, k, p: df.select(F.col(k), F.col("x").cast("double").alias(f"{p}x"), F.col("y").cast("double").alias(f"{p}y"))
+    own = cut_lineage(pairs.select(sid, tid).join(at(src, sid, "s"), sid).join(at(tgt, tid, "t"), tid))
+    places = at(src, sid, "p").groupBy("px", "py").agg(F.count("*").alias("n"))
+    size, r2 = radius / 2, float(radius) * float(radius)
+    offsets = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    here = lambda df, x, y: df.withColumn("_cx", cell(x, size)).withColumn("_cy", cell(y, size))
+    near = lambda a, b, c, d: (F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d)) <= r2
+    around = explode_cells(own, "sx", "sy", size, offsets).drop("_o")
+    seen = around.join(here(places, "px", "py"), ["_cx", "_cy"]).where(near("sx", "sy", "px", "py")).groupBy(sid, tid).agg((F.sum("n") - 1).alias("_all"))
+    others = here(own.select(F.col(sid).alias("_os"), F.col(tid).alias("_ot"), F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("tx").alias("ux"), F.col("ty").alias("uy")), "ox", "oy")
+    held = around.join(others, ["_cx", "_cy"]).where(near("sx", "sy", "ox", "oy") & near("tx", "ty", "ux", "uy") & (F.col(sid) != F.col("_os")) & (F.col(tid) != F.col("_ot")))
+    hits = held.groupBy(sid, tid).agg(F.count("*").alias("_hits"))
+    share = seen.join(hits, [sid, tid], "left").select(sid, tid, (F.coalesce("_hits", F.lit(0)) / F.nullif(F.col("_all"), F.lit(0))).alias("_share"))
+    return pairs.join(share, [sid, tid], "left").where(F.col("_share").isNull() | (F.col("_share") >= min_fraction)).select(*pairs.columns)
+
+
 def match_channels(spots: DataFrame, ref_color: int, colors: list[int], tol_px: float, pixel_um: float,
                    group: list[str] | None = None) -> DataFrame:
     """Reference spots found in every channel, one column triple per channel, in µm.

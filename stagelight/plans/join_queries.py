@@ -12,6 +12,7 @@ from stagelight.operators.spatial import contact_edges, mutual_nearest
 from stagelight.operators.spatial_stats import median_nn_distance
 from stagelight.plans.aggregate_queries import RS, round_stats, rounded
 from stagelight.plans.registry import query
+from stagelight.session import cut_lineage
 from stagelight.plans.tables import CLOUD, LOG, PCLOUD, PS, cloud, color_of, focus_log, pixels, positions, r6, table
 
 
@@ -234,9 +235,8 @@ def _(spark, d):
   SELECT m.src_id, m.tgt_id FROM mn m LEFT JOIN sh USING (src_id, tgt_id) WHERE share IS NULL OR share >= 0.25e0""")
 def _(spark, d):
     s, t = halves(spark, d)
-    pairs = mutual_nearest(s, t, 30)
-    se, te = contact_edges(s, 40, id="src_id"), contact_edges(t, 40, id="tgt_id")
-    return G.graph_consistency(pairs, se, te, 0.25).select("src_id", "tgt_id")
+    pairs = cut_lineage(mutual_nearest(s, t, 30))
+    return G.consistent_within(pairs, s, t, 40, 0.25).select("src_id", "tgt_id")
 
 
 BD = """bd AS (SELECT p_partkey AS spot_id, p_partkey % 4 AS fov, [405, 560, 650][p_partkey // 4 % 3 + 1] AS color, CAST(p_partkey // 12 * 31 % 211 + p_partkey % 3 AS DOUBLE) AS x_px, CAST(p_partkey // 12 * 17 % 199 + p_partkey % 5 AS DOUBLE) AS y_px, p_size / 10e0 AS z_um FROM part),

@@ -287,3 +287,18 @@ def test_quantiles_and_mad_of_small_and_large_groups(spark):
     every = np.concatenate(list(groups.values()))
     assert whole.m == pytest.approx(np.median(every)) and median_and_mad(df, [], "v").first()._mad == pytest.approx(np.median(np.abs(every - np.median(every))))
     assert exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).collect()[0].m is None and exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_consistency_within_a_radius_is_that_of_the_listed_graphs(spark):
+    """Copies of points included; the edges themselves are listed here only."""
+    from stagelight.operators.positions import consistent_within, graph_consistency
+    from stagelight.operators.spatial import contact_edges, mutual_nearest
+
+    rng = np.random.default_rng(5)
+    cloud = lambda n, k: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 30, (n, 2)))], f"{k} long, x double, y double")
+    s, t = cloud(500, "src_id"), cloud(350, "tgt_id")
+    pairs = mutual_nearest(s, t, 3)
+    for share in (0.05, 0.1, 0.2):
+        want = graph_consistency(pairs, contact_edges(s, 4, id="src_id"), contact_edges(t, 4, id="tgt_id"), share)
+        got = consistent_within(pairs, s, t, 4, share)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
