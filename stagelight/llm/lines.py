@@ -24,7 +24,8 @@ from stagelight.sources.scratch import scratch_dir
 
 from .text import BASE, INVERSE, SPACED, Words, mix, picked, powers, prefix, slices
 
-SLICE = 1 << 22
+#: Bytes of text at once: a task holds some 70 MB beside them, with 1 << 22 some 290 MB.
+SLICE = 1 << 20
 #: log2 of the bits of the tables of shared halves and variants.
 TABLE_BITS = 25
 

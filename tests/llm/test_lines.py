@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from stagelight.llm import lines as L
 from stagelight.llm.lines import dedup_lines
 
 from .helpers import prose
@@ -73,3 +77,18 @@ def test_rows_with_one_id_or_none_lose_lines_of_their_own_text_only(spark):
     got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = [(1, again), (2, ""), (2, alone[0]), (None, "u v w x y z\n" + alone[1]), (None, "p q r s t u")]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_memory_of_a_task_stays_small():
+    """A task's arrays over texts of 8 MB, slice by slice, as line_rows holds them; 200 MB and more with slices of 4 MB."""
+    import tracemalloc
+
+    texts = pa.array([f"{i} " + "a few words of a line and some more\n" * 500 for i in range(450)], pa.binary())
+    tracemalloc.start()
+    lines = 0
+    for _, part in L.slices(texts, L.SLICE):
+        x = L.Lines(part)
+        lines += len(x.halves(np.flatnonzero(x.count >= 5))[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == 450 * 500 and peak < 120e6
