@@ -8,7 +8,8 @@ texts agree in a coordinate with the probability of their (weighted) Jaccard sim
 Texts with the same shingles are one node. Nodes that share a band are candidates; exact similarity decides. A bucket's nodes
 are first compared with one of them only, a few times over, and then across components that are still apart: all of them in
 small buckets; in large ones those that share a rare shingle, which loses no pair except where nearly all of both texts'
-shingles are common. Such texts get a longer signature with longer bands.
+shingles are common. Such texts get a longer signature with longer bands, whose buckets are treated alike: one node first, then
+all that are still apart.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, FINE = (24, 5), (96, 12)
 #: Nodes of a bucket that are compared across components one by one; the nodes of larger ones meet by shingles that at most so many of them have.
 BUCKET = 40
-#: Turns in which nodes are compared with one node of each of their buckets.
+#: Turns in which nodes are compared with one node of each of their buckets, and as many for the long bands.
 TURNS = 3
 SLICE = 1 << 20
 #: Darts that are thrown at once, which bounds a task's memory.
@@ -353,17 +354,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rest = still_apart(members, groups, f"{folder}/apart{turn}")
         if rest.isEmpty():
             break
-    pairs = across(rest.where(F.col("n") <= BUCKET))
     large = rest.where(F.col("n") > BUCKET).select("node", "component").distinct().join(sets, "node")
     rare, common = by_rare_shingles(large, folder)
     # nodes of common shingles alone: long bands take their buckets apart
     table = spark.sparkContext.broadcast(bit_table(common, "node"))
-    fine = listed(texts, table, weighted, True).join(common, "node").dropDuplicates(["node"]).select("node", "component", "bits", F.explode("bands").alias("bucket"))
-    fine.write.parquet(f"{folder}/fine")
+    listed(texts, table, weighted, True).join(common, "node").dropDuplicates(["node"]).select("node", "component", "bits", "bands").write.parquet(f"{folder}/fine")
     table.destroy()
     fine = spark.read.parquet(f"{folder}/fine")
-    apart = fine.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    pairs = pairs.union(rare).union(across(fine.join(apart, "bucket"), bits_agree())).distinct()
+    # a family of such texts is put together by its long bands first; only what is then apart is compared in all pairs
+    bucket = F.explode("bands").alias("bucket")
+    left = still_apart(fine.select("node", bucket), fine.select("node", "component"), f"{folder}/apart{TURNS}")
+    for turn in range(TURNS, 2 * TURNS):
+        if left.isEmpty():
+            break
+        linked = verified(heads(left, turn), sketches, sets, f"{folder}/edges{turn}")
+        if linked.isEmpty():
+            break
+        groups = merged(groups, linked, f"{folder}/groups{turn}")
+        left = still_apart(left.select("bucket", "node"), groups, f"{folder}/apart{turn + 1}")
+    small = rest.where(F.col("n") <= BUCKET).select("bucket", "node").join(groups, "node")
+    pairs = across(small).union(rare).union(across(left.join(fine.select("node", "bits"), "node"), bits_agree())).distinct()
     last = merged(groups, verified(pairs, sketches, sets, f"{folder}/edges"), f"{folder}/last")
 
     by_node = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"))

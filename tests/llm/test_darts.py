@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import product
 
 import numpy as np
 
@@ -124,3 +125,13 @@ def test_weighted_classes_equal_all_pairs(spark):
     docs = list(enumerate([t for b in base for t in copies(b, 6, 3, r)]))
     got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), weighted=True).collect()}
     assert got == classes(docs, True)
+
+
+def test_a_family_of_common_shingles_is_put_together_before_all_pairs(spark, monkeypatch):
+    """512 texts of 20 blocks, 9 of which have two wordings: one class by texts that differ in one block; 4,596 pairs were left to compare at last."""
+    block = lambda i, v: " ".join(f"w{v}x{i}x{j}" for j in range(10))
+    docs = list(enumerate(" ".join(block(i, v[i // 2] if i < 18 and i % 2 == 0 else 0) for i in range(20)) for v in product((0, 1), repeat=9)))
+    compared, verified = [], D.verified
+    monkeypatch.setattr(D, "verified", lambda pairs, *a: (compared.append(pairs.count()), verified(pairs, *a))[1])
+    got = D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {x.class_id for x in got} == {0} and max(compared) <= 2 * len(docs) and compared[-1] <= len(docs)
