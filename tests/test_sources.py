@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,34 @@ def test_focus_logs_are_read_once(spark, tmp_path):
     logs = X.read_focus_logs(spark, str(tmp_path))
     assert "FileScan" not in logs._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.frame, r.stage_z, r.good) for r in logs.collect()) == [(1, 3.5, True), (2, 4.5, False)]
+
+
+def test_a_value_is_asked_for_once_a_key():
+    """Keyed processors ask for their value in one call, and a path that was told is not written again."""
+    from stagelight.streaming import state as T
+
+    class Held:
+        def __init__(self, value=None):
+            self.value, self.calls = value, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    def calls(value):
+        p = T.StableSize(None)
+        p.state = Held(value)
+        out = list(p.handleInputRows(("a",), iter([pd.DataFrame({"tick": [2, 1], "size": [5, 5]})]), None))
+        return p.state.calls, [tuple(r) for d in out for r in d.itertuples(index=False)]
+
+    assert calls(None) == (["get", "update"], [("a", 5, 2)])
+    assert calls((5, False)) == (["get", "update"], [("a", 5, 1)])
+    assert calls((5, True)) == (["get"], [])
