@@ -36,6 +36,8 @@ def explode_cells(df: DataFrame, x: str, y: str, size: float, offsets=NEIGHBOURS
 CELL_POINTS = 8
 #: Halvings of a radius at most; what is then still in one cell lies within 1e-12 of it.
 HALVINGS = 40
+#: Partitions that cells are dealt to where their pairs are listed: a few rows make many pairs, so the bytes say nothing of the work.
+CELL_PARTS = 256
 
 
 def halvings(points: DataFrame, radius: float, x: str, y: str, group: list[str] | None = None) -> int:
@@ -106,10 +108,12 @@ def contact_edges(df: DataFrame, radius: float, *, id: str = "id", x: str = "x",
         {"_id": "_ia", "_x": "_xa", "_y": "_ya"}
     )
     right = pts.withColumn("_cx", cell("_x", radius)).withColumn("_cy", cell("_y", radius))
-    dist = F.hypot(F.col("_xa") - F.col("_x"), F.col("_ya") - F.col("_y"))
+    dx, dy = F.col("_xa") - F.col("_x"), F.col("_ya") - F.col("_y")
+    dist = F.sqrt(dx * dx + dy * dy)
     same_cell = (F.col("_o.i") == 0) & (F.col("_o.j") == 0)
+    keys = [*group, "_cx", "_cy"]
     return (
-        left.join(right, [*group, "_cx", "_cy"])
+        left.repartition(CELL_PARTS, *keys).join(right.repartition(CELL_PARTS, *keys), keys)
         .where((dist <= float(radius)) & (~same_cell | (F.col("_ia") < F.col("_id"))))
         .select(*group, F.least("_ia", "_id").alias("a"), F.greatest("_ia", "_id").alias("b"), dist.alias("dist"))
     )

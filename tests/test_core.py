@@ -96,6 +96,12 @@ def test_contact_edges(spark):
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if d[i, j] <= 3.0}
 
 
+def test_cells_of_contact_edges_are_not_put_together(spark):
+    """Few bytes make many pairs: the join's tasks are not merged by the bytes they read (all cells were one task here)."""
+    s, _ = clouds(150)
+    assert contact_edges(frame(spark, s, "id"), 3.0).rdd.getNumPartitions() >= 64
+
+
 def test_mutual_nearest_is_one_to_one(spark):
     s, t = clouds()
     got = mutual_nearest(frame(spark, s, "src_id"), frame(spark, t, "tgt_id"), 4.0).collect()
