@@ -305,17 +305,45 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, folder: str
 def merged(groups: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     """groups (node, component) with the components that edges link put together."""
     ends = edges.join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b")
+    ends.write.parquet(f"{folder}-ends")  # read more than once
+    ends = edges.sparkSession.read.parquet(f"{folder}-ends")
     found = connected_components(ends).toDF("component", "whole")
     groups.join(found, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).write.parquet(folder)
     return groups.sparkSession.read.parquet(folder)
 
 
-def still_apart(members: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
-    """members with their component, of the buckets that have several."""
-    placed = members.join(groups, "node")
+def placed(members: DataFrame, groups: DataFrame, folder: str) -> tuple[DataFrame, float]:
+    """members with their component, and the number of pairs of nodes of a bucket that are in different ones."""
+    members.join(groups, "node").write.parquet(folder)
+    out = members.sparkSession.read.parquet(folder)
+    k = F.col("k").cast("double")
+    each = out.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum(k).alias("n"), F.sum(k * k).alias("own"))
+    return out, each.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")), F.lit(0.0))).first()[0] / 2
+
+
+def still_apart(placed: DataFrame, folder: str) -> DataFrame:
+    """The rows (with bucket and component) of the buckets that have several components."""
     apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
     placed.join(apart, "bucket", "left_semi").write.parquet(folder)
-    return members.sparkSession.read.parquet(folder)
+    return placed.sparkSession.read.parquet(folder)
+
+
+def put_together(members: DataFrame, groups: DataFrame, sketches: DataFrame, sets: DataFrame, folder: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """groups and members' rows with their component after up to TURNS turns; they end when a turn takes away less than a quarter of the pairs left.
+
+    Turns only spare the comparison of pairs that are in one component by then, so ending them early loses nothing.
+    """
+    rest, left = placed(members, groups, f"{folder}/placed{first}")
+    for turn in range(first, first + TURNS):
+        if not left:
+            break
+        linked = verified(heads(rest, turn), sketches, sets, f"{folder}/edges{turn}")
+        groups = merged(groups, linked, f"{folder}/groups{turn}")
+        rest, now = placed(members, groups, f"{folder}/placed{turn + 1}-{first}")
+        if now > 0.75 * left:
+            break
+        left = now
+    return groups, rest
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, folder: str | None = None, by_text: bool = False) -> DataFrame:
@@ -347,13 +375,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     members.select("node").distinct().select("node", F.col("node").alias("component")).write.parquet(f"{folder}/groups")
     groups = spark.read.parquet(f"{folder}/groups")
-    rest = members.withColumn("component", F.col("node"))
-    for turn in range(TURNS):
-        linked = verified(heads(rest, turn), sketches, sets, f"{folder}/edges{turn}")
-        groups = merged(groups, linked, f"{folder}/groups{turn}")
-        rest = still_apart(members, groups, f"{folder}/apart{turn}")
-        if rest.isEmpty():
-            break
+    groups, rest = put_together(members, groups, sketches, sets, folder, 0)
+    rest = still_apart(rest, f"{folder}/apart")
     large = rest.where(F.col("n") > BUCKET).select("node", "component").distinct().join(sets, "node")
     rare, common = by_rare_shingles(large, folder)
     # nodes of common shingles alone: long bands take their buckets apart
@@ -362,16 +385,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table.destroy()
     fine = spark.read.parquet(f"{folder}/fine")
     # a family of such texts is put together by its long bands first; only what is then apart is compared in all pairs
-    bucket = F.explode("bands").alias("bucket")
-    left = still_apart(fine.select("node", bucket), fine.select("node", "component"), f"{folder}/apart{TURNS}")
-    for turn in range(TURNS, 2 * TURNS):
-        if left.isEmpty():
-            break
-        linked = verified(heads(left, turn), sketches, sets, f"{folder}/edges{turn}")
-        if linked.isEmpty():
-            break
-        groups = merged(groups, linked, f"{folder}/groups{turn}")
-        left = still_apart(left.select("bucket", "node"), groups, f"{folder}/apart{turn + 1}")
+    left = still_apart(fine.select("node", "component", F.explode("bands").alias("bucket")), f"{folder}/long").select("bucket", "node")
+    groups, left = put_together(left, groups, sketches, sets, folder, TURNS)
     small = rest.where(F.col("n") <= BUCKET).select("bucket", "node").join(groups, "node")
     pairs = across(small).union(rare).union(across(left.join(fine.select("node", "bits"), "node"), bits_agree())).distinct()
     last = merged(groups, verified(pairs, sketches, sets, f"{folder}/edges"), f"{folder}/last")

@@ -135,3 +135,11 @@ def test_a_family_of_common_shingles_is_put_together_before_all_pairs(spark, mon
     monkeypatch.setattr(D, "verified", lambda pairs, *a: (compared.append(pairs.count()), verified(pairs, *a))[1])
     got = D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {x.class_id for x in got} == {0} and max(compared) <= 2 * len(docs) and compared[-1] <= len(docs)
+
+
+def test_turns_end_when_they_put_nothing_together(spark, monkeypatch):
+    """A family below the threshold: no turn links its texts to a node of their bucket, so the first of each kind is the last (there were 4 to 6)."""
+    docs, turns, heads = family(200, 200, 28, 4, 7), [], D.heads
+    monkeypatch.setattr(D, "heads", lambda placed, turn: (turns.append(turn), heads(placed, turn))[1])
+    got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert len(turns) <= 2 and got == classes(docs)
