@@ -103,7 +103,7 @@ def read_frames(spark: SparkSession, path: str, suffix: str = ".dax", frame_heig
     return with_pixels(listed)
 
 
-def in_chunks(batches: Iterator[pa.RecordBatch], keys: list[str], one: Callable[[np.ndarray, dict], dict[str, np.ndarray]], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def in_chunks(batches: Iterator[pa.RecordBatch], keys: list[str], one: Callable[[np.ndarray, dict], dict[str, np.ndarray]], limit: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The arrays that ``one`` makes of each frame's pixels, with the frame's keys, in output batches of about ``limit`` rows."""
     for b in batches:
         pixels, rest = b.column("pixels"), b.select([c for c in b.schema.names if c != "pixels"])

@@ -334,3 +334,14 @@ def test_a_value_is_asked_for_once_a_key():
     assert calls(None) == (["get", "update"], [("a", 5, 2)])
     assert calls((5, False)) == (["get", "update"], [("a", 5, 1)])
     assert calls((5, True)) == (["get"], [])
+
+
+def test_frames_are_decoded_in_small_batches():
+    """A batch of many small frames does not become one large table of pixels in the Python worker (640,000 rows before)."""
+    import pyarrow as pa
+
+    n = 10_000
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([bytes(128)] * n, pa.binary())], names=["frame", "pixels"])
+    out = list(R.in_chunks(iter([b]), ["frame"], lambda v, row: {"v": v.astype(np.int32)}))
+    assert max(x.num_rows for x in out) < 70_000
+    assert np.array_equal(np.concatenate([x.column("frame").to_numpy() for x in out]), np.repeat(np.arange(n), 64))
