@@ -33,7 +33,7 @@ BANDS, FINE = (24, 5), (96, 12)
 BUCKET = 40
 #: Turns in which nodes are compared with one node of each of their buckets, and as many for the long bands.
 TURNS = 3
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Darts that are thrown at once, which bounds a task's memory.
 DARTS = 300_000
 

@@ -143,3 +143,20 @@ def test_turns_end_when_they_put_nothing_together(spark, monkeypatch):
     monkeypatch.setattr(D, "heads", lambda placed, turn: (turns.append(turn), heads(placed, turn))[1])
     got = {x.doc_id: x.class_id for x in D.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert len(turns) <= 2 and got == classes(docs)
+
+
+def test_signing_a_slice_takes_little_memory():
+    """The arrays beside a slice of texts, in each Python worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r, peak = random.Random(3), 0
+    texts = pa.array([" ".join(f"w{r.randrange(10**4)}" for _ in range(200)) for _ in range(2000)])
+    for _, held in D.slices(texts, D.SLICE):
+        tracemalloc.start()
+        row, h, weight = D.elements(held, False)
+        D.signed(len(held), row, h, weight, 120)
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak < 35e6, peak
