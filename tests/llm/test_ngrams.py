@@ -7,7 +7,7 @@ import numpy as np
 
 from stagelight.llm import ngrams as G
 
-from .helpers import odd_rows
+from .helpers import odd_rows, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -72,3 +72,29 @@ def test_the_score_is_a_distribution_over_known_words(spark):
     single = (G.value(f.quantised(h)) + 1) / m.total
     assert abs(single.sum() + 1 / m.total - 1) < 0.02
     assert all(s < 0 for s in one.values())
+
+
+def test_every_pair_and_word_counts_whatever_the_bounds(spark):
+    """Scores against a model with all counts at hand; a filter loses nothing and rarely gives a level too many, but for tiny segments."""
+    rows = [*enumerate(prose(60)), (60, None), (None, "a b c"), (61, "never seen before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = collections.Counter(), collections.Counter()
+    pairs = lambda t: [*zip([None, *t[:-1]], t)]
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(tokens(t))
+            two.update(pairs(tokens(t)))
+    low = lambda n: float(G.value(G.levels(np.array([n])))[0]) if n else 0.0
+    total, seen = sum(map(low, one.values())) + len(one) + 1, collections.Counter()
+    for (b, _), n in two.items():
+        seen[b] += low(n) - G.DISCOUNT
+
+    def share(b, w):
+        p = (low(one[w]) + 1) / total
+        return p if not one[b] else (1 - min(seen[b] / one[b], 1 - 1e-6)) * p + max(low(two[b, w]) - G.DISCOUNT, 0) / one[b]
+
+    want = sorted(sum(math.log10(min(share(*x), 1)) for x in pairs(tokens(t))) for _, t in rows)
+    for sizes in (G.Sizes(), G.Sizes(common=50, vocabulary=40, filter_bits=20), G.Sizes(common=1, vocabulary=1, filter_bits=16)):
+        got = sorted(r.score for r in G.score(docs, G.train(docs, sizes=sizes)).collect())
+        off = np.array(got) - want
+        assert len(got) == len(want) and off.min() > -1e-6 and (sizes.filter_bits < 20 or off.mean() < -0.005 * np.mean(want))
