@@ -144,6 +144,14 @@ def test_neighbour_registration(spark):
     assert (r.measured_x, r.measured_y) == (pytest.approx(60 + 3, abs=0.3), pytest.approx(2, abs=0.3))
 
 
+def test_pixels_are_not_broadcast(spark):
+    """Tables that look small by their columns: every strip would pass through the driver."""
+    side = spark.range(4).select(F.col("id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(bytes(range(128))).alias("pixels"))
+    pairs = spark.range(3).select(F.col("id").alias("anchor"), (F.col("id") + 1).alias("neighbour"), F.lit("right").alias("direction"), F.lit(1.0).alias("bx0"), F.lit(0.0).alias("by0"))
+    for df in (K.neighbour_registration(pairs, side, ["anchor", "neighbour"], 0.5, 1.0), K.pair_frames(pairs, side, "anchor", "neighbour")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 3
+
+
 def test_whole_shifts_of_strips_are_exact():
     """Strips of random pixels, each cut off the other by up to four pixels: the rims moved one of some hundred pairs by 0.1."""
     rng, plain = np.random.default_rng(3), 0
