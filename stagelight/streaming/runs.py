@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stagelight.operators.windows import first_per_key
 from stagelight.sources.text import path_exists
-from stagelight.streaming.state import CountUp, EnoughRows, FixedRange, StableSize, keyed_state, plainly_named, unfinished_rows
+from stagelight.streaming.state import CountUp, EnoughRows, FixedRange, StableSize, keyed_state, plainly_named, rows_of_new_keys, unfinished_rows
 
 
 def read_arrivals(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -115,10 +115,10 @@ def round_trigger(stream: DataFrame, expected: DataFrame, fired: str, checkpoint
 
 
 def summary_cache(stream: DataFrame, keys: list[str], summarise: Callable[[DataFrame], DataFrame], cache: str, checkpoint: str, old: DataFrame | None = None) -> StreamingQuery:
-    """Append the summary of keys not in the cache yet. ``old`` has keys of an earlier cache; a negative FOV id there counts as 0."""
+    """Append the summary of keys not in the cache yet. ``old`` has keys of an earlier cache, to be given at every start; a negative FOV id there counts as 0."""
     if old is not None and "fov_id" in keys:
         old = old.withColumn("fov_id", F.when(F.col("fov_id") == -1, 0).otherwise(F.col("fov_id")))
-    return run_to_end(unfinished_rows(stream, keys, F.lit(True), old).drop("_done"), lambda df, n: put_batch(summarise(df), cache, n), checkpoint)
+    return run_to_end(rows_of_new_keys(stream, keys, old), lambda df, n: put_batch(summarise(df), cache, n), checkpoint)
 
 
 def compute_once(stream: DataFrame, key: str, min_samples: int, compute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

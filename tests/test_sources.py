@@ -273,6 +273,18 @@ def test_stream_restart_and_growth(spark, tmp_path):
     assert run() == [(1, 5.0), (2, 7.0)]  # known keys stay, new ones are added
 
 
+def test_new_keys_cost_no_python_call_each(spark, tmp_path):
+    """All rows of a key's first batch, NULL keys too, and no later ones; known keys are dropped by Spark's own state."""
+    schema = "k LONG, day STRING, v DOUBLE"
+    for i, rows in enumerate([[(1, "a", 1.0), (1, "a", None), (None, "a", 2.0), (2, None, 3.0)], [(1, "a", 9.0), (1, None, 4.0), (None, "a", 9.0), (None, None, 5.0), (None, None, 6.0), (2, None, 9.0), (7, "z", 9.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        s = S.rows_of_new_keys(S.read_arrivals(spark, str(tmp_path / "in"), schema), ["k", "day"], spark.createDataFrame([(7, "z")], "k int, day string"))
+        q = S.run_to_end(s, lambda df, n: S.put_batch(df, str(tmp_path / "out"), n), str(tmp_path / "cp"))
+    got = [(r.batch_id, r.k, r.day, r.v) for r in S.get_table(spark, str(tmp_path / "out"), schema).collect()]
+    assert sorted(got, key=repr) == sorted([(0, 1, "a", 1.0), (0, 1, "a", None), (0, None, "a", 2.0), (0, 2, None, 3.0), (1, 1, None, 4.0), (1, None, None, 5.0), (1, None, None, 6.0)], key=repr)
+    assert [o["operatorName"] for o in q.lastProgress["stateOperators"]] == ["dedupe"]
+
+
 def test_stability_gate_over_runs(spark, tmp_path):
     src, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     schema = "path STRING, tick LONG, size LONG"
