@@ -204,50 +204,151 @@ def uncovered_cells(fovs: DataFrame, tissue: DataFrame, fov_size: float, cell_um
     return tissue.select("r", "c").distinct().join(cells_of_fovs(fovs, fov_size, cell_um), ["r", "c"], "left_anti")
 
 
-def spread(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Cells reached from each cell by the offsets; ``hits`` counts from how many."""
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    return cells.select("r", "c", o.alias("_o")).groupBy((F.col("r") + F.col("_o.i")).alias("r"), (F.col("c") + F.col("_o.j")).alias("c")).agg(F.count(F.lit(1)).alias("hits"))
+#: Side of a tile in cells, or the reach of what is done in it if that is more.
+TILE = 256
+RUNS = "tr long, tc long, r long, c0 long, c1 long"
 
 
-def dilate(cells: DataFrame, radius: int) -> DataFrame:
-    return spread(cells, disk_offsets(radius)).select("r", "c")
+def tiles_within(r: tuple[str, str], c: tuple[str, str], side: int, reach: int) -> list[Column]:
+    """Tiles (tr, tc) that cells of the given first and last row and column lie in or are within reach of."""
+    at = lambda v, d: F.floor((F.col(v) + d) / side).cast("long")
+    return [F.explode(F.sequence(at(r[0], -reach), at(r[1], reach))).alias("tr"), F.sequence(at(c[0], -reach), at(c[1], reach)).alias("_tc")]
 
 
-def erode(cells: DataFrame, radius: int) -> DataFrame:
-    """A cell stays when its whole disk is set."""
-    o = disk_offsets(radius)
-    return spread(cells, o).where(F.col("hits") == len(o)).select("r", "c")
+def in_tiles(cells: DataFrame, side: int, reach: int) -> DataFrame:
+    """Each cell (r, c, ...) in every tile that needs it."""
+    return cells.select("*", *tiles_within(("r", "r"), ("c", "c"), side, reach)).select(*cells.columns, "tr", F.explode("_tc").alias("tc"))
 
 
-def close_cells(cells: DataFrame, radius: int) -> DataFrame:
-    return erode(dilate(cells, radius), radius)
+def smooth_cells(canvas: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian smoothing of (r, c, v) tile by tile, rows first; cells outside the table count 0. A NULL counts 0 too, and is left where nothing else is in reach."""
+    k = gaussian_kernel(sigma)
+    reach = len(k) // 2
+    side = max(TILE, reach)
+
+    def run(key, pdf):
+        top, left, size = key[0] * side - reach, key[1] * side - reach, side + 2 * reach
+        r, c, v = pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left, pdf["v"].to_numpy()
+        img, there = np.zeros((size, size)), ~np.isnan(v)
+        np.add.at(img, (r[there], c[there]), v[there])
+        around = lambda a, w: sum(x * a[i : i + side] for i, x in enumerate(w))
+        both = lambda a, w: around(around(a, w).T, w).T
+        out = both(img, k)
+        if not there.all():
+            full = np.zeros((size, size))
+            full[r[there], c[there]] = 1
+            out[both(full, np.ones(len(k))) == 0] = np.nan
+        own = np.zeros((size, size), bool)
+        own[r, c] = True
+        y, x = np.nonzero(own[reach : reach + side, reach : reach + side])
+        v = pd.array(out[y, x], dtype="Float64") if not there.all() else out[y, x]
+        return pd.DataFrame({"r": y + key[0] * side, "c": x + key[1] * side, "v": v})
+
+    cells = canvas.where(F.col("r").isNotNull() & F.col("c").isNotNull()).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("v"))
+    return in_tiles(cells, side, reach).groupBy("tr", "tc").applyInPandas(run, "r long, c long, v double")
+
+
+def disk_filter(mask: np.ndarray, radius: int, grow: bool) -> np.ndarray:
+    """Pixels with a set pixel within the radius, or whose whole disk is set; outside the image nothing is set."""
+    out = np.zeros_like(mask) if grow else np.ones_like(mask)
+    h, w = mask.shape
+    pad = np.zeros((h + 2 * radius, w + 2 * radius + 1), np.int32)
+    pad[radius : radius + h, radius + 1 : radius + 1 + w] = mask
+    total = np.cumsum(pad, axis=1)
+    for d in range(-radius, radius + 1):
+        half = int(np.sqrt(radius * radius - d * d) + 1e-9)
+        rows = total[radius + d : radius + d + h]
+        n = rows[:, radius + half + 1 : radius + half + 1 + w] - rows[:, radius - half : radius - half + w]
+        out = out | (n > 0) if grow else out & (n == 2 * half + 1)
+    return out
 
 
-def open_cells(cells: DataFrame, radius: int) -> DataFrame:
-    return dilate(erode(cells, radius), radius)
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, column behind the last) of the runs of set pixels, by rows."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (r, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return r, start, end
 
 
-def smooth_cells(canvas: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian smoothing of (r, c, v); each axis is one weighted spread, cells outside the table count 0."""
-    k = gaussian_kernel(sigma)
-    radius = len(k) // 2
-    out = canvas.select("r", "c", F.col("v").cast("double").alias("v"))
-    for axis in ("r", "c"):
-        o = F.explode(F.array(*[F.struct(F.lit(i - radius).alias("d"), F.lit(float(w)).alias("w")) for i, w in enumerate(k)]))
-        other = "c" if axis == "r" else "r"
-        out = out.withColumn("_o", o).groupBy((F.col(axis) + F.col("_o.d")).alias(axis), other).agg(F.sum(F.col("v") * F.col("_o.w")).alias("v"))
-    return out.join(canvas.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", "v")
+def first_runs(r: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """For each run the first run of its 4-connected piece."""
+    parent = list(range(len(r)))
 
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
-def label_cells(cells: DataFrame, width: int) -> DataFrame:
-    """(r, c, label): 4-connected components of set cells; ``width`` exceeds every column number (columns from 0)."""
-    node = F.col("r").cast("long") * width + F.col("c")
-    n = cells.select("r", "c", node.alias("id"))
-    o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0))]))
-    e = n.select("id", (F.col("r")).alias("r0"), (F.col("c")).alias("c0"), o.alias("_o")).select("id", (F.col("r0") + F.col("_o.i")).alias("r"), (F.col("c0") + F.col("_o.j")).alias("c"))
-    edges = e.join(n.select("r", "c", F.col("id").alias("b")), ["r", "c"]).select(F.col("id").alias("a"), "b")
-    return n.join(connected_components(edges), "id").select("r", "c", F.col("component").alias("label"))
+    key = r * (width + 1)
+    low = np.searchsorted(key + end, key + width + 1 + start, side="right")
+    high = np.searchsorted(key + start, key + width + 1 + end, side="left")
+    for i in np.flatnonzero(high > low):
+        for j in range(low[i], high[i]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(r))], np.int64)
+
+
+def label_runs(runs: DataFrame, box: tuple[int, int, int, int], side: int, inside: bool = True) -> DataFrame:
+    """(tr, tc, r, c0, c1, label): 4-connected pieces of the runs' cells, or of all other cells of the box (first and last row and column).
+
+    A tile labels its own pieces, which are then joined over the tiles' borders. A label is the smallest number of a cell, counted by rows of the box.
+    """
+    r0, r1, c0, c1 = box
+    width = c1 - c0 + 1
+
+    def run(key, pdf):
+        top, left = key[0] * side, key[1] * side
+        mask = np.zeros((side, side), bool)
+        for r, a, b in pdf[["r", "c0", "c1"]].dropna().astype("int64").itertuples(index=False):
+            mask[r - top, a - left : b - left] = True
+        if not inside:
+            mask = ~mask
+            mask[: max(r0 - top, 0)] = mask[max(r1 + 1 - top, 0) :] = False
+            mask[:, : max(c0 - left, 0)] = mask[:, max(c1 + 1 - left, 0) :] = False
+        r, a, b = runs_of(mask)
+        first = first_runs(r, a, b, side)
+        label = (r[first] + top - r0) * width + a[first] + left - c0
+        named = np.zeros((side, side), np.int64)
+        for i, (y, x, z) in enumerate(zip(r, a, b)):
+            named[y, x:z] = label[i]
+        out = [pd.DataFrame({"tr": key[0], "tc": key[1], "r": r + top, "c0": a + left, "c1": b + left, "label": label, "edge": 0})]
+        # cells at the lower and right border, under the place of their neighbour, and at the upper and left border
+        for edge, cells, y, x in ((1, np.s_[-1, :], side, None), (2, np.s_[0, :], 0, None), (3, np.s_[:, -1], None, side), (4, np.s_[:, 0], None, 0)):
+            at = np.flatnonzero(mask[cells])
+            out.append(pd.DataFrame({"tr": key[0], "tc": key[1], "r": top + (at if y is None else y), "c0": left + (at if x is None else x), "c1": 0, "label": named[cells][at], "edge": edge}))
+        return pd.concat(out)
+
+    if not inside:
+        down, across = r1 // side - r0 // side + 1, c1 // side - c0 // side + 1
+        tiles = runs.sparkSession.range(down * across).select((F.floor(F.col("id") / across) + r0 // side).cast("long").alias("tr"), (F.col("id") % across + c0 // side).alias("tc"))
+        runs = runs.select("tr", "tc", "r", "c0", "c1").unionByName(tiles, allowMissingColumns=True)
+    parts = cut_lineage(runs.groupBy("tr", "tc").applyInPandas(run, RUNS + ", label long, edge int"))
+    edges = parts.where("edge = 0").select(F.col("label").alias("a"), F.col("label").alias("b")).distinct()
+    for one, other in ((1, 2), (3, 4)):
+        side_of = lambda e, name: parts.where(F.col("edge") == e).select("r", "c0", F.col("label").alias(name))
+        edges = edges.unionByName(side_of(one, "a").join(side_of(other, "b"), ["r", "c0"]).select("a", "b").distinct())
+    same = connected_components(edges).select(F.col("id").alias("label"), "component")
+    return parts.where("edge = 0").join(same, "label").select("tr", "tc", "r", "c0", "c1", F.col("component").alias("label"))
+
+
+def labels_near(runs: DataFrame, reach: int, side: int) -> DataFrame:
+    """Labels of runs without the flag `main` that have a cell within reach of a run with it."""
+    side = max(side, reach)
+    wide = runs.select("r", "c0", "c1", "label", "main", (F.col("c1") - 1).alias("_c")).select("r", "c0", "c1", "label", "main", *tiles_within(("r", "r"), ("c0", "_c"), side, reach))
+    wide = wide.select("r", "c0", "c1", "label", "main", "tr", F.explode("_tc").alias("tc"))
+
+    def run(key, pdf):
+        top, left, size = key[0] * side - reach, key[1] * side - reach, side + 2 * reach
+        mask = np.zeros((size, size), bool)
+        at = lambda m: zip(*[pdf.loc[pdf["main"] == m, c].to_numpy() - o for c, o in (("r", top), ("c0", left), ("c1", left))], pdf.loc[pdf["main"] == m, "label"])
+        for r, a, b, _ in at(True):
+            mask[r, max(a, 0) : max(b, 0)] = True
+        around = disk_filter(mask, reach, True)
+        found = {label for r, a, b, label in at(False) if reach <= r < reach + side and around[r, max(a, reach) : max(min(b, reach + side), 0)].any()}
+        return pd.DataFrame({"label": np.array(sorted(found), np.int64)})
+
+    return wide.groupBy("tr", "tc").applyInPandas(run, "label long").distinct()
 
 
 def segment_tissue(canvas: DataFrame, *, pixel_um: float, threshold: float | None = None, smooth_um: float = 10.0, close_um: float = 50.0,
@@ -262,33 +363,49 @@ def segment_tissue(canvas: DataFrame, *, pixel_um: float, threshold: float | Non
     s = smooth_cells(canvas, smooth_um / pixel_um) if smooth_um > 0 else canvas
     s = cut_lineage(s)
     limit = otsu_threshold(s, [], "v").scalar() if threshold is None else F.lit(float(threshold))
-    mask = s.withColumn("_t", limit).where("v > _t").select("r", "c")
-    mask = open_cells(close_cells(mask, px(close_um, 1)), px(open_um, 1))
-    grow = px(margin_um, 0)
-    covered = canvas.select("r", "c")
-    mask = cut_lineage((dilate(mask, grow) if grow else mask))
+    mask = s.withColumn("_t", limit).where("v > _t").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    closed, opened, grow = px(close_um, 1), px(open_um, 1), px(margin_um, 0)
+    reach = 2 * closed + 2 * opened + grow
+    side = max(TILE, reach)
     box = canvas.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if None in box:
+        return canvas.sparkSession.createDataFrame([], "r long, c long, kind string, label long, area_um2 double")
     r0, r1, c0, c1 = box[0] - 1, box[1] + 1, box[2] - 1, box[3] + 1
-    mask = mask.where(F.col("r").between(r0 + 1, r1 - 1) & F.col("c").between(c0 + 1, c1 - 1))
-    width, spark = c1 - c0 + 1, canvas.sparkSession
-    shift = lambda df: df.select((F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"))
-    frame = spark.range((r1 - r0 + 1) * width).select(F.floor(F.col("id") / width).alias("r"), (F.col("id") % width).alias("c"))
-    tissue = shift(mask)
-    back = cut_lineage(label_cells(frame.join(tissue, ["r", "c"], "left_anti"), width))
-    holes = back.where("label <> 0")  # the outer frame holds cell 0
-    filled = tissue.unionByName(holes.select("r", "c"))
-    pieces = cut_lineage(label_cells(filled, width))
-    area = pieces.groupBy("label").agg((F.count(F.lit(1)) * pixel_um * pixel_um).alias("area_um2"))
+
+    def shaped(key, pdf):
+        top, left, size = key[0] * side - reach, key[1] * side - reach, side + 2 * reach
+        m = np.zeros((size, size), bool)
+        m[pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left] = True
+        for radius, more in ((closed, True), (closed, False), (opened, False), (opened, True), (grow, True)):
+            m = disk_filter(m, radius, more) if radius else m
+        m = m[reach : reach + side, reach : reach + side]
+        top, left = top + reach, left + reach
+        m[: max(box[0] - top, 0)] = m[max(box[1] + 1 - top, 0) :] = False
+        m[:, : max(box[2] - left, 0)] = m[:, max(box[3] + 1 - left, 0) :] = False
+        r, a, b = runs_of(m)
+        return pd.DataFrame({"tr": key[0], "tc": key[1], "r": r + top, "c0": a + left, "c1": b + left})
+
+    tissue = cut_lineage(in_tiles(mask, side, reach).groupBy("tr", "tc").applyInPandas(shaped, RUNS))
+    frame, width = (r0, r1, c0, c1), c1 - c0 + 1
+    back = label_runs(tissue, frame, side, inside=False)
+    holes = cut_lineage(back.where("label <> 0"))  # the outer frame holds cell 0
+    pieces = cut_lineage(label_runs(tissue.unionByName(holes.drop("label")), frame, side))
+    areas = lambda runs: runs.groupBy("label").agg((F.sum(F.col("c1") - F.col("c0")) * pixel_um * pixel_um).alias("area_um2"))
+    area = areas(pieces)
     main = area.where(F.col("area_um2") >= min_tissue_um2)
     if near_um > 0:
-        around = dilate(pieces.join(main, "label", "left_semi").select("r", "c"), px(near_um, 1))
-        close_by = pieces.join(main, "label", "left_anti").join(around, ["r", "c"], "left_semi").select("label").distinct()
+        flags = area.select("label", (F.col("area_um2") >= min_tissue_um2).alias("main"))
+        close_by = labels_near(pieces.join(flags, "label"), px(near_um, 1), side)
         main = main.unionByName(area.join(close_by, "label", "left_semi").where(F.col("area_um2") >= min_near_um2))
-    keep = pieces.join(main, "label").select("r", "c", F.lit("tissue").alias("kind"), "label", "area_um2")
-    h_area = holes.groupBy("label").agg((F.count(F.lit(1)) * pixel_um * pixel_um).alias("area_um2")).where(F.col("area_um2") >= min_hole_um2)
-    kept_holes = holes.join(h_area, "label").join(keep.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", F.lit("hole").alias("kind"), "label", "area_um2")
-    out = keep.unionByName(kept_holes)
-    return out.select((F.col("r") + r0).alias("r"), (F.col("c") + c0).alias("c"), "kind", "label", "area_um2")
+    main = cut_lineage(main)
+    keep = pieces.join(main, "label").withColumn("kind", F.lit("tissue"))
+    # a hole lies in one piece, that of its first cell
+    first = areas(holes).where(F.col("area_um2") >= min_hole_um2).withColumnsRenamed({"label": "hole", "area_um2": "_area"}).select(
+        "hole", "_area", (F.floor(F.col("hole") / width) + r0).cast("long").alias("r"), (F.col("hole") % width + c0).alias("_c"))
+    first = first.withColumn("tr", F.floor(F.col("r") / side).cast("long")).withColumn("tc", F.floor(F.col("_c") / side).cast("long"))
+    kept = first.join(pieces.join(main, "label", "left_semi"), ["tr", "tc", "r"]).where("_c >= c0 AND _c < c1").select(F.col("hole").alias("label"), F.col("_area").alias("area_um2"))
+    out = keep.unionByName(holes.join(kept, "label").withColumn("kind", F.lit("hole")))
+    return out.select("r", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("c"), "kind", "label", "area_um2")
 
 
 def transform_candidates(n_angles: int = 72, allow_flip: bool = True, around: float | None = None, span: float = 0.0) -> list[tuple[int, float]]:

@@ -428,6 +428,60 @@ def test_morphology_and_holes(spark):
     assert {(10, 10)} <= set(zip(hole["r"], hole["c"])) and got[got["kind"] == "tissue"]["label"].nunique() == 1
 
 
+def test_tissue_over_tiles(spark, monkeypatch):
+    """Pieces, holes and near pieces over many small tiles are those of the whole raster, and only tiles' pieces are joined, not cells."""
+    rng, h, w = np.random.default_rng(5), 60, 75
+    y, x = np.mgrid[:h, :w]
+    m = np.zeros((h, w), bool)
+    for cy, cx, big, small in ((20, 22, 18, 9), (45, 55, 12, 4), (20, 50, 5, 0), (52, 8, 4, 0), (5, 70, 3, 0)):
+        d = np.hypot(y - cy, x - cx)
+        m |= (d <= big) & ((d > small) | (small == 0))
+    there = rng.random((h, w)) < 0.97
+    rows = [(int(r) - 7, int(c) - 9, None if rng.random() < 0.01 else (500.0 if m[r, c] else 10.0)) for r, c in np.argwhere(there)]
+    canvas = spark.createDataFrame(rows, "r long, c long, v double")
+
+    def disk(a, k, whole):
+        out = np.zeros_like(a)
+        p = np.pad(a, k)
+        hits = sum(p[k + i : k + i + a.shape[0], k + j : k + j + a.shape[1]].astype(int) for i, j in Q.disk_offsets(k))
+        out[:] = hits == len(Q.disk_offsets(k)) if whole else hits > 0
+        return out
+
+    def pieces(a):
+        label, seen = np.full(a.shape, -1), np.zeros_like(a)
+        for r, c in np.argwhere(a):
+            todo = [] if seen[r, c] else [(r, c)]
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < a.shape[0] and 0 <= j < a.shape[1] and a[i, j] and not seen[i, j]:
+                    seen[i, j], label[i, j] = True, r * a.shape[1] + c
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+        return label
+
+    raw = np.zeros((h + 20, w + 20), bool)
+    for r, c, v in rows:
+        raw[r + 17, c + 19] = v is not None and v > 100
+    box = np.s_[9:h + 11, 9:w + 11]  # the canvas and its frame
+    a = disk(disk(disk(disk(disk(raw, 2, False), 2, True), 1, True), 1, False), 1, False)
+    a[:10] = a[h + 10:] = a[:, :10] = a[:, w + 10:] = False
+    a = a[box]
+    back = pieces(~a)
+    holes = np.where(back > 0, back, -1)
+    full = pieces(a | (holes >= 0))
+    size = {k: (full == k).sum() for k in set(full.flat) - {-1}}
+    large = {k for k, n in size.items() if n >= 300}
+    near = disk(np.isin(full, list(large)), 4, False)
+    large |= {k for k in size if near[full == k].any() and size[k] >= 20}
+    want = {(int(r) - 8, int(c) - 10, "tissue", int(full[r, c]), float(size[full[r, c]])) for r, c in np.argwhere(np.isin(full, list(large)))}
+    want |= {(int(r) - 8, int(c) - 10, "hole", int(holes[r, c]), float((holes == holes[r, c]).sum())) for r, c in np.argwhere(holes >= 0) if full[r, c] in large and (holes == holes[r, c]).sum() >= 60}
+    joined, plain = [], Q.connected_components
+    monkeypatch.setattr(Q, "connected_components", lambda edges, *names: joined.append(edges.count()) or plain(edges, *names))
+    monkeypatch.setattr(Q, "TILE", 16, raising=False)
+    got = Q.segment_tissue(canvas, pixel_um=1.0, threshold=100.0, smooth_um=0, close_um=2, open_um=1, margin_um=1, min_tissue_um2=300, min_hole_um2=60, near_um=4, min_near_um2=20).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {r.kind for r in got} == {"tissue", "hole"} and len({r.label for r in got if r.kind == "tissue"}) > 1
+    assert max(joined) < h * w / 10
+
+
 def test_fit_similarity(spark):
     yy, xx = np.mgrid[:60, :60]
     src = ((yy - 30) / 10.0) ** 2 + ((xx - 30) / 22.0) ** 2 < 1
